@@ -1,29 +1,32 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Results that several later steps read are written once to the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; make one only for a local master."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """This application's part of ``spark.checkpoint.dir``; a folder of our own only on a local master."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="bizmetrics-checkpoint-")
-    context.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="bizmetrics-checkpoint-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and read on from there.
+    """Write the rows as Parquet to the checkpoint folder and read on from there.
 
-    Files in the shared folder outlive a lost executor, unlike cached blocks.
+    The files outlive a lost executor. Later steps read only the columns they need, and
+    Spark knows the table's size when it picks a join.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     window over one partition only ever sees k rows.
     """
     first = df.orderBy(*order).limit(k)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def with_position(df: DataFrame, *order, name: str = "position") -> DataFrame:
@@ -27,8 +27,8 @@ def with_position(df: DataFrame, *order, name: str = "position") -> DataFrame:
 
     A range-partitioned sort numbers rows inside each partition; the sizes of the
     preceding partitions are added as an offset. The running sum is over one row per
-    partition, so no task ever holds the data. The sorted rows are checkpointed
-    because partition bounds are sampled and would differ if computed twice.
+    partition, so no task ever holds the data. The numbered rows are written down because
+    partition bounds are sampled and would differ if computed twice.
     """
     ordered = cut_lineage(df.orderBy(*order).withColumn("_seq", F.monotonically_increasing_id()))
     part = F.shiftright("_seq", _LOW_BITS)

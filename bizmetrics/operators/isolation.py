@@ -16,6 +16,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.functions.ordering import exact_quantile
 
 # The functions run by Python workers travel with the plan, so workers need not have this package.
@@ -24,6 +25,7 @@ register_pickle_by_value(sys.modules[__name__])
 FEATURES = ("taxable_value", "cgst_amount", "sgst_amount", "total_tax_amount")
 CONTAMINATION = 0.12
 
+_SMALL_ROWS_PER_CORE = 500_000
 _TREE_SCHEMA = "tree int, feature array<int>, cut array<double>, path array<double>"
 
 
@@ -68,6 +70,10 @@ def isolation_scores(
             yield pd.Series(value)
 
     scored = score(*[F.col(c).cast("double") for c in features])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if n <= _SMALL_ROWS_PER_CORE * cores:
+        # A small file is one input split; moving it costs less than scoring it on one core.
+        df = df.repartition(cores)
     return df.withColumn("iso_score", scored).withColumn(
         "iso_score", F.nanvl("iso_score", F.lit(None).cast("double"))
     )
@@ -84,12 +90,11 @@ def isolation_flags(
     """Add ``iso_score`` and ``iso_flag``: -1 for the most isolated share of rows, else 1.
 
     A row is flagged when its negated score is strictly below the interpolated quantile of
-    all negated scores, so rows tied at the quantile are not.
+    all negated scores, so rows tied at the quantile are not. Scoring is the costly step, so
+    the scored rows are written down once: pass only the columns that are wanted.
     """
-    scored = isolation_scores(df, features, trees, sample_size, seed)
-    negated = scored.select((-F.col("iso_score")).alias("s")).persist()
-    threshold, _ = exact_quantile(negated, "s", contamination)
-    negated.unpersist()
+    scored = cut_lineage(isolation_scores(df, features, trees, sample_size, seed))
+    threshold, _ = exact_quantile(scored.select((-F.col("iso_score")).alias("s")), "s", contamination)
     flag = F.when(-F.col("iso_score") < F.lit(threshold), -1).when(F.col("iso_score").isNotNull(), 1)
     return scored.withColumn("iso_flag", flag)
 

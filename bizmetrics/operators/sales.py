@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.functions.measures import as_measures
 from bizmetrics.functions.numeric import keyed, ratio, round_np, sum0, whole
 from bizmetrics.functions.ordering import top_k, with_position
@@ -72,6 +73,7 @@ def region_codes(features: DataFrame) -> DataFrame:
 
 def panel_encodings(features: DataFrame) -> DataFrame:
     """Both codings as one table (kind, value, code)."""
+    features = cut_lineage(features.select("product_id", "region").distinct())
     products = product_codes(features).select(
         F.lit("product").alias("kind"), F.col("product_id").alias("value"), F.col("product_enc").alias("code")
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +18,15 @@ FEATURES = ("revenue", "margin", "discount")
 
 
 def customer_segments(
-    features: DataFrame, labels: Sequence[str] = LABELS, seeds: Sequence[int] = tuple(range(42, 52))
+    features: DataFrame,
+    labels: Sequence[str] = LABELS,
+    seeds: Sequence[int] = tuple(range(42, 52)),
+    max_iter: int = 300,
+    parallel_fits: int = 10,
 ) -> DataFrame:
     """Add ``segment`` and ``segment_label`` to the customer features.
 
-    The best of one fit per seed is kept. Labels go to the clusters by falling mean margin;
+    The best of one fit per seed is kept; fits run side by side over the one cached table. Labels go to the clusters by falling mean margin;
     with fewer clusters than labels the last labels stay unused. A customer whose features
     are missing makes the job fail, as it cannot be placed.
     """
@@ -29,11 +35,15 @@ def customer_segments(
     vectors = assembler.transform(features)
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors)
     scaled = scaler.transform(vectors).persist()
-    fits = [
-        KMeans(k=len(labels), seed=seed, featuresCol="scaled", predictionCol="segment").fit(scaled)
-        for seed in seeds
-    ]
-    best = min(fits, key=lambda fit: fit.summary.trainingCost)
+
+    def fit(seed: int) -> KMeansModel:
+        return KMeans(
+            k=len(labels), seed=seed, maxIter=max_iter, featuresCol="scaled", predictionCol="segment"
+        ).fit(scaled)
+
+    with ThreadPoolExecutor(parallel_fits) as pool:
+        fits = list(pool.map(inheritable_thread_target(features.sparkSession)(fit), seeds))
+    best = min(fits, key=lambda model: model.summary.trainingCost)
     placed = best.transform(scaler.transform(vectors)).drop("raw", "scaled")
     margins = best.transform(scaled).groupBy("segment").agg(F.avg("margin").alias("mean_margin")).collect()
     scaled.unpersist()
