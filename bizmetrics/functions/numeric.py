@@ -17,6 +17,25 @@ def round_np(col, digits: int = 0) -> Column:
     return F.rint(value * scale) / scale
 
 
+def round_float(col, digits: int = 0) -> Column:
+    """Round the exact binary value, as Python does for plain floats (12.35 -> 12.3, 12.25 -> 12.2).
+
+    The product with 10**digits may land on a tie the exact value is not on; its rounding
+    error, from an error-free product of the two halves of the number, tells on which side.
+    """
+    value = _col(col).cast("double")
+    scale = F.lit(float(10**digits))
+    scaled = value * scale
+    shifted = value * F.lit(134217729.0)  # 2**27 + 1 splits a double into two halves
+    high = shifted - (shifted - value)
+    error = (high * scale - scaled) + (value - high) * scale
+    below = F.floor(scaled)
+    tie = (scaled - below) == F.lit(0.5)
+    return (
+        F.when(tie & (error > 0), below + 1).when(tie & (error < 0), below).otherwise(F.rint(scaled)) / scale
+    )
+
+
 def sum0(col) -> Column:
     """Sum that is 0, not NULL, when there is nothing to add."""
     return F.coalesce(F.sum(_col(col)), F.lit(0))
@@ -34,7 +53,7 @@ def ratio(total, count) -> Column:
 
 def percent(part, whole, digits: int = 1) -> Column:
     """part of whole in percent; NULL for an empty table."""
-    return round_np(ratio(part, whole) * F.lit(100.0), digits)
+    return round_float(ratio(part, whole) * F.lit(100.0), digits)
 
 
 def count_where(condition: Column) -> Column:

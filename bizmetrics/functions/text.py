@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bizmetrics.functions.numeric import round_float
+
 
 def amount(col, currency: str = "") -> Column:
     """Whole amount with thousands separators; the fraction is cut off, a missing amount is 0."""
@@ -16,7 +18,7 @@ def amount(col, currency: str = "") -> Column:
 
 def one_decimal(col) -> Column:
     value = F.col(col) if isinstance(col, str) else col
-    return F.format_string("%.1f", F.coalesce(value.cast("double"), F.lit(0.0)))
+    return F.format_string("%.1f", round_float(F.coalesce(value.cast("double"), F.lit(0.0)), 1))
 
 
 def markdown_table(rows: Column, titles: Sequence[str], cells: Callable[[Column], Sequence[Column]]) -> Column:

@@ -115,19 +115,22 @@ def _tree_samples(
     """trees x psi rows with their tree number.
 
     A table larger than the pool is first thinned row by row, so copies of one row keep
-    their share. The remaining rows, at most a few times trees x psi, are put in an order
-    that depends on content and seed only and dealt out in turn, which spreads copies
-    evenly; a small table is dealt out several times, in a new order each time.
+    their share. The remaining rows, a few times trees x psi, are put in an order that
+    depends on content, copy number and seed only and dealt out in turn; a small table is
+    dealt out several times, in a new order each time.
     """
     slots = trees * psi
     pool = 4 * slots
     if n > pool:
         complete = complete.sample(fraction=min(1.0, pool / n), seed=seed)
     rounds = math.ceil(slots / n)
-    dealt = complete.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(
-        "key", F.xxhash64(*features, "round", F.lit(seed))
+    # Both windows run over the pool only, so one task can number all of it.
+    copy = F.row_number().over(Window.partitionBy(*features).orderBy(*features))
+    dealt = (
+        complete.withColumn("copy", copy)
+        .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+        .withColumn("key", F.xxhash64(*features, "copy", "round", F.lit(seed)))
     )
-    # Bounded by the pool, so one task numbers it.
     slot = F.row_number().over(Window.orderBy("round", "key", *features)) - 1
     return (
         dealt.withColumn("slot", slot)

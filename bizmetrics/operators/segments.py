@@ -31,6 +31,11 @@ def customer_segments(
     are missing makes the job fail, as it cannot be placed.
     """
     features = cut_lineage(features)  # read by the scaler, every fit and the result
+    # Exact for counts this small; fewer different customers than labels make fewer clusters.
+    different = features.agg(F.approx_count_distinct(F.struct(*FEATURES))).first()[0]
+    k = min(len(labels), different)
+    if k < 2:
+        return features.withColumns({"segment": F.lit(0), "segment_label": F.lit(labels[0])})
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="raw", handleInvalid="error")
     vectors = assembler.transform(features)
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors)
@@ -38,7 +43,7 @@ def customer_segments(
 
     def fit(seed: int) -> KMeansModel:
         return KMeans(
-            k=len(labels), seed=seed, maxIter=max_iter, featuresCol="scaled", predictionCol="segment"
+            k=k, seed=seed, maxIter=max_iter, featuresCol="scaled", predictionCol="segment"
         ).fit(scaled)
 
     with ThreadPoolExecutor(parallel_fits) as pool:

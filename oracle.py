@@ -140,7 +140,7 @@ TABLES = {
         from inventory where is_dead_stock = 1 qualify rank <= 5""",
     "stock": """
         select count(*) as total_skus, count(*) filter (is_dead_stock = 1) as dead_stock_count,
-          round_even(cast(count(*) filter (is_dead_stock = 1) as double) / count(*) * 100 * 10, 0) / 10 as dead_stock_pct,
+          cast(format('{:.1f}', cast(count(*) filter (is_dead_stock = 1) as double) / count(*) * 100) as double) as dead_stock_pct,
           cast(trunc(sum(total_value_inr) filter (is_dead_stock = 1)) as bigint) as total_capital_locked,
           count(*) filter (needs_reorder = 1) as reorder_alerts
         from inventory""",
@@ -151,7 +151,7 @@ TABLES = {
         from gst where mismatch_flag = 1 group by counterparty_id, counterparty_name qualify rank <= 5""",
     "taxes": """
         select count(*) as total_invoices, count(*) filter (mismatch_flag = 1) as total_mismatches,
-          round_even(cast(count(*) filter (mismatch_flag = 1) as double) / count(*) * 100 * 10, 0) / 10 as mismatch_pct,
+          cast(format('{:.1f}', cast(count(*) filter (mismatch_flag = 1) as double) / count(*) * 100) as double) as mismatch_pct,
           cast(trunc(sum(total_tax_amount) filter (mismatch_flag = 1)) as bigint) as total_itc_at_risk
         from gst""",
     "decided": """

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bizmetrics.functions.numeric import mean, percent, ratio, round_np, sum0, whole
+from bizmetrics.functions.numeric import mean, percent, ratio, round_float, round_np, sum0, whole
 from bizmetrics.functions.ordering import exact_quantile, top_k, with_position
 
 
@@ -15,6 +15,15 @@ def test_round_half_even_like_numpy(spark):
         assert got == [float(np.round(v, digits)) for v in values]
 
 
+def test_round_exact_binary_value_like_python(spark):
+    values = [k / n * 100 for n in (2000, 4000, 1999) for k in range(n + 1)] + [i * 0.05 for i in range(-3000, 3000)]
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = df.select("v", round_float("v", 1).alias("r"), F.format_string("%.1f", round_float("v", 1)).alias("t")).toPandas()
+    assert got["r"].tolist() == [round(v, 1) for v in got["v"]]
+    # Java prints -0.0 as Python does
+    assert got["t"].tolist() == [f"{v:.1f}" for v in got["v"]]
+
+
 def test_sums_and_means_of_nothing(spark):
     empty = spark.createDataFrame([], "v decimal(18,4), n bigint")
     row = empty.agg(

@@ -22,7 +22,7 @@ def test_ties_and_missing_values_in_lists(spark):
     ]
     df = spark.createDataFrame(rows, STOCK)
     dead = inventory.top_dead_skus(df).orderBy("rank").collect()
-    assert [(r.sku, r.total_value_inr) for r in dead] == [("s1", 10.0), ("s3", 10.0), ("s2", None)]
+    assert [(r.sku, r.total_value_inr) for r in dead] == [("s1", 10.01), ("s3", 10.01), ("s2", None)]
     reorder = inventory.critical_reorders(df).orderBy("rank").collect()
     assert [(r.sku, r.reorder_point) for r in reorder] == [("s1", 1.0), ("s3", 1.23456), ("s2", 1.0)]
     assert [tuple(r) for r in inventory.dead_by_category(df).collect()] == [("A", 2, 20.01)]
