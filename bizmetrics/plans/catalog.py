@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.operators import (
     cashflow,
     forecast,
@@ -19,7 +21,7 @@ from bizmetrics.operators import (
     segments,
     tax,
 )
-from bizmetrics.plans.report import Tables, build_report, kpi_summary
+from bizmetrics.plans.report import Tables, build_report, dashboard_feeds, kpi_of_report, kpi_summary
 from bizmetrics.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +117,8 @@ def catalog() -> dict[str, Query]:
             _panel(s, d).groupBy("product_id", "region", "date").agg(F.sum("revenue").alias("revenue")),
             keys=("product_id", "region"),
         ),
+        "report_headlines": lambda s, d: kpi_of_report(_sql_report(s, d)),
+        "report_lists": _report_lists,
         "full_report": lambda s, d: build_report(star_tables(s, d), regressor={"trees": TEST_TREES}),
     }
 
@@ -168,6 +172,23 @@ def _receivable_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = build_report(star_tables(spark, sf_dir), forecaster="growth", models=False)
     monthly = sales.monthly_revenue(_series(spark, sf_dir))
-    return questions.answers(star.questions(spark, sf_dir), report, monthly, **TEST_ROUTING)
+    return questions.answers(star.questions(spark, sf_dir), _sql_report(spark, sf_dir), monthly, **TEST_ROUTING)
+
+
+def _sql_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report without its model results, so that plain SQL can check it."""
+    return build_report(star_tables(spark, sf_dir), forecaster="growth", models=False)
+
+
+def _report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts of the dashboard, read back from the report, as one table."""
+    charts = [
+        feed.select(
+            F.lit(name).alias("chart"),
+            F.col(feed.columns[-2]).cast("string").alias("label"),
+            F.col(feed.columns[-1]).cast("double").alias("value"),
+        )
+        for name, feed in dashboard_feeds(cut_lineage(_sql_report(spark, sf_dir))).items()
+    ]
+    return reduce(DataFrame.unionByName, charts)

@@ -16,6 +16,8 @@ from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.functions.measures import rollup
 from bizmetrics.operators import cashflow, forecast, inventory, isolation, profitability, regression, sales, tax
 from bizmetrics.operators.segments import customer_segments
+from bizmetrics.sources.files import read_csv, read_parquet
+from bizmetrics.sources.snapshot import load_or_build
 
 
 @dataclass(frozen=True)
@@ -91,16 +93,63 @@ def kpi_summary(tables: Tables, forecaster: str = "growth") -> DataFrame:
     )
 
 
-def dashboard_feeds(tables: Tables, forecaster: str = "seasonal") -> dict[str, DataFrame]:
-    """The six tables behind the dashboard charts."""
-    return {
-        "forecast": make_forecast(sales.revenue_by_date(tables.sales), forecaster).select("ds", "yhat"),
-        "top_products": sales.top_products_by_revenue(tables.sales).select("product_name", "revenue"),
-        "slow_payers": cashflow.slow_payers(tables.receivables).select("customer_name", "total_overdue"),
-        "mismatch_types": tax.mismatch_reasons(tables.gst),
-        "dead_stock": inventory.top_dead_skus(tables.inventory).select("sku", "total_value_inr"),
-        "customer_risk": profitability.low_margin_customers(tables.sales).select("customer_name", "avg_margin"),
+def kpi_of_report(report: DataFrame) -> DataFrame:
+    """The same nine figures taken from a report."""
+    return report.select(
+        F.get("sales.forecast_next_3_months", F.lit(0))["yhat"].cast("bigint").alias("next_month_forecast"),
+        F.col("sales.total_revenue_last_month").alias("last_month_actual"),
+        F.initcap("sales.trend").alias("trend"),
+        F.size("sales.anomaly_months").cast("bigint").alias("anomaly_months"),
+        F.col("cashflow.total_overdue").alias("overdue"),
+        F.col("cashflow.dso_days").alias("dso_days"),
+        F.col("inventory.dead_stock_count").alias("dead_stock"),
+        F.col("inventory.reorder_alerts").alias("reorder_alerts"),
+        F.col("gst.total_itc_at_risk").alias("tax_at_risk"),
+    )
+
+
+def dashboard_feeds(report: DataFrame) -> dict[str, DataFrame]:
+    """The six tables behind the dashboard charts, from a report."""
+    lists = {
+        "forecast": ("sales.forecast_next_3_months", "ds", "yhat"),
+        "top_products": ("sales.top_5_products", "product_name", "revenue"),
+        "slow_payers": ("cashflow.top_slow_payers", "customer_name", "total_overdue"),
+        "dead_stock": ("inventory.top_dead_skus", "sku", "total_value_inr"),
+        "customer_risk": ("profitability.low_margin_customers", "customer_name", "avg_margin"),
     }
+    feeds = {
+        name: report.select(F.posexplode(rows).alias("place", "row")).select(
+            (F.col("place") + 1).alias("place"), *[F.col(f"row.{f}") for f in fields]
+        )
+        for name, (rows, *fields) in lists.items()
+    }
+    reasons = F.explode("gst.mismatch_type_breakdown").alias("mismatch_reason", "invoices")
+    return feeds | {"mismatch_types": report.select(reasons)}
+
+
+def load_tables(spark: SparkSession, paths: dict[str, str], date_format: str | None = None) -> Tables:
+    """The four tables from CSV files (``.csv``) or Parquet, by table name."""
+
+    def read(name: str) -> DataFrame:
+        if paths[name].endswith(".csv"):
+            return read_csv(spark, paths[name], name, date_format)
+        return read_parquet(spark, paths[name], name)
+
+    return Tables(**{name: read(name) for name in ("sales", "receivables", "inventory", "gst")})
+
+
+def load_report(
+    spark: SparkSession,
+    paths: dict[str, str],
+    snapshot: str,
+    refresh: bool = False,
+    date_format: str | None = None,
+    **options,
+) -> DataFrame:
+    """The report over the files at ``paths``, built once and then read from its snapshot."""
+    return load_or_build(
+        spark, snapshot, lambda: build_report(load_tables(spark, paths, date_format), **options), refresh
+    )
 
 
 def section_json(report: DataFrame) -> DataFrame:

@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+_DATES = {"dateFormat": "yyyy-MM-dd"}
+
 
 def write_report(report: DataFrame, path: str) -> None:
-    """Save the one-row report as JSON."""
-    report.write.mode("overwrite").option("dateFormat", "yyyy-MM-dd").json(path)
+    """Save the one-row report as JSON, with its schema next to it."""
+    report.write.mode("overwrite").options(**_DATES).json(f"{path}/report")
+    schema = report.sparkSession.createDataFrame([(report.schema.json(),)], "value string")
+    schema.coalesce(1).write.mode("overwrite").text(f"{path}/schema")
 
 
-def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    """The saved report, or None when there is none."""
+def read_report(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved report, or None when there is none. The schema is written last and read first."""
     try:
-        return spark.read.schema(schema).option("dateFormat", "yyyy-MM-dd").json(path)
+        saved = spark.read.text(f"{path}/schema").first()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    schema = StructType.fromJson(json.loads(saved.value))
+    return spark.read.schema(schema).options(**_DATES).json(f"{path}/report")
 
 
 def load_or_build(
-    spark: SparkSession, path: str, schema: StructType, build: Callable[[], DataFrame], refresh: bool = False
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False
 ) -> DataFrame:
     """The saved report if there is one and no refresh is asked for; else build, save and read it."""
-    saved = None if refresh else read_report(spark, path, schema)
+    saved = None if refresh else read_report(spark, path)
     if saved is None:
         write_report(build(), path)
-        saved = read_report(spark, path, schema)
+        saved = read_report(spark, path)
     return saved
 
 

@@ -220,6 +220,15 @@ _SERIES = ("sales", "series")
 _PANEL = ("sales", "panel", "features")
 _FORECAST = (*_SERIES, "recent", "forecast")
 
+_HEADLINES = (*_FORECAST, "trend", "anomalies", "receivables", "cash", "inventory", "stock", "gst", "taxes")
+_HEADLINE_SQL = """
+    select (select cast(min_by(yhat, ds) as bigint) from forecast) as next_month_forecast,
+      (select revenue_last_month from recent) as last_month_actual,
+      (select upper(trend[1]) || trend[2:] from trend) as trend,
+      (select count(*) from anomalies) as anomaly_months, total_overdue as overdue, dso_days,
+      dead_stock_count as dead_stock, reorder_alerts, total_itc_at_risk as tax_at_risk
+    from cash, stock, taxes"""
+
 # name: (tables it needs, query)
 _QUERIES = {
     "monthly_panel": (("sales", "panel"), "select * from panel"),
@@ -330,14 +339,19 @@ _QUERIES = {
            from decided where decision = 'Promote' group by product_name, margin_pct qualify rank <= 3""",
     ),
     "products_to_discontinue": (("sales", "worst"), "select * from worst"),
-    "kpi_summary": (
-        (*_FORECAST, "trend", "anomalies", "receivables", "cash", "inventory", "stock", "gst", "taxes"),
-        """select (select cast(min_by(yhat, ds) as bigint) from forecast) as next_month_forecast,
-             (select revenue_last_month from recent) as last_month_actual,
-             (select upper(trend[1]) || trend[2:] from trend) as trend,
-             (select count(*) from anomalies) as anomaly_months, total_overdue as overdue, dso_days,
-             dead_stock_count as dead_stock, reorder_alerts, total_itc_at_risk as tax_at_risk
-           from cash, stock, taxes""",
+    "kpi_summary": (_HEADLINES, _HEADLINE_SQL),
+    "report_headlines": (_HEADLINES, _HEADLINE_SQL),
+    "report_lists": (
+        (*_FORECAST, "top_revenue", "receivables", "payers", "inventory", "dead", "gst"),
+        """select 'forecast' as chart, cast(ds as varchar) as label, yhat as value from forecast
+           union all select 'top_products', product_name, revenue from top_revenue
+           union all select 'slow_payers', customer_name, total_overdue from payers
+           union all select 'dead_stock', cast(sku as varchar), total_value_inr from dead
+           union all select 'customer_risk', customer_name, round_even(m*100, 0)/100
+             from (select customer_id, customer_name, cast(sum(margin_pct) as double)/count(margin_pct) as m
+                   from sales group by customer_id, customer_name order by m nulls last, customer_id limit 5)
+           union all select 'mismatch_types', mismatch_reason, cast(count(*) as double)
+             from gst where mismatch_flag = 1 group by mismatch_reason""",
     ),
     "question_months": (
         (*_SERIES, "monthly", "questions", "asked"),
