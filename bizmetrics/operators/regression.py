@@ -47,8 +47,12 @@ def fit_regressor(
         featureSubsetStrategy=str(column_share),
         seed=seed,
     )
-    model = booster.fit(assembler.transform(train).select("features", "revenue"))
-    return PipelineModel(stages=[assembler, model])
+    # The booster reads its input several times before it keeps a copy of its own.
+    vectors = assembler.transform(train).select("features", "revenue").persist()
+    try:
+        return PipelineModel(stages=[assembler, booster.fit(vectors)])
+    finally:
+        vectors.unpersist()
 
 
 def mape(actual="revenue", predicted="prediction") -> Column:
