@@ -77,10 +77,9 @@ def _payment_days(receivables: DataFrame) -> Column:
     """Whole days from invoice to receipt: date difference, or floored elapsed time for timestamps."""
     kinds = {f.name: f.dataType for f in receivables.schema.fields}
     if isinstance(kinds["received_date"], (TimestampType, TimestampNTZType)):
-        seconds = F.expr(
-            "timestampdiff(microsecond, cast(invoice_date as timestamp), cast(received_date as timestamp))"
-        )
-        return F.floor(seconds / F.lit(86_400_000_000))
+        gap = "(cast(received_date as timestamp_ntz) - cast(invoice_date as timestamp_ntz))"
+        days = f"extract(day from {gap})"
+        return F.expr(f"{days} - case when {gap} < make_dt_interval({days}) then 1 else 0 end")
     return F.datediff("received_date", "invoice_date")
 
 

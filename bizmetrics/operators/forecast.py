@@ -11,7 +11,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizmetrics.functions.numeric import round_np
+from bizmetrics.functions.numeric import keyed, round_np, sum0
 from bizmetrics.operators.sales import last_dates
 
 # The functions run by Python workers travel with the plan, so workers need not have this package.
@@ -58,9 +58,9 @@ def seasonal_forecast(
 ) -> DataFrame:
     """Trend x yearly season fitted on each whole series, with an 80 % band.
 
-    ``series`` has the keys, ``date`` and ``revenue``, one row per date: the aggregation has
-    happened before, so a group handed to Python is one calendar's worth of numbers. Series
-    spread over the cluster by key. A series that is short or not positive gets the growth
+    ``series`` has the keys, ``date`` and ``revenue``. It is summed per key and date first, so
+    a group handed to Python is one calendar's worth of numbers however many rows it came
+    from. Series spread over the cluster by key. A series that is short or not positive gets the growth
     projection. ``holidays`` (ds, name) is a calendar table; it is collected, and must not
     have more than 10,000 rows.
     """
@@ -79,7 +79,11 @@ def seasonal_forecast(
         [f"{name} {kinds[name]}" for name in names]
         + ["ds date", "yhat double", "yhat_lower double", "yhat_upper double", "model string"]
     )
-    rows = series.select(*names, "date", F.col("revenue").cast("double").alias("revenue"))
+    rows = (
+        keyed(series, *names, "date")
+        .groupBy(*names, "date")
+        .agg(sum0("revenue").cast("double").alias("revenue"))
+    )
     return rows.groupBy(*names).applyInPandas(project, schema)
 
 

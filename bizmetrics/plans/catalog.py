@@ -87,7 +87,7 @@ def catalog() -> dict[str, Query]:
             star.sales(s, d, "product_id", "product_name", "revenue", "margin_pct")
         ),
         "low_margin_customers": lambda s, d: profitability.low_margin_customers(
-            star.sales(s, d, "customer_id", "customer_name", "revenue", "margin_pct")
+            star.sales_per_order(s, d, "customer_id", "customer_name", "revenue", "margin_pct")
         ),
         "customer_features": _customer_features,
         "products_to_promote": lambda s, d: profitability.products_to_promote(
@@ -114,8 +114,7 @@ def catalog() -> dict[str, Query]:
         ),
         "seasonal_forecast": lambda s, d: forecast.seasonal_forecast(_series(s, d)),
         "seasonal_forecast_by_panel": lambda s, d: forecast.seasonal_forecast(
-            _panel(s, d).groupBy("product_id", "region", "date").agg(F.sum("revenue").alias("revenue")),
-            keys=("product_id", "region"),
+            _panel(s, d), keys=("product_id", "region")
         ),
         "report_headlines": lambda s, d: kpi_of_report(_sql_report(s, d)),
         "report_lists": _report_lists,
@@ -127,7 +126,7 @@ def kpi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline figures, each from the columns it needs."""
     return kpi_summary(
         Tables(
-            sales=star.sales(spark, sf_dir, "date", "revenue"),
+            sales=star.sales_per_order(spark, sf_dir, "date", "revenue"),
             receivables=star.receivables(
                 spark, sf_dir, "customer_id", "invoice_amount", "invoice_date", "received_date", "days_overdue",
                 "aging_bucket",
@@ -152,12 +151,12 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales.revenue_by_date(star.sales(spark, sf_dir, "date", "revenue"))
+    return sales.revenue_by_date(star.sales_per_order(spark, sf_dir, "date", "revenue"))
 
 
 def _customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profitability.customer_features(
-        star.sales(spark, sf_dir, "customer_id", "revenue", "margin_pct", "discount_pct")
+        star.sales_per_order(spark, sf_dir, "customer_id", "revenue", "margin_pct", "discount_pct")
     )
 
 

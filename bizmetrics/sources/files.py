@@ -17,14 +17,21 @@ MISSING = (
 )
 
 
-def read_csv(spark: SparkSession, path, table: str | StructType, date_format: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path,
+    table: str | StructType,
+    date_format: str | None = None,
+    multi_line: bool = False,
+) -> DataFrame:
     """Scan a CSV with a header row as one of the four tables (or any schema).
 
     Every column is read as text and cast afterwards, so one bad field costs that field
     and not the row; ``csv_rejects`` counts such fields. Unused columns are never parsed.
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     """
     schema = _schema(table)
-    raw = _raw_csv(spark, path)
+    raw = _raw_csv(spark, path, multi_line)
     return raw.select(*[_typed(f.name, f.dataType, date_format).alias(f.name) for f in schema.fields])
 
 
@@ -64,8 +71,8 @@ def _schema(table: str | StructType) -> StructType:
     return TABLES[table] if isinstance(table, str) else table
 
 
-def _raw_csv(spark: SparkSession, path) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
+def _raw_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
+    return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
 
 
 def _present(name: str) -> Column:

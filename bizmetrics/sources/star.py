@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bizmetrics.functions.measures import rollup
+
 AS_OF = "2001-12-01"
 
 # Three-letter month names, in order, as they occur in question texts.
@@ -26,13 +28,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Sales lines. Orders take their customer and region before they meet the lines,
     so the wide lineitem side is shuffled once for the order and once for the part."""
-    derived: dict[str, Column] = {
+    derived = {**_order_columns(), **_product_columns(), **_line_columns()}
+    need = set(columns or derived)
+    lines = table(spark, sf_dir, "lineitem")
+    if need & set(_order_columns()):
+        lines = lines.join(_orders_for(spark, sf_dir, need), F.col("l_orderkey") == F.col("o_orderkey"))
+    if need & set(_product_columns()):
+        lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return _pick(lines, derived, columns)
+
+
+def sales_per_order(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """One row of additive measures per order, for results that do not ask for the product.
+
+    The lines of an order lie together in the files, so most of the summing happens before
+    the shuffle, and the join with orders uses the partitioning of the sum.
+    """
+    measured = tuple(c for c in columns if c in _line_columns())
+    lines = _pick(
+        table(spark, sf_dir, "lineitem"), {"l_orderkey": F.col("l_orderkey"), **_line_columns()}, ("l_orderkey", *measured)
+    )
+    totals = rollup(lines, "l_orderkey")
+    orders = _orders_for(spark, sf_dir, set(columns))
+    kept = [derived.alias(c) for c, derived in _order_columns().items() if c in columns]
+    return totals.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *kept, *[c for c in totals.columns if c != "l_orderkey"]
+    )
+
+
+def _order_columns() -> dict[str, Column]:
+    return {
         "date": F.trunc(F.col("o_orderdate").cast("date"), "month"),
-        "product_id": F.col("p_brand"),
-        "product_name": F.concat(F.lit("Product "), F.col("p_brand")),
         "customer_id": F.col("o_custkey"),
         "customer_name": F.col("c_name"),
         "region": F.col("r_name"),
+        "is_festive": F.month("o_orderdate").isin(10, 11).cast("int"),
+    }
+
+
+def _product_columns() -> dict[str, Column]:
+    return {"product_id": F.col("p_brand"), "product_name": F.concat(F.lit("Product "), F.col("p_brand"))}
+
+
+def _line_columns() -> dict[str, Column]:
+    return {
         "revenue": _net_price(),
         "quantity_sold": F.expr("cast(l_quantity as decimal(10,2))"),
         "margin_pct": F.expr(
@@ -42,16 +81,12 @@ def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "returns_qty": F.when(
             F.col("l_returnflag") == "R", F.expr("cast(l_quantity as decimal(10,2))")
         ).otherwise(F.expr("cast(0 as decimal(10,2))")),
-        "is_festive": F.month("o_orderdate").isin(10, 11).cast("int"),
     }
-    need = set(columns or derived)
-    lines = table(spark, sf_dir, "lineitem")
-    if need & {"date", "is_festive", "customer_id", "customer_name", "region"}:
-        orders = _orders(spark, sf_dir, name="customer_name" in need, region="region" in need)
-        lines = lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if need & {"product_id", "product_name"}:
-        lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return _pick(lines, derived, columns)
+
+
+def _orders_for(spark: SparkSession, sf_dir: str, need: set[str]) -> DataFrame:
+    """The orders side of the join with lines; both grow with the data, hence the hint."""
+    return _orders(spark, sf_dir, name="customer_name" in need, region="region" in need).hint("merge")
 
 
 def receivables(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -79,12 +79,22 @@ def test_totals_of_nothing(spark):
     assert row.total_overdue == 0 and row.overdue_invoice_count == 0 and row.dso_days is None
 
 
-def test_timestamps_count_elapsed_days(spark):
-    df = spark.sql(
-        """select 'a' customer_id, 1.0D invoice_amount, 1 days_overdue, 'x' aging_bucket,
-             timestamp'2024-01-01 23:00:00' invoice_date, timestamp'2024-01-02 01:00:00' received_date"""
-    )
-    assert cashflow.cashflow_totals(df).first().dso_days == 0.0
+@pytest.mark.parametrize(
+    "invoiced, received, days",
+    [
+        ("2024-01-01 23:00:00", "2024-01-02 01:00:00", 0.0),
+        ("2024-01-01 01:00:00", "2024-01-03 02:00:00", 2.0),
+        ("2024-01-02 01:00:00", "2024-01-01 23:00:00", -1.0),
+        ("2024-01-03 00:00:00", "2024-01-01 00:00:00", -2.0),
+    ],
+)
+def test_timestamps_count_elapsed_days(spark, invoiced, received, days):
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.sql(
+            f"""select 'a' customer_id, 1.0D invoice_amount, 1 days_overdue, 'x' aging_bucket,
+                 cast('{invoiced}' as {kind}) invoice_date, cast('{received}' as {kind}) received_date"""
+        )
+        assert cashflow.cashflow_totals(df).first().dso_days == days
 
 
 def test_counts_drop_missing_keys(spark):

@@ -172,6 +172,10 @@ def test_short_or_negative_series_grow(spark):
     want = forecast.growth_projection(df).orderBy("ds").collect()
     assert [tuple(r)[:4] for r in got] == [tuple(r) for r in want]
     assert {r.model for r in got} == {"growth"}
+    # lines are summed per date first
+    halves = df.withColumn("revenue", F.col("revenue") / 2)
+    again = forecast.seasonal_forecast(halves.unionAll(halves)).orderBy("ds").collect()
+    assert again == got
 
 
 def test_holidays_explain_their_months(spark):

@@ -62,6 +62,14 @@ def test_csv_flags_and_date_format(spark, tmp_path):
     assert two.date == dt.date(2024, 1, 31) and two.is_festive is None
 
 
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "inventory.csv"
+    columns = TABLES["inventory"].names
+    path.write_text(",".join(columns) + '\nS1,"a\nb ""c""",W,1,2,3,4,5,6,1,False\n')
+    row = read_csv(spark, str(path), "inventory", multi_line=True).first()
+    assert (row.category, row.is_dead_stock, row.needs_reorder) == ('a\nb "c"', 1, 0)
+
+
 def test_csv_reads_only_the_columns_used(spark, receivables_csv):
     plan = read_csv(spark, receivables_csv, "receivables").select("region")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<region:string>" in plan
