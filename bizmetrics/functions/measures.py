@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.functions.numeric import sum0
 
+# Margin bounds in percent.
 PROMOTE_ABOVE = 12.0
 DISCONTINUE_BELOW = 4.0
 

@@ -17,6 +17,7 @@ from bizmetrics.operators.sales import last_dates
 # The functions run by Python workers travel with the plan, so workers need not have this package.
 register_pickle_by_value(sys.modules[__name__])
 
+# Monthly growth of the projection and its band around the base.
 GROWTH = 1.02
 BAND = (0.9, 1.1)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
 
+# Segment names from the highest mean margin to the lowest.
 LABELS = ("High Value", "Mid Tier", "Low Margin Risk")
 FEATURES = ("revenue", "margin", "discount")
 
