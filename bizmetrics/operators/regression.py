@@ -55,6 +55,11 @@ def fit_regressor(
         vectors.unpersist()
 
 
+def predict(model: PipelineModel, table: DataFrame) -> DataFrame:
+    """Add ``prediction`` to rows that have the regression features."""
+    return model.transform(table).drop("features")
+
+
 def mape(actual="revenue", predicted="prediction") -> Column:
     """Mean absolute percentage error in percent, two decimals."""
     y, p = F.col(actual), F.col(predicted)
@@ -65,9 +70,10 @@ def mape(actual="revenue", predicted="prediction") -> Column:
 def regressor_error(table: DataFrame, **options) -> DataFrame:
     """Fit on the training part; one row with the error and size of the test part."""
     model = fit_regressor(table.where("is_train"), **options)
-    return model.transform(table.where(~F.col("is_train"))).agg(
+    error = predict(model, table.where(~F.col("is_train"))).agg(
         mape().alias("regressor_mape"), F.count(F.lit(1)).alias("test_rows")
     )
+    return error.withColumn("confidence", confidence())
 
 
 def winner(regressor_mape, has_seasonal: bool, limit: float = 20.0) -> Column:

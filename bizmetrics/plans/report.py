@@ -7,8 +7,11 @@ rows of the input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,19 +45,29 @@ def build_report(
 
     Sales lines are read three times, whatever the number of results: once for the product
     rollup, once for the customer rollup and once for the list to promote. The rollups are
-    written to the checkpoint folder and everything else starts from them.
+    written to the checkpoint folder and everything else starts from them. Independent
+    steps, the model fits among them, are submitted together and share the cluster.
     ``models=False`` leaves out the regressor, the outlier flags and the segments.
     """
     spark = tables.sales.sparkSession
-    products = cut_lineage(rollup(tables.sales, "date", "product_id", "product_name", "region"))
-    customers = cut_lineage(rollup(tables.sales, "customer_id", "customer_name"))
+    products, customers = _side_by_side(
+        spark,
+        lambda: cut_lineage(rollup(tables.sales, "date", "product_id", "product_name", "region")),
+        lambda: cut_lineage(rollup(tables.sales, "customer_id", "customer_name")),
+    )
+    sales_part, gst_part, profit_part = _side_by_side(
+        spark,
+        lambda: _sales_section(products, forecaster, models, regressor or {}, holidays),
+        lambda: _gst_section(tables.gst, models, forest or {}),
+        lambda: _profitability_section(tables.sales, products, customers, models),
+    )
     return _one_row(
         spark,
-        sales=_struct(_sales_section(products, forecaster, models, regressor or {}, holidays)),
+        sales=_struct(sales_part),
         cashflow=_struct(_cashflow_section(tables.receivables)),
         inventory=_struct(_inventory_section(tables.inventory)),
-        gst=_struct(_gst_section(tables.gst, models, forest or {})),
-        profitability=_struct(_profitability_section(tables.sales, products, customers, models)),
+        gst=_struct(gst_part),
+        profitability=_struct(profit_part),
     )
 
 
@@ -234,6 +247,12 @@ def _profitability_section(
     return _extend(products.agg(*profitability.product_decision_counts()), **cells)
 
 
+def _side_by_side(spark: SparkSession, *steps: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run steps that submit jobs at the same time; results in the order given."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda step: step()), steps))
+
+
 def _one_row(spark: SparkSession, **cells: DataFrame) -> DataFrame:
     """One row whose columns are the given one-row, one-column results."""
     return spark.range(1).select(*[cell.scalar().alias(name) for name, cell in cells.items()])
