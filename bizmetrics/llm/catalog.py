@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizmetrics.llm import sql
+from bizmetrics.llm import sql, warc
+from bizmetrics.llm.html_extraction import extract
 from bizmetrics.llm.license_scan import license_scan
 from bizmetrics.llm.line_dedup import line_dedup
 from bizmetrics.llm.quality_rules import quality_rules
@@ -31,13 +32,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.md5("kept_text").alias("kept_md5"))
 
 
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = warc.write_bundles(warc.mark_revisits(table(spark, sf_dir, "pages")))
+    records = warc.read_bundles(places)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_license_scan, op3_quality_rules, op5_line_dedup, op9_source_mixing]
+    named = [op1_license_scan, op3_quality_rules, op5_line_dedup, op7_warc_bundles, op9_source_mixing, op10_html_extraction]
     return {q.__name__: q for q in named}
 
 
@@ -46,5 +57,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": sql.license_scan(),
         "op3_quality_rules": sql.quality_rules(),
         "op5_line_dedup": sql.line_dedup(),
+        "op7_warc_bundles": sql.warc_bundles(),
         "op9_source_mixing": sql.source_mixing(),
     }

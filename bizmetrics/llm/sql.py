@@ -114,6 +114,19 @@ select d.doc_id, coalesce(len(d.l), 0)::bigint as n_lines, coalesce(len(gone), 0
 from docs d left join cuts c on d.doc_id is not distinct from c.doc_id and d.text = c.text"""
 
 
+def warc_bundles(revisit_bytes: int = 100) -> str:
+    return f"""
+with hashed as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), firsts as (
+  select *, case when payload_bytes >= {revisit_bytes} then min(page_id) over (partition by payload_digest, payload_bytes >= {revisit_bytes}) end as first_id from hashed
+)
+select page_id, payload_bytes, payload_digest,
+  case when first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first_id then first_id end as refers_to
+from firsts"""
+
+
 def mixed(documents: str = "documents", seed: str = "mix", share: float = 1.5, most: float = 2.0) -> str:
     """Common table expressions; the last one, ``mixed``, has a row per document."""
     weights = ", ".join(f"{w}.0::double" for w in WEIGHTS)
