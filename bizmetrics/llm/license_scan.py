@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from bizmetrics.llm import text as T
 
+#: Template tables up to this many rows are sent to every executor; larger ones are joined by shuffling.
+BROADCAST_TEMPLATES = 10_000
+
 # Notices by which texts state their licence.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -91,7 +94,9 @@ def license_scan(
         raise ValueError("threshold must be in (0, 1]")
     if templates is None:
         templates = template_table(docs.sparkSession, TEMPLATES)
-    listed = templates.withColumn("size", F.explode(partner_sizes(threshold)))
+    listed = templates.withColumn("size", F.explode(partner_sizes(threshold)).cast("bigint"))
+    if templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+        listed = F.broadcast(listed)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     units = F.concat(
         F.array(F.struct(F.lit(-1).alias("line_no"), F.col("text").alias("unit"))),
@@ -107,7 +112,7 @@ def license_scan(
     dice = 2 * shared / (F.col("size") + F.size("template_bigrams"))
     best = F.min(F.struct((-F.col("dice")).alias("below"), "template_id", "dice"))
     return (
-        sized.join(listed.withColumn("size", F.col("size").cast("bigint")), "size")
+        sized.join(listed, "size")
         .withColumn("dice", dice)
         .where(F.col("dice") >= threshold)
         .groupBy("doc_id", "line_no")
