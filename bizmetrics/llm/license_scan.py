@@ -78,7 +78,7 @@ def partner_sizes(threshold: float) -> Column:
     """All set sizes with which a template can reach the threshold."""
     size = F.size("template_bigrams")
     low = F.greatest(F.ceil(size * threshold / (2 - threshold) - 1e-9), F.lit(1))
-    return F.sequence(low, F.floor(size * (2 - threshold) / threshold + 1e-9))
+    return F.sequence(low.cast("bigint"), F.floor(size * (2 - threshold) / threshold + 1e-9).cast("bigint"))
 
 
 def license_scan(
@@ -94,7 +94,7 @@ def license_scan(
         raise ValueError("threshold must be in (0, 1]")
     if templates is None:
         templates = template_table(docs.sparkSession, TEMPLATES)
-    listed = templates.withColumn("size", F.explode(partner_sizes(threshold)).cast("bigint"))
+    listed = templates.withColumn("size", F.explode(partner_sizes(threshold)))
     if templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
         listed = F.broadcast(listed)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
