@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizmetrics.llm import sql, warc
+from bizmetrics.llm.decontamination import contaminated
 from bizmetrics.llm.html_extraction import extract
 from bizmetrics.llm.license_scan import license_scan
 from bizmetrics.llm.line_dedup import line_dedup
+from bizmetrics.llm.quality_model import score_quality
 from bizmetrics.llm.quality_rules import quality_rules
 from bizmetrics.llm.source_mixing import mix_sources
 from bizmetrics.llm.text import table
@@ -32,12 +34,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.md5("kept_text").alias("kept_md5"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = warc.write_bundles(warc.mark_revisits(table(spark, sf_dir, "pages")))
     records = warc.read_bundles(places)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,7 +58,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_license_scan, op3_quality_rules, op5_line_dedup, op7_warc_bundles, op9_source_mixing, op10_html_extraction]
+    named = [
+        op1_license_scan,
+        op3_quality_rules,
+        op5_line_dedup,
+        op6_benchmark_decontamination,
+        op7_warc_bundles,
+        op8_quality_classifier,
+        op9_source_mixing,
+        op10_html_extraction,
+    ]
     return {q.__name__: q for q in named}
 
 

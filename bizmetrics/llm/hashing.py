@@ -59,8 +59,13 @@ class Piece(NamedTuple):
         return mix((sums[self.ends] - sums[self.starts]) * _powers[1][self.starts])
 
 
-def pieces(column: pa.Array) -> Iterator[Piece]:
-    """The texts of a string column (null: empty), piece by piece."""
+#: Word breaks where punctuation and symbols separate words as white space does.
+PUNCTUATION_TOO = _IS_SPACE.copy()
+PUNCTUATION_TOO[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def pieces(column: pa.Array, breaks: np.ndarray = _IS_SPACE) -> Iterator[Piece]:
+    """The texts of a string column (null: empty), piece by piece; ``breaks`` marks the bytes between words."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return
@@ -73,7 +78,7 @@ def pieces(column: pa.Array) -> Iterator[Piece]:
         data = everything[bounds[at] : bounds[stop]]
         edges = bounds[at : stop + 1] - bounds[at]
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = ~_IS_SPACE[data]
+        inside[1:-1] = ~breaks[data]
         begins = inside[1:-1] & ~inside[:-2]
         finishes = inside[1:-1] & ~inside[2:]
         at_edge = edges[:-1][edges[:-1] < len(data)]
