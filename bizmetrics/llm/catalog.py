@@ -16,6 +16,7 @@ from bizmetrics.llm.quality_model import score_quality
 from bizmetrics.llm.quality_rules import quality_rules
 from bizmetrics.llm.source_mixing import mix_sources
 from bizmetrics.llm.text import table
+from bizmetrics.llm.token_files import read_ids, write_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_ids(table(spark, sf_dir, "documents"), default_tokenizer())
+    return read_ids(manifest, ids=False).drop("ids")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"))
     return judged.withColumns({c: F.round(c, 4) for c in ("class_distance", "word_distance")})
@@ -60,6 +72,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         op1_license_scan,
+        op2_token_files,
         op3_quality_rules,
         op5_line_dedup,
         op6_benchmark_decontamination,
