@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bizmetrics.llm import sql, warc
 from bizmetrics.llm.decontamination import contaminated
 from bizmetrics.llm.html_extraction import extract
+from bizmetrics.llm.jaccard_join import near_duplicates
 from bizmetrics.llm.license_scan import license_scan
 from bizmetrics.llm.line_dedup import line_dedup
 from bizmetrics.llm.quality_model import score_quality
@@ -41,6 +42,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 4) for c in ("class_distance", "word_distance")})
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.md5("kept_text").alias("kept_md5"))
@@ -74,6 +79,7 @@ def queries() -> dict[str, Query]:
         op1_license_scan,
         op2_token_files,
         op3_quality_rules,
+        op4_jaccard_join,
         op5_line_dedup,
         op6_benchmark_decontamination,
         op7_warc_bundles,

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.llm import text as T
+from bizmetrics.llm.text import small_or_shuffled
 
 # Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -86,13 +87,14 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and the copies' finish times."""
+    """One row per document: doc_id, source, size, source_size, target, taken, the copies' finish times, text_hash."""
     sized = cut_lineage(
         docs.select(
             F.col(id_column).alias("doc_id"),
             F.col(source).alias("source"),
             T.n_words(F.col(text)).alias("size"),
             F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")))).alias("shuffle"),
+            F.xxhash64(text).alias("text_hash"),
         )
     )
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -118,10 +120,28 @@ def mix_sources(
         for copy, finish in enumerate(FINISHES)
     ]
     return timed.withColumn("taken", (counts[0] + counts[1]).cast("bigint")).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", *FINISHES
+        "doc_id", "source", "size", "source_size", "target", "taken", *FINISHES, "text_hash"
     )
 
 
+def mixed_documents(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with every document as often as the mix takes it: not at all, once, or twice.
+
+    Rows that agree in id and text are one document here, taken as often as all of them together.
+    """
+    mixed = mix_sources(docs, id_column=id_column, text=text, **options)
+    copies = mixed.where("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.expr("taken div size").cast("int").alias("_times")
+    )
+    copies = cut_lineage(copies.groupBy("_id", "_hash").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_rows")))
+    same = docs[id_column].eqNullSafe(copies["_id"]) & (F.xxhash64(docs[text]) == copies["_hash"])
+    joined = docs.join(small_or_shuffled(copies), same)
+    again = [F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")]
+    single = joined.where("_rows = 1").select(*[docs[c] for c in docs.columns], *again)
+    several = joined.where("_rows > 1").dropDuplicates([id_column, text]).select(*[docs[c] for c in docs.columns], *again)
+    return single.unionByName(several).drop("_copy")
+
+
 def _place(finish: str, copy: int) -> Column:
     """Place of a copy in the mixed sequence; null for copies that never run."""
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~"))

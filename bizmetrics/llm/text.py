@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -31,3 +31,12 @@ def bind(value: Column, use) -> Column:
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a few numbers each that may be sent to every executor.
+SMALL_TABLE_ROWS = 1_000_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows that it is small; else Spark joins it by shuffling."""
+    return F.broadcast(df) if df.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS else df
