@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.llm.hashing import grams, mix, pieces, shingle_set
-from bizmetrics.llm.text import small_or_shuffled
+from bizmetrics.llm.text import free_names, small_or_shuffled
 
 HOT_BITS = 20  # bits of the table of frequent shingles
 HOT_COUNT = 8  # sets of a window that make a shingle frequent
@@ -423,9 +423,11 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text",
     """
     grouped = near_duplicates(docs, id_column=id_column, text=text, **options)
     gone = cut_lineage(grouped.where("doc_id != component_id").select(F.col("doc_id").alias(id_column)).distinct())
-    twice = cut_lineage(docs.groupBy(id_column).count().where(F.col("count") > 1).select(id_column))
+    counted = docs.groupBy(id_column).agg(F.count(F.lit(1)).alias(f"{id_column}_rows"))
+    twice = cut_lineage(counted.where(F.col(f"{id_column}_rows") > 1).select(id_column))
     kept = docs.join(gone, id_column, "left_anti")
     once = kept.join(twice, id_column, "left_anti")
+    (row,) = free_names(docs, "row")
     number = F.row_number().over(Window.partitionBy(id_column).orderBy(F.xxhash64(text), text))
-    several = kept.join(twice, id_column, "left_semi").withColumn("_row", number).where("_row = 1").drop("_row")
+    several = kept.join(twice, id_column, "left_semi").withColumn(row, number).where(F.col(row) == 1).drop(row)
     return once.unionByName(several).select(*docs.columns)

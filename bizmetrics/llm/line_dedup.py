@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics.llm import text as T
+from bizmetrics.llm.text import free_names
 
 WIDTH = 3
 
@@ -50,22 +51,24 @@ def line_dedup(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text"
     covered = F.array_distinct(
         F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + WIDTH - 1)))
     )
-    cuts = later.groupBy("doc").agg(covered.alias("_covered"))
-    cuts = cuts.select(F.col("doc.id").alias("_id"), F.col("doc.body").alias("_body"), "_covered")
-    plain = docs.drop("n_lines", "n_removed", "kept_text").withColumn("_doc_body", body)
+    plain = docs.drop("n_lines", "n_removed", "kept_text")
+    key, digest, own, gone = free_names(plain, "key", "digest", "own_digest", "gone")
+    cuts = later.groupBy("doc").agg(covered.alias(gone))
+    cuts = cuts.select(F.col("doc.id").alias(key), F.col("doc.body").alias(digest), gone)
     kept = T.bind(
-        F.col("_covered"),
-        lambda gone: F.filter(lines, lambda line, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False))),
+        F.col(gone),
+        lambda cut: F.filter(lines, lambda line, i: ~F.coalesce(F.array_contains(cut, i), F.lit(False))),
     )
+    same = F.col(id_column).eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest))
     return (
-        plain.join(cuts, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_doc_body") == F.col("_body")), "left")
+        plain.withColumn(own, body)
+        .join(cuts, same, "left")
         .withColumns(
             {
-                "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"),
-                "n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("bigint"),
-                "kept_text": F.when(F.col("_covered").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
+                "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint"),
+                "n_removed": F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("bigint"),
+                "kept_text": F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
             }
         )
-        .withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_lines")))
-        .drop("_id", "_body", "_doc_body", "_covered")
+        .drop(key, digest, own, gone)
     )

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bizmetrics.llm.hashing import pieces
+from bizmetrics.llm.text import free_names
 
 PASSAGE_WORDS = 64
 HASHED, PLAIN, ENCODED, GATE = 16, 13, 16, 8
@@ -221,7 +222,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_i
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
-    name = "_quality_score"
-    while name in docs.columns:
-        name += "_"
+    (name,) = free_names(docs, "quality_score")
     return with_scores(docs, labels, name=name, **options).where(F.col(name) >= threshold).drop(name)

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.llm import text as T
-from bizmetrics.llm.text import small_or_shuffled
+from bizmetrics.llm.text import free_names, small_or_shuffled
 
 # Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 FINISHES = ("first_finish", "second_finish")
 
 
@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.5, most: floa
     budget = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share))
     # The level if this source and all that fill up later are open: the first level under its own fill level holds.
     level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levels = weighted.withColumn("budget", budget).withColumn("fill", fill).withColumn("level", level)
-    found = F.min(F.when(F.col("level") <= F.col("fill"), F.struct(F.col("fill"), F.col("level")))).over(Window.partitionBy())
+    levels = weighted.withColumn("budget", budget).withColumn("level", level).withColumn("place", F.row_number().over(by_fill))
+    found = F.min(F.when(F.col("level") <= fill, F.struct("place", "level"))).over(Window.partitionBy())
     return levels.withColumn("common", found["level"]).select(
         "source",
         "source_size",
@@ -130,16 +130,18 @@ def mixed_documents(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
     Rows that agree in id and text are one document here, taken as often as all of them together.
     """
     mixed = mix_sources(docs, id_column=id_column, text=text, **options)
+    key, body, times, rows, copy = free_names(docs, "key", "body", "times", "rows", "copy")
     copies = mixed.where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.expr("taken div size").cast("int").alias("_times")
+        F.col("doc_id").alias(key), F.col("text_hash").alias(body), F.expr("taken div size").cast("int").alias(times)
     )
-    copies = cut_lineage(copies.groupBy("_id", "_hash").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_rows")))
-    same = docs[id_column].eqNullSafe(copies["_id"]) & (F.xxhash64(docs[text]) == copies["_hash"])
+    copies = cut_lineage(copies.groupBy(key, body).agg(F.sum(times).cast("int").alias(times), F.count(F.lit(1)).alias(rows)))
+    same = F.col(id_column).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(body))
     joined = docs.join(small_or_shuffled(copies), same)
-    again = [F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")]
-    single = joined.where("_rows = 1").select(*[docs[c] for c in docs.columns], *again)
-    several = joined.where("_rows > 1").dropDuplicates([id_column, text]).select(*[docs[c] for c in docs.columns], *again)
-    return single.unionByName(several).drop("_copy")
+    single = joined.where(F.col(rows) == 1)
+    several = joined.where(F.col(rows) > 1).dropDuplicates([key, body])
+    return (
+        single.unionByName(several).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    )
 
 
 def _place(finish: str, copy: int) -> Column:

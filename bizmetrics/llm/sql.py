@@ -138,11 +138,11 @@ sized as (
     [{weights}][(row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1] as weight
   from (select source, sum(size) as source_size from sized group by source)
 ), leveled as (
-  select *, cap / weight as fill, (budget - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+  select *, cap / weight as fill, row_number() over (order by cap / weight, source nulls last) as place, (budget - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
   from sources
 ), wanted as (
-  select source, source_size, budget, coalesce(least(cap, weight * (select first(level order by fill, level) from leveled where level <= fill)), cap) as target from leveled
+  select source, source_size, budget, coalesce(least(cap, weight * (select first(level order by place) from leveled where level <= fill)), cap) as target from leveled
 ), queued as (
   select sized.*, source_size, target, budget, sum(size) over (partition by sized.source order by shuffle, doc_id, size rows unbounded preceding) as served
   from sized join wanted on sized.source is not distinct from wanted.source

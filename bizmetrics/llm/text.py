@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -29,7 +34,11 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def table(spark, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables of a folder. Python workers get the path of this package, wherever the driver was started."""
+    paths = spark.sparkContext.environment
+    if ROOT not in (known := paths.get("PYTHONPATH", "")).split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,3 +49,15 @@ SMALL_TABLE_ROWS = 1_000_000
 def small_or_shuffled(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it is small; else Spark joins it by shuffling."""
     return F.broadcast(df) if df.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
