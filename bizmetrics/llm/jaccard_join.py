@@ -14,10 +14,10 @@ A document is the set of its distinct 5-word shingles (64-bit hashes of lower-ca
    A set whose segments are worth too little also indexes single shingles, for which there always are enough.
 4. Cost-based allocation. Each band gets the segment count and the match kind with the least expected cost: signatures
    plus meetings of frequent contents, from counts of all documents of the band.
-5. Buckets of equal signatures propose a link from every member to the smallest member. Proposals are verified on
-   the full sets; where members of a bucket are still in different groups afterwards, all their remaining pairs across
-   groups are checked too (after exact bounds from sizes and parity bits), so no group is missed and a group of
-   thousands of near copies costs one verification per member.
+5. Buckets of equal signatures propose a link from every member to the smallest member. Each set's lowest proposal
+   is verified on the full sets; where members of a bucket are still in different groups afterwards, their remaining pairs
+   across groups that sizes allow are checked too, so no group is missed and thousands of near copies that match one
+   set cost one comparison each.
 
 Groups are found by label propagation over written tables; texts, links and groups stay distributed. The driver sees a
 few numbers per band and a bit table of fixed size. Hash collisions can only add candidates; equality of classes and
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,11 +45,11 @@ from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.llm.hashing import grams, mix, pieces, shingle_set
 from bizmetrics.llm.text import free_names, small_or_shuffled
 
-HOT_BITS = 20  # bits of the table of frequent shingles
-HOT_COUNT = 8  # sets of a window that make a shingle frequent
-WINDOW_SHINGLES = 2_000_000
+COUNT_BITS = 24  # bits of the shingle count table: 2 ** COUNT_BITS counters, whatever the input
+COUNT_PARTS = 64
+WINDOW_SHINGLES = 2_000_000  # shingles counted at once
 IDENTITY_BANDS = 5  # bands up to this one (sizes under 32) use every shingle as its own segment
-MEMBERS_PER_TASK = 2_000
+BLOCK_SETS = 128  # sets of a family that are compared in one task, on either side
 
 
 class Allocation(NamedTuple):
@@ -66,11 +67,11 @@ def bands_of(size: int, threshold: float) -> list[int]:
     return list(range(own, top + 1))
 
 
-def allocate(band: int, sets: int, shingles: int, frequent: int, threshold: float) -> Allocation:
-    """The cheapest way to index a band of ``sets`` sets with that many shingles in total, some of them frequent."""
+def allocate(band: int, sets: int, share: float, threshold: float) -> Allocation:
+    """The cheapest way to index a band of ``sets`` sets when that share of shingles is frequent."""
     if band <= IDENTITY_BANDS:
         return Allocation(0, False)
-    share = min(frequent / max(shingles, 1), 0.999)
+    share = min(share, 0.999)
     best = None
     for segments, deletions in ((1 << band, False), (1 << band - 1, False), (1 << band - 2, True)):
         cost = 0.0
@@ -109,7 +110,7 @@ def signatures(shingles: np.ndarray, hot: np.ndarray, plan: dict[int, Allocation
     need = distance_bound(len(shingles), threshold) + 1
     found = []
     for band in bands_of(len(shingles), threshold):
-        segments, deletions = plan.get(band) or allocate(band, 0, 0, 0, threshold)
+        segments, deletions = plan.get(band) or allocate(band, 0, 0.0, threshold)
         salt = _salt(band, segments, deletions)
         if not segments:
             found.append(_single(shingles, hot, need, salt))
@@ -157,62 +158,89 @@ def _class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketch(shingles: np.ndarray) -> int:
-    """64 parity bits of a set: two sets' bits differ in at most as many places as the sets do."""
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (shingles >> np.uint64(58))).astype(np.int64))
-
-
-_DESCRIBED = "doc_id long, n int, class_id long, sketch long, frequent int, bin int"
+_DESCRIBED = "doc_id long, n int, class_id long, part int, counts binary"
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document, and rows with only ``bin`` for frequent shingles."""
-    names = ["doc_id", "n", "class_id", "sketch", "frequent", "bin"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    """A row per document, and per task ``COUNT_PARTS`` rows with its part of the shingle counts."""
+    names = ["doc_id", "n", "class_id", "part", "counts"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+    def rows_batch(rows: list) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = []
-        fresh: dict[int, np.ndarray] = {}
+        counts = np.zeros(1 << COUNT_BITS, np.uint16)
+        seen: set[int] = set()
+        fresh: list[np.ndarray] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal rows, fresh, held
-            values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *fresh.values()]), return_counts=True)
-            hot = values[counts >= HOT_COUNT]
-            for row in rows:
-                row[4] = int(np.isin(fresh[row[2]], hot, assume_unique=True).sum()) if row[1] and len(hot) else 0
-            bins = np.unique(hot & np.uint64((1 << HOT_BITS) - 1)).tolist()
-            rows += [[None, None, None, None, None, b] for b in bins]
-            columns = list(zip(*rows)) or [()] * len(names)
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-            rows, fresh, held = [], {}, 0
-            return batch
+        def count() -> None:
+            nonlocal fresh, held
+            if fresh:
+                places, times = np.unique(_counter(np.concatenate(fresh)), return_counts=True)
+                counts[places] = np.minimum(counts[places].astype(np.int64) + times, 65535)
+            fresh, held = [], 0
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, rows = batch.column(0).to_pylist(), []
             for row, shingles in _sets(batch.column(1), width):
-                if not len(shingles):
-                    rows.append([ids[row], 0, None, None, 0, None])
-                    continue
-                name = _class_id(shingles)
-                if name not in fresh:
-                    fresh[name] = shingles
+                name = _class_id(shingles) if len(shingles) else None
+                rows.append((ids[row], len(shingles), name, None, None))
+                if name is not None and name not in seen:  # copies count once per task
+                    seen.add(name)
+                    fresh.append(shingles)
                     held += len(shingles)
-                rows.append([ids[row], len(shingles), name, _sketch(shingles), 0, None])
-                if held >= WINDOW_SHINGLES:
-                    yield flush()
-            if len(rows) >= 50_000:
-                yield flush()
-        yield flush()
+                    if held >= WINDOW_SHINGLES:
+                        count()
+            yield rows_batch(rows)
+        count()
+        if seen:
+            parts = np.split(counts, COUNT_PARTS)
+            yield rows_batch([(None, None, None, i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(parts)])
 
     return docs.mapInArrow(run, _DESCRIBED)
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
+
+
+def _frequent(described: DataFrame, shingles: int) -> tuple[np.ndarray, float]:
+    """Which counters stand out, and the share of all counted shingles that they hold.
+
+    Counts of one part are added up as they stream by. The result has a fixed size.
+    """
+    mean = shingles / (1 << COUNT_BITS)
+    limit = mean + 6 * math.sqrt(mean) + 8
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(*[c.to_pylist() for c in batch.columns]):
+                one = np.frombuffer(zlib.decompress(packed), np.uint16)
+                sums[part] = sums[part] + one if part in sums else one.astype(np.int64)
+        rows = [(part, np.packbits(t > limit).tobytes(), int(t[t > limit].sum()), int(t.sum())) for part, t in sums.items()]
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "bits", "hot", "total"])
+
+    parts = described.where(F.col("part").isNotNull()).select("part", "counts").repartition(COUNT_PARTS, "part")
+    table = np.zeros(1 << COUNT_BITS, bool)
+    size, hot, total = (1 << COUNT_BITS) // COUNT_PARTS, 0, 0
+    for row in parts.mapInArrow(merge, "part int, bits binary, hot long, total long").collect():
+        table[row.part * size : (row.part + 1) * size] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+        hot, total = hot + row.hot, total + row.total
+    return np.packbits(table), hot / max(total, 1)
+
+
 def _index(docs: DataFrame, shared, width: int, threshold: float) -> DataFrame:
     """(signature, class_id) of every class; classes repeated within a task are indexed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, table = shared.value
+        plan, packed = shared.value
+        table = np.unpackbits(packed).astype(bool)
         seen: set[int] = set()
         for batch in batches:
             keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
@@ -220,7 +248,7 @@ def _index(docs: DataFrame, shared, width: int, threshold: float) -> DataFrame:
                 if not len(shingles) or (name := _class_id(shingles)) in seen:
                     continue
                 seen.add(name)
-                hot = table[(shingles & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)]
+                hot = table[_counter(shingles)]
                 keys.append(signatures(shingles, hot, plan, threshold))
                 owners.append(np.full(len(keys[-1]), name, np.int64))
             columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))]
@@ -256,20 +284,34 @@ def _buckets(index: DataFrame) -> DataFrame:
     return index.repartition("signature").mapInArrow(run, "signature long, leader long, class_id long")
 
 
-def _verify(docs: DataFrame, classes: DataFrame, proposed: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The rows (a, b) of ``proposed`` whose sets link.
+_COMPARED = "family long, i int, j int, kind int, a long, b long, a_label long, b_label long, shingles binary"
 
-    Members of a popular ``a`` are dealt over several tasks, each with its own copy of that set.
+
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, families: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links among ``pairs`` (a, b, a_label, b_label): enough of them to join the labels that all of them would join.
+
+    A family, which is all that proposals connect, is dealt into blocks of about ``BLOCK_SETS`` sets. The pairs of two blocks meet in
+    one task with the sets they need, so a set travels once per block it is compared with and not once per pair. A pair whose
+    labels earlier links of the task already join is not compared again.
     """
-    sizes = proposed.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
-    parts = F.ceil(F.col("members") / MEMBERS_PER_TASK)
-    dealt = proposed.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
-    dealt = cut_lineage(dealt)
-    wanted = dealt.select("a", F.col("b").alias("class_id"), "part", F.lit(1).alias("member")).unionByName(
-        dealt.select("a", F.col("a").alias("class_id"), "part", F.lit(0).alias("member")).distinct()
+    member = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    member = families.join(member, "label").select(
+        F.col("node").alias("class_id"),
+        F.col("label").alias("family"),
+        F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_SETS)).cast("int").alias("block"),
+    )
+    member = cut_lineage(member)
+    of_a, of_b = (
+        member.select(F.col("class_id").alias(c), F.col("family").alias(f"{c}_family"), F.col("block").alias(f"{c}_block")) for c in "ab"
     )
-    placed = small_or_shuffled(cut_lineage(wanted.join(classes.select("class_id", "id"), "class_id")))
-    texts = docs.join(placed, docs["doc_id"].eqNullSafe(placed["id"])).select("text", "class_id", "a", "part", "member")
+    dealt = pairs.join(of_a, "a").join(of_b, "b").withColumn("family", F.col("a_family"))
+    dealt = dealt.withColumns({"i": F.least("a_block", "b_block"), "j": F.greatest("a_block", "b_block")})
+    dealt = cut_lineage(dealt.select("family", "i", "j", F.lit(1).alias("kind"), "a", "b", "a_label", "b_label"))
+    cell = ["family", "i", "j"]
+    wanted = dealt.select(*cell, F.col("a").alias("class_id")).union(dealt.select(*cell, F.col("b").alias("class_id")))
+    placed = wanted.distinct().join(classes.select("class_id", "id"), "class_id")
+    placed = small_or_shuffled(cut_lineage(placed))
+    texts = docs.join(placed, docs["doc_id"].eqNullSafe(placed["id"])).select("text", "class_id", *cell)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,31 +322,48 @@ def _verify(docs: DataFrame, classes: DataFrame, proposed: DataFrame, width: int
                     keep.append(row)
                     packed.append(shingles.tobytes())
             chosen = batch.take(pa.array(keep, pa.int64()))
-            columns = [*(chosen.column(c) for c in ("a", "part", "member", "class_id")), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "part", "member", "class_id", "shingles"])
+            none = pa.nulls(len(keep), pa.int64())
+            columns = [chosen.column(c) for c in cell] + [pa.array([0] * len(keep), pa.int32()), chosen.column("class_id")]
+            yield pa.RecordBatch.from_arrays([*columns, none, none, none, pa.array(packed, pa.binary())], _COMPARED_NAMES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, own = None, None
+        here, held, root = None, {}, {}
+
+        def find(label: int) -> int:
+            while (above := root.get(label, label)) != label:
+                root[label] = root.get(above, above)
+                label = root[label]
+            return label
+
         for batch in batches:
             linked = []
-            for a, member, name, packed in zip(*[batch.column(c).to_pylist() for c in ("a", "member", "class_id", "shingles")]):
-                if not member:
-                    leader, own = a, np.frombuffer(packed, np.uint64)
+            for *at, kind, a, b, a_label, b_label, packed in zip(*[c.to_pylist() for c in batch.columns]):
+                if at != here:
+                    here, held, root = at, {}, {}
+                if not kind:
+                    held[a] = np.frombuffer(packed, np.uint64)
+                    continue
+                low, high = find(a_label), find(b_label)
+                if low == high:
                     continue
-                other = np.frombuffer(packed, np.uint64)
-                if leader != a:
-                    raise ValueError("a set to compare with is missing")
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                if shared >= threshold * (len(own) + len(other) - shared) - 1e-9:
-                    linked.append((a, name))
+                one, other = held[a], held[b]
+                if min(len(one), len(other)) < threshold * max(len(one), len(other)) - 1e-9:
+                    continue
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                if shared >= threshold * (len(one) + len(other) - shared) - 1e-9:
+                    linked.append((a, b))
+                    root[high] = low
             columns = list(zip(*linked)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    made = texts.mapInArrow(sets, "a long, part int, member int, class_id long, shingles binary")
-    ordered = made.repartition("a", "part").sortWithinPartitions("a", "part", "member")
+    rows = texts.mapInArrow(sets, _COMPARED).unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
+    ordered = rows.repartition(*cell).sortWithinPartitions(*cell, "kind")
     return cut_lineage(ordered.mapInArrow(compare, "a long, b long").distinct())
 
 
+_COMPARED_NAMES = ["family", "i", "j", "kind", "a", "b", "a_label", "b_label", "shingles"]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b); the label is the smallest node of its component.
 
@@ -329,42 +388,53 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket in different groups that sizes and parity bits do not rule out."""
+    """Distinct pairs (a, b, a_label, b_label) of one bucket in different groups that their sizes do not rule out."""
     members = buckets.select("signature", "class_id").unionByName(
         buckets.select("signature", F.col("leader").alias("class_id")).distinct()
     )
     grouped = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = cut_lineage(grouped.withColumn("label", F.coalesce("label", "class_id")))
-    mixed = grouped.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed = cut_lineage(mixed.where("low != high and n > 2").select("signature"))
-    open_members = grouped.join(mixed, "signature").join(classes.select("class_id", "n", "sketch"), "class_id")
-    columns = ["signature", "label", "class_id", "n", "sketch"]
+    mixed = grouped.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = cut_lineage(mixed.where("low != high").select("signature"))
+    columns = ["signature", "label", "class_id", "n"]
+    open_members = grouped.join(mixed, "signature").join(classes.select("class_id", "n"), "class_id").select(*columns)
+
+    def distinct(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        return rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))]
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(4)], ["a", "b", "a_label", "b_label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[batch.column(c).to_numpy() for c in columns] for batch in batches]
         if not parts:
             return
-        key, label, name, size, bits = (np.concatenate(c) for c in zip(*parts))
+        key, label, name, size = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((size, key))
-        key, label, name, size, bits = (c[order] for c in (key, label, name, size, bits))
-        bits = bits.view(np.uint64)
-        ends = np.searchsorted(key, key, "right")
-        for i in range(len(key) - 1):
-            # Partners from here on are as large or larger.
-            stop = i + 1 + np.searchsorted(size[i + 1 : ends[i]], size[i] / threshold + 1e-9, "right")
-            other = slice(i + 1, stop)
-            apart = label[other] != label[i]
-            if not apart.any():
-                continue
-            bound = distance_bound(int(size[i]), threshold)
-            close = apart & (np.bitwise_count(bits[other] ^ bits[i]) <= bound)
-            if close.any():
-                partners = name[other][close]
-                mine = np.full(len(partners), name[i])
-                pair = [pa.array(np.minimum(mine, partners)), pa.array(np.maximum(mine, partners))]
-                yield pa.RecordBatch.from_arrays(pair, ["a", "b"])
-
-    return open_members.select(*columns).repartition("signature").mapInArrow(run, "a long, b long")
+        key, label, name, size = (c[order] for c in (key, label, name, size))
+        edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        found, held = [], 0
+        for start, stop in zip(edges.tolist(), np.append(edges[1:], len(key)).tolist()):
+            for low in range(start, stop, 256):  # blocks of rows bound the memory
+                some = slice(low, min(low + 256, stop))
+                i, j = np.nonzero((label[some, None] != label[None, low:stop]) & (size[None, low:stop] * threshold <= size[some, None]))
+                i, j = i[j > i] + low, j[j > i] + low
+                if len(i):
+                    swap = name[i] > name[j]
+                    a, b = np.where(swap, j, i), np.where(swap, i, j)
+                    found.append(np.stack([name[a], name[b], label[a], label[b]], 1))
+                    held += len(a)
+            if held > 1_000_000:
+                found = [distinct(found)]
+                held = 0
+                if len(found[0]) > 1_000_000:
+                    yield batch_of(found.pop())
+        if found:
+            yield batch_of(distinct(found))
+
+    return open_members.repartition("signature").mapInArrow(run, "a long, b long, a_label long, b_label long").distinct()
 
 
 def near_duplicates(
@@ -375,36 +445,29 @@ def near_duplicates(
         raise ValueError("threshold must be between 0.5 and 1")
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     described = cut_lineage(_describe(source, width))
-    rows = described.where(F.col("bin").isNull())
+    rows = described.where(F.col("part").isNull())
     classes = cut_lineage(
         rows.where("n > 0")
         .groupBy("class_id")
-        .agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("frequent").alias("frequent"))
+        .agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
     )
-    plan: dict[int, Allocation] = {}
     band = F.length(F.bin(F.col("n").cast("bigint")))
-    per_band = classes.groupBy(band.alias("band")).agg(
-        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"), F.sum("frequent").alias("frequent")
-    )
-    for row in per_band.collect():  # one row per band: at most 31
-        plan[row.band] = allocate(row.band, row.sets, row.shingles, row.frequent, threshold)
-    hot = np.zeros(1 << HOT_BITS, bool)
-    for row in described.where(F.col("bin").isNotNull()).select("bin").distinct().toLocalIterator():
-        hot[row.bin] = True  # at most 2 ** HOT_BITS rows
+    per_band = classes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    bands = per_band.collect()  # one row per band: at most 31
+    hot, share = _frequent(described, sum(row.shingles for row in bands))
+    plan = {row.band: allocate(row.band, row.sets, share, threshold) for row in bands}
     shared = source.sparkSession.sparkContext.broadcast((plan, hot))
 
     buckets = cut_lineage(_buckets(_index(source, shared, width, threshold)))
     proposed = cut_lineage(buckets.select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct())
-    first = cut_lineage(proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = _verify(source, classes, first, width, threshold)
+    families = components(proposed)
+    first = proposed.groupBy("b").agg(F.min("a").alias("a"))
+    first = cut_lineage(first.select("a", "b", F.col("a").alias("a_label"), F.col("b").alias("b_label")))
+    links = _verify(source, classes, first, families, width, threshold)
     labels = components(links)
 
-    left, right = (labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab")
-    pairs = proposed.unionByName(_across(buckets, classes, labels, threshold)).distinct()
-    apart = pairs.join(left, "a", "left").join(right, "b", "left")
-    apart = apart.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    apart = cut_lineage(apart.join(first, ["a", "b"], "left_anti"))
-    links = cut_lineage(links.unionByName(_verify(source, classes, apart, width, threshold)))
+    apart = cut_lineage(_across(buckets, classes, labels, threshold).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    links = cut_lineage(links.unionByName(_verify(source, classes, apart, families, width, threshold)))
     labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
