@@ -30,6 +30,7 @@ from bizmetrics.llm.range_coder import pack_chunk, unpack_chunk
 MAGIC = b"IDCHUNK1"
 CHUNK_IDS = 1 << 22
 KEPT_WORDS = 1_000_000
+TEXTS_AT_ONCE = 500  # texts whose new words are tokenized together
 BETWEEN = "<|endoftext|>"  # a special token of the tokenizer
 MANIFEST = "file string, part int, chunk int, offset long, length long, n_docs long, n_ids long"
 
@@ -44,18 +45,17 @@ class WordEncoder:
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()  # bytes.split: space, \\t, \\n, \\v, \\f, \\r
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        # bytes.split: space, \\t, \\n, \\v, \\f, \\r
+        split = [(text or "").encode().split() for text in texts]
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in known})
-        if len(known) > KEPT_WORDS:  # a cache, not a limit on words
+        new = set().union(*split).difference(known)
+        if len(known) > KEPT_WORDS and new:  # a cache, not a limit on words
             known.clear()
-            new = list(set(words))
-        self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+            new = set().union(*split)
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def _learn(self, words: list[bytes]) -> None:
         """Tokenize many words in few calls: with a special token between them, whose id marks where each word ends."""
@@ -101,7 +101,12 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        rows = (
+            row
+            for batch in batches
+            for some in (batch.slice(at, TEXTS_AT_ONCE) for at in range(0, batch.num_rows, TEXTS_AT_ONCE))
+            for row in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()))
+        )
         first = next(rows, None)
         if first is None:
             return
@@ -121,8 +126,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 position, ids, lengths, texts, held = position + len(chunk), [], [], [], 0
 
             while first is not None:
-                doc_id, text = first
-                coded = encode(text) + end
+                doc_id, coded = first
+                coded += end
                 ids.append(doc_id)
                 lengths.append(len(coded) // 4)
                 texts.append(coded)
