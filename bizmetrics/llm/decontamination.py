@@ -2,7 +2,7 @@
 
 Benchmark items are a stated query set, taken in blocks of ``items_per_block``; each block is searched in all
 documents. Words are lower-cased (A-Z) and broken at white space and ASCII punctuation. A first pass counts in how many documents
-each n-gram of the items occurs. The seeds of an item are the rarer half of its n-grams, so a phrase that many documents
+each n-gram of the items occurs. The seeds of an item are its rarest n-grams that occur, as many as half of all it has, so a phrase that many documents
 share starts few alignments while every copy still holds seeds. A second pass finds the seeds in each document,
 merges seeds on neighbouring diagonals into passages, and aligns each passage with its item word by word: match 2,
 mismatch -1, gap -1, local. The score is the best alignment over 2 x the item's words, 1 for an exact copy; edits,
@@ -185,8 +185,9 @@ def contaminated(
         seeds: list[tuple[int, int, int]] = []
         for item, hashes in enumerate(own):
             key = np.searchsorted(index.keys, hashes)
-            rare = np.lexsort((hashes, frequency[key]))[: max(1, int(np.ceil(len(hashes) * seed_share)))]
-            seeds += [(int(hashes[p]), item, int(p)) for p in rare]
+            order = np.lexsort((hashes, frequency[key]))
+            order = order[frequency[key][order] > 0]  # what no document holds can find nothing
+            seeds += [(int(hashes[p]), item, int(p)) for p in order[: int(np.ceil(len(hashes) * seed_share))]]
         seeds.sort()
         seed_index = GramIndex(np.array([s[0] for s in seeds], np.uint64))
         starts = np.searchsorted(np.array([s[0] for s in seeds], np.uint64), seed_index.keys)
