@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.llm.hashing import grams, mix, pieces, shingle_set
-from bizmetrics.llm.text import free_names, small_or_shuffled
+from bizmetrics.llm.text import free_names, rows_per_batch, small_or_shuffled
 
 COUNT_BITS = 24  # bits of the shingle count table: 2 ** COUNT_BITS counters, whatever the input
 COUNT_PARTS = 64
@@ -426,10 +426,10 @@ def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold
                     a, b = np.where(swap, j, i), np.where(swap, i, j)
                     found.append(np.stack([name[a], name[b], label[a], label[b]], 1))
                     held += len(a)
-            if held > 1_000_000:
+            if held > 300_000:
                 found = [distinct(found)]
                 held = 0
-                if len(found[0]) > 1_000_000:
+                if len(found[0]) > 300_000:
                     yield batch_of(found.pop())
         if found:
             yield batch_of(distinct(found))
@@ -444,6 +444,11 @@ def near_duplicates(
     if not 0.5 < threshold < 1:
         raise ValueError("threshold must be between 0.5 and 1")
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    with rows_per_batch(docs.sparkSession, 1_000):
+        return _near_duplicates(source, width, threshold)
+
+
+def _near_duplicates(source: DataFrame, width: int, threshold: float) -> DataFrame:
     described = cut_lineage(_describe(source, width))
     rows = described.where(F.col("part").isNull())
     classes = cut_lineage(
