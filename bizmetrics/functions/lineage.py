@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """This application's part of ``spark.checkpoint.dir``; a folder of our own only on a local master."""
+    """This application's part of ``spark.checkpoint.dir``; where that is unset, of the warehouse folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="bizmetrics-checkpoint-")
+            # The warehouse is shared like the tables in it.
+            shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_bizmetrics_checkpoint"
         context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 

@@ -45,9 +45,14 @@ def decision_of(margin, promote_above: float = PROMOTE_ABOVE, discontinue_below:
 def as_measures(
     sales: DataFrame, promote_above: float = PROMOTE_ABOVE, discontinue_below: float = DISCONTINUE_BELOW
 ) -> DataFrame:
-    """Add the additive forms of the percentage columns; rollups pass through unchanged."""
+    """Add the additive forms of the percentage columns; rollups pass through unchanged.
+
+    A rollup has lost the margins of its lines, so it keeps the bounds it was made with: others are an error.
+    """
     have = set(sales.columns)
-    if have & {"margin_sum", "discount_sum"}:
+    if have & {"margin_sum", "discount_sum"} and not have & {"margin_pct", "discount_pct"}:
+        if (promote_above, discontinue_below) != (PROMOTE_ABOVE, DISCONTINUE_BELOW):
+            raise ValueError("give the bounds to the rollup; its lines' margins are gone")
         return sales
     added: dict[str, Column] = {}
     if "margin_pct" in have:

@@ -57,21 +57,21 @@ def seasonal_forecast(
     holidays: DataFrame | None = None,
     **options: float,
 ) -> DataFrame:
-    """Trend x yearly season fitted on each whole series, with an 80 % band.
+    """Trend x (1 + yearly season) fitted on each whole series, with an 80 % band.
 
-    ``series`` has the keys, ``date`` and ``revenue``. It is summed per key and date first, so
+    ``series`` has the keys, ``date`` and ``revenue``. It is summed per key and day first, so
     a group handed to Python is one calendar's worth of numbers however many rows it came
-    from. Series spread over the cluster by key. A series that is short or not positive gets the growth
-    projection. ``holidays`` (ds, name) is a calendar table; it is collected, and must not
-    have more than 10,000 rows.
+    from. Series spread over the cluster by key. Zero and negative months take part. Only a
+    series of one date has nothing to fit and gets the growth projection; the ``model`` column
+    says so. ``holidays`` (ds, name) is a calendar table, joined by date; the month starts
+    that are forecast are looked up in it too.
     """
     names = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
-    days = _holiday_days(holidays)
     settings = {**_DEFAULTS, **options}
 
     def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _project(pdf["date"], pdf["revenue"], periods, days, settings)
+        out = _project(pdf, periods, settings)
         for position, name in enumerate(names):
             out.insert(position, name, pdf[name].iloc[0])
         return out
@@ -81,10 +81,20 @@ def seasonal_forecast(
         + ["ds date", "yhat double", "yhat_lower double", "yhat_upper double", "model string"]
     )
     rows = (
-        keyed(series, *names, "date")
+        keyed(series.withColumn("date", F.to_date("date")), *names, "date")
         .groupBy(*names, "date")
         .agg(sum0("revenue").cast("double").alias("revenue"))
     )
+    if holidays is None:
+        rows = rows.withColumn("holidays", F.array().cast("array<string>"))
+    else:
+        # The month starts to come, without revenue, so that holidays on them are joined as well.
+        last = rows.groupBy(*names).agg(F.max("date").alias("last"))
+        step = F.explode(F.sequence(F.lit(0), F.lit(periods - 1)))
+        ahead = last.select(*names, _first_month_start("last").alias("from"), step.alias("step"))
+        ahead = ahead.select(*names, F.add_months("from", F.col("step")).alias("date"), F.lit(None).cast("double").alias("revenue"))
+        per_day = holidays.select(F.to_date("ds").alias("date"), "name").groupBy("date").agg(F.collect_set("name").alias("holidays"))
+        rows = rows.unionByName(ahead).join(per_day, "date", "left")
     return rows.groupBy(*names).applyInPandas(project, schema)
 
 
@@ -94,40 +104,30 @@ _DEFAULTS = {
     "changepoint_range": 0.8,
     "changepoint_prior": 0.05,
     "season_prior": 10.0,
-    "min_points": 24,
     "z": 1.2816,  # two-sided 80 % of a normal distribution
 }
 
 
-def _holiday_days(holidays: DataFrame | None) -> dict[str, set]:
-    if holidays is None:
-        return {}
-    rows = holidays.select(F.to_date("ds").alias("ds"), "name").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("the holiday calendar has more than 10,000 rows")
-    days: dict[str, set] = {}
-    for row in rows:
-        days.setdefault(row.name, set()).add(pd.Timestamp(row.ds))
-    return days
-
-
 def _month_starts(last: pd.Timestamp, periods: int) -> pd.DatetimeIndex:
     return pd.date_range(last + pd.DateOffset(months=1), periods=periods, freq="MS")
 
 
-def _project(dates, revenue, periods: int, holidays: dict[str, set], settings: dict) -> pd.DataFrame:
-    order = np.argsort(pd.to_datetime(dates).to_numpy())
-    ds = pd.DatetimeIndex(pd.to_datetime(dates).to_numpy()[order])
-    y = revenue.to_numpy(dtype=float)[order]
+def _project(pdf: pd.DataFrame, periods: int, settings: dict) -> pd.DataFrame:
+    pdf = pdf.assign(date=pd.to_datetime(pdf["date"])).sort_values("date")
+    past = pdf[pdf["revenue"].notna()]
+    ds, y = pd.DatetimeIndex(past["date"]), past["revenue"].to_numpy(dtype=float)
     future = _month_starts(ds[-1], periods)
-    if len(y) < settings["min_points"] or not np.all(y > 0):
-        base = y[-6:].mean()
-        yhat = base * GROWTH ** np.arange(1, periods + 1)
-        low, high = np.full(periods, base * BAND[0]), np.full(periods, base * BAND[1])
+    days: dict[str, set] = {}
+    for date, names in zip(pdf["date"], pdf["holidays"]):
+        for name in sorted(names) if names is not None else ():
+            days.setdefault(name, set()).add(date)
+    if len(y) < 2:
+        yhat = y[-1] * GROWTH ** np.arange(1, periods + 1)
+        low, high = np.full(periods, y[-1] * BAND[0]), np.full(periods, y[-1] * BAND[1])
         model = "growth"
     else:
-        centre, spread = _fit_log(ds, y, future, holidays, settings)
-        yhat, low, high = np.exp(centre), np.exp(centre - spread), np.exp(centre + spread)
+        yhat, spread = _fit(ds, y, future, days, settings)
+        low, high = yhat - spread, yhat + spread
         model = "seasonal"
     return pd.DataFrame(
         {
@@ -140,38 +140,64 @@ def _project(dates, revenue, periods: int, holidays: dict[str, set], settings: d
     )
 
 
-def _fit_log(ds, y, future, holidays, settings) -> tuple[np.ndarray, float]:
-    """Penalised least squares on log revenue: what multiplies in y adds in log y."""
+def _fit(ds, y, future, holidays, settings) -> tuple[np.ndarray, np.ndarray]:
+    """Forecast and half width of its band: penalised least squares of trend x (1 + season).
+
+    Trend and season are fitted in turn, each linear while the other stands still, and the
+    noise is taken from the residuals of the fit before. The band adds three parts: noise in proportion
+    to the level (residuals over n less the fit's own degrees of freedom), the uncertainty of all weights,
+    and bends of the trend that may still come.
+    """
+    scale = max(np.abs(y).max(), 1e-12)
+    level = y / scale
     start, span = ds[0], max((ds[-1] - ds[0]).days, 1)
-    n_bends = int(min(settings["changepoints"], len(y) * settings["changepoint_range"] - 1))
+    n_bends = max(0, int(min(settings["changepoints"], len(y) * settings["changepoint_range"] - 1)))
     bends = np.linspace(0, settings["changepoint_range"], n_bends + 1)[1:]
+    harmonics = np.arange(1, int(settings["fourier_order"]) + 1)
 
-    def design(when: pd.DatetimeIndex) -> np.ndarray:
+    def design(when: pd.DatetimeIndex) -> tuple[np.ndarray, np.ndarray]:
         t = (when - start).days.to_numpy() / span
         turn = 2 * np.pi * (when - pd.Timestamp("1970-01-01")).days.to_numpy() / 365.25
-        harmonics = np.arange(1, int(settings["fourier_order"]) + 1)
-        return np.column_stack(
-            [
-                np.ones_like(t),
-                t,
-                np.maximum(t[:, None] - bends, 0),
-                np.sin(turn[:, None] * harmonics),
-                np.cos(turn[:, None] * harmonics),
-                *[when.isin(list(days)).astype(float) for days in holidays.values()],
-            ]
-        )
-
-    x = design(ds)
-    level = np.log(y)
-    noise = max(np.std(np.diff(level)) / np.sqrt(2), 1e-6)
-    priors = np.concatenate(
-        [
-            np.full(2, 1e3),
-            np.full(len(bends), settings["changepoint_prior"]),
-            np.full(x.shape[1] - 2 - len(bends), settings["season_prior"]),
-        ]
-    )
-    penalty = np.diag((noise / priors) ** 2)
-    weights = np.linalg.solve(x.T @ x + penalty, x.T @ level)
-    spread = settings["z"] * np.std(level - x @ weights)
-    return design(future) @ weights, spread
+        trend = np.column_stack([np.ones_like(t), t, np.maximum(t[:, None] - bends, 0)])
+        waves = [np.sin(turn[:, None] * harmonics), np.cos(turn[:, None] * harmonics)]
+        return trend, np.column_stack(waves + [when.isin(list(days)).astype(float) for days in holidays.values()])
+
+    trend, season = design(ds)
+    trend_prior = np.concatenate([np.full(2, 5.0), np.full(n_bends, settings["changepoint_prior"])])
+    # Seasons are shares of the trend; a prior far above 1 would let them cancel it.
+    season_prior = np.full(season.shape[1], min(settings["season_prior"], 1.0))
+
+    def ridge(x: np.ndarray, target: np.ndarray, prior: np.ndarray, noise: float) -> np.ndarray:
+        return np.linalg.solve(x.T @ x + np.diag((noise / prior) ** 2), x.T @ target)
+
+    noise = max(np.std(level) / 2, 1e-6)
+    shares = np.zeros(season.shape[1])
+    priors = np.concatenate([trend_prior, season_prior])
+    for _ in range(20):
+        weights = ridge(trend * (1 + season @ shares)[:, None], level, trend_prior, noise)
+        base = trend @ weights
+        shares = ridge(season * base[:, None], level - base, season_prior, noise)
+        joint = np.column_stack([trend * (1 + season @ shares)[:, None], season * base[:, None]])
+        inverse = np.linalg.inv(joint.T @ joint + np.diag((noise / priors) ** 2))
+        freedom = np.trace(joint @ inverse @ joint.T)
+        residual = level - base * (1 + season @ shares)
+        before, noise = noise, max(np.sqrt((residual**2).sum() / max(len(y) - freedom, 1.0)), 1e-6)
+        if abs(noise - before) < 1e-3 * before:
+            break
+    trend_ahead, season_ahead = design(future)
+    base, factor = trend_ahead @ weights, 1 + season_ahead @ shares
+    joint = np.column_stack([trend_ahead * factor[:, None], season_ahead * base[:, None]])
+    ahead = (future - ds[-1]).days.to_numpy() / span
+    bend = np.mean(np.abs(weights[2:])) if n_bends else 0.0
+    rate = n_bends / settings["changepoint_range"]
+    coming = rate * ahead * (2 * bend**2) * ahead**2 / 3 * factor**2
+    # Quantile of Student's t in place of the normal one: the noise itself is an estimate.
+    spare = max(len(y) - freedom, 1.0)
+    z = settings["z"] * (1 + (settings["z"] ** 2 + 1) / (4 * spare))
+    # Noise in proportion to the level, which a month near zero does not fall under a quarter of.
+    floor = max(np.mean(np.abs(level - residual)) / 4, 1e-12)
+    relative = residual / np.maximum(np.abs(level - residual), floor)
+    share = np.sqrt((relative**2).sum() / spare)
+    own = (share * np.maximum(np.abs(base * factor), floor)) ** 2
+    variance = own + noise**2 * np.einsum("ij,jk,ik->i", joint, inverse, joint) + coming
+    return scale * base * factor, scale * z * np.sqrt(variance)

@@ -23,9 +23,9 @@ from bizmetrics.functions.ordering import exact_quantile
 register_pickle_by_value(sys.modules[__name__])
 
 FEATURES = ("taxable_value", "cgst_amount", "sgst_amount", "total_tax_amount")
+KEYS = ("invoice_no", "counterparty_id", "return_period")
 CONTAMINATION = 0.12
 
-_SMALL_ROWS_PER_CORE = 500_000
 _TREE_SCHEMA = "tree int, feature array<int>, cut array<double>, path array<double>"
 
 
@@ -35,16 +35,24 @@ def isolation_scores(
     trees: int = 100,
     sample_size: int = 256,
     seed: int = 42,
+    keys: Sequence[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``iso_score``: near 1 for rows that few random cuts isolate. Missing where a feature is."""
-    complete = _complete(df, features)
+    """Add ``iso_score``: near 1 for rows that few random cuts isolate. Missing where a feature is.
+
+    ``keys`` are the columns that tell rows apart (default: those of ``KEYS`` that ``df`` has); with the features and the
+    seed they alone decide which rows the trees see. ``partitions`` spreads the rows before they are scored, for
+    files that cannot be split.
+    """
+    keys = [c for c in KEYS if c in df.columns] if keys is None else list(keys)
+    complete = _complete(df, keys, features)
     n = complete.count()
     if n == 0:
         return df.withColumn("iso_score", F.lit(None).cast("double"))
     psi = min(sample_size, n)
     height = math.ceil(math.log2(psi)) if psi > 1 else 0
     grown = (
-        _tree_samples(complete, features, n, trees, psi, seed)
+        _tree_samples(complete, keys, features, n, trees, psi, seed)
         .groupBy("tree")
         .applyInPandas(_grower(list(features), height, seed), _TREE_SCHEMA)
         .orderBy("tree")
@@ -70,10 +78,8 @@ def isolation_scores(
             yield pd.Series(value)
 
     scored = score(*[F.col(c).cast("double") for c in features])
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if n <= _SMALL_ROWS_PER_CORE * cores:
-        # A small file is one input split; moving it costs less than scoring it on one core.
-        df = df.repartition(cores)
+    if partitions is not None:
+        df = df.repartition(partitions)
     return df.withColumn("iso_score", scored).withColumn(
         "iso_score", F.nanvl("iso_score", F.lit(None).cast("double"))
     )
@@ -86,6 +92,8 @@ def isolation_flags(
     trees: int = 100,
     sample_size: int = 256,
     seed: int = 42,
+    keys: Sequence[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``iso_score`` and ``iso_flag``: -1 for the most isolated share of rows, else 1.
 
@@ -93,7 +101,7 @@ def isolation_flags(
     all negated scores, so rows tied at the quantile are not. Scoring is the costly step, so
     the scored rows are written down once: pass only the columns that are wanted.
     """
-    scored = cut_lineage(isolation_scores(df, features, trees, sample_size, seed))
+    scored = cut_lineage(isolation_scores(df, features, trees, sample_size, seed, keys, partitions))
     threshold, _ = exact_quantile(scored.select((-F.col("iso_score")).alias("s")), "s", contamination)
     flag = F.when(-F.col("iso_score") < F.lit(threshold), -1).when(F.col("iso_score").isNotNull(), 1)
     return scored.withColumn("iso_flag", flag)
@@ -105,38 +113,41 @@ def isolation_flag_count(flags: DataFrame) -> DataFrame:
     )
 
 
-def _complete(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in features]).na.drop()
+def _complete(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    key = F.xxhash64(*[F.col(c) for c in keys]) if keys else F.lit(0).cast("bigint")
+    return df.select(key.alias("_key"), *[F.col(c).cast("double").alias(c) for c in features]).na.drop(subset=list(features))
 
 
 def _tree_samples(
-    complete: DataFrame, features: Sequence[str], n: int, trees: int, psi: int, seed: int
+    complete: DataFrame, keys: Sequence[str], features: Sequence[str], n: int, trees: int, psi: int, seed: int
 ) -> DataFrame:
     """trees x psi rows with their tree number.
 
-    A table larger than the pool is first thinned row by row, so copies of one row keep
-    their share. The remaining rows, a few times trees x psi, are put in an order that
-    depends on content, copy number and seed only and dealt out in turn; a small table is
+    One rule at every size: the hash of a row's keys, features and the seed decides whether it is in the pool of about
+    4 x slots rows, whatever the partitioning. The pool, a few times trees x psi, is put in an order by hash and dealt out in turn; a small table is
     dealt out several times, in a new order each time.
     """
     slots = trees * psi
-    pool = 4 * slots
-    if n > pool:
-        complete = complete.sample(fraction=min(1.0, pool / n), seed=seed)
+    share = F.lit(min(1.0, 4 * slots / n))
+    drawn = F.pmod(F.xxhash64("_key", *features, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    counted = F.count(F.lit(1)).alias("copies")
+    if keys:
+        # Keys tell rows apart, so only the pool is grouped; more copies of one row than slots are never dealt.
+        pool = complete.where(drawn < share).groupBy("_key", *features).agg(counted)
+        pool = pool.withColumn("copies", F.least("copies", F.lit(slots).cast("bigint")))
+    else:
+        # Rows are their features: of c copies floor(c * share + u) are drawn, u the row's own fraction.
+        pool = complete.groupBy("_key", *features).agg(counted)
+        pool = pool.withColumn("copies", F.floor(F.col("copies") * share + (1 - drawn) * 0.999999999)).where("copies > 0")
+    pool = pool.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     rounds = math.ceil(slots / n)
-    # Both windows run over the pool only, so one task can number all of it.
-    copy = F.row_number().over(Window.partitionBy(*features).orderBy(*features))
-    dealt = (
-        complete.withColumn("copy", copy)
-        .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-        .withColumn("key", F.xxhash64(*features, "copy", "round", F.lit(seed)))
-    )
-    slot = F.row_number().over(Window.orderBy("round", "key", *features)) - 1
-    return (
-        dealt.withColumn("slot", slot)
-        .where(F.col("slot") < slots)
-        .select((F.col("slot") % trees).alias("tree"), *features)
+    dealt = pool.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(
+        "key", F.xxhash64("_key", *features, "copy", "round", F.lit(seed))
     )
+    order = [F.col(c) for c in ("round", "key", *features, "copy")]
+    first = dealt.orderBy(*order).limit(slots)  # keeps trees x psi rows per task
+    slot = F.row_number().over(Window.orderBy(*order)) - 1
+    return first.withColumn("slot", slot).select((F.col("slot") % trees).alias("tree"), *features)
 
 
 def _grower(features: list[str], height: int, seed: int):

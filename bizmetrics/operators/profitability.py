@@ -39,9 +39,22 @@ def customer_decision_counts() -> list[Column]:
 
 
 def decision_counts(sales: DataFrame, *by: str, **bounds: float) -> DataFrame:
-    """All three counts; a missing id counts as one value."""
+    """All three counts; a missing id counts as one value.
+
+    Lines are combined per product and per customer first, so no line is copied to count different ids.
+    """
     measures = keyed(as_measures(sales, **bounds), *by) if by else as_measures(sales, **bounds)
-    return measures.groupBy(*by).agg(*product_decision_counts(), *customer_decision_counts())
+
+    def counted(key: str, **flags: str) -> DataFrame:
+        per_id = measures.groupBy(*by, key).agg(*[F.coalesce(F.max(f), F.lit(0)).alias(f) for f in flags.values()])
+        totals = [F.coalesce(F.sum(f), F.lit(0)).cast("bigint").alias(name) for name, f in flags.items()]
+        return per_id.groupBy(*by).agg(*totals)
+
+    products = counted("product_id", promote_count="promote", discontinue_count="discontinue")
+    customers = counted("customer_id", renegotiate_count="renegotiate")
+    if not by:
+        return products.select("*", customers.scalar().alias("renegotiate_count"))
+    return products.join(customers, list(by))
 
 
 def _distinct_with_missing(key: str, flag: str) -> Column:

@@ -17,7 +17,7 @@ PANEL_ORDER = ("product_id", "region", "date", "product_name")
 def monthly_panel(sales: DataFrame) -> DataFrame:
     """One row per date, product and region."""
     return (
-        keyed(as_measures(sales), *PANEL_KEYS)
+        keyed(as_measures(sales.withColumn("date", F.to_date("date"))), *PANEL_KEYS)
         .groupBy(*PANEL_KEYS)
         .agg(
             sum0("revenue").cast("double").alias("revenue"),
@@ -110,7 +110,8 @@ def revenue_by_date(sales: DataFrame) -> DataFrame:
     Its size is bounded by the calendar, not by the sales: partial sums per task make the
     shuffle carry one row per date and task.
     """
-    return keyed(sales, "date").groupBy("date").agg(sum0("revenue").alias("revenue"))
+    days = sales.withColumn("date", F.to_date("date"))  # a time of day would leave the calendar's bound
+    return keyed(days, "date").groupBy("date").agg(sum0("revenue").alias("revenue"))
 
 
 def monthly_revenue(series: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import or_
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -28,15 +30,19 @@ def customer_segments(
     """Add ``segment`` and ``segment_label`` to the customer features.
 
     The best of one fit per seed is kept; fits run side by side over the one cached table. Labels go to the clusters by falling mean margin;
-    with fewer clusters than labels the last labels stay unused. A customer whose features
-    are missing makes the job fail, as it cannot be placed.
+    with fewer clusters than labels the last labels stay unused. A customer with a missing
+    feature cannot be placed: its segment and label are missing, and no fit sees it.
     """
     features = cut_lineage(features)  # read by the scaler, every fit and the result
-    # Exact for counts this small; fewer different customers than labels make fewer clusters.
-    different = features.agg(F.approx_count_distinct(F.struct(*FEATURES))).first()[0]
-    k = min(len(labels), different)
+    missing = reduce(or_, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in FEATURES])
+    unplaced = features.where(missing).withColumns(
+        {"segment": F.lit(None).cast("int"), "segment_label": F.lit(None).cast("string")}
+    )
+    features = features.where(~missing)
+    # Stops at the number of labels; fewer different customers make fewer clusters.
+    k = features.select(*FEATURES).distinct().limit(len(labels)).count()
     if k < 2:
-        return features.withColumns({"segment": F.lit(0), "segment_label": F.lit(labels[0])})
+        return features.withColumns({"segment": F.lit(0), "segment_label": F.lit(labels[0])}).unionByName(unplaced)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="raw", handleInvalid="error")
     vectors = assembler.transform(features)
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors)
@@ -47,22 +53,24 @@ def customer_segments(
             k=k, seed=seed, maxIter=max_iter, featuresCol="scaled", predictionCol="segment"
         ).fit(scaled)
 
-    with ThreadPoolExecutor(parallel_fits) as pool:
-        fits = list(pool.map(inheritable_thread_target(features.sparkSession)(fit), seeds))
-    best = min(fits, key=lambda model: model.summary.trainingCost)
+    try:
+        with ThreadPoolExecutor(parallel_fits) as pool:
+            fits = list(pool.map(inheritable_thread_target(features.sparkSession)(fit), seeds))
+        best = min(fits, key=lambda model: model.summary.trainingCost)
+        margins = best.transform(scaled).groupBy("segment").agg(F.avg("margin").alias("mean_margin")).collect()
+    finally:
+        scaled.unpersist()
     placed = best.transform(scaler.transform(vectors)).drop("raw", "scaled")
-    margins = best.transform(scaled).groupBy("segment").agg(F.avg("margin").alias("mean_margin")).collect()
-    scaled.unpersist()
     ranked = sorted(margins, key=lambda row: (-row.mean_margin, row.segment))
     label = F.create_map(
         *[F.lit(cell) for row, name in zip(ranked, labels) for cell in (row.segment, name)]
     )
-    return placed.withColumn("segment_label", label[F.col("segment")])
+    return placed.withColumn("segment_label", label[F.col("segment")]).unionByName(unplaced)
 
 
 def segment_margins(segments: DataFrame) -> DataFrame:
-    """Customers and mean margin per segment, and the segment's place by margin."""
-    per_label = segments.groupBy("segment_label").agg(
+    """Customers and mean margin per segment, and the segment's place by margin; unplaced customers are left out."""
+    per_label = segments.where(F.col("segment_label").isNotNull()).groupBy("segment_label").agg(
         F.count(F.lit(1)).alias("customers"), F.avg("margin").alias("mean_margin")
     )
     return per_label.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_margin"))))

@@ -29,9 +29,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The test questions speak of the 1990s.
 TEST_ROUTING = {"gate": "199", "years": ("1997", "1998", "1999")}
 
-# Trees fitted by the catalogue's regressor queries; the operator's own default is 300.
-TEST_TREES = 20
-
 
 def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
@@ -103,22 +100,20 @@ def catalog() -> dict[str, Query]:
         "question_intents": lambda s, d: questions.question_intents(star.questions(s, d)),
         "answers": _answers,
         "isolation_flags": lambda s, d: isolation.isolation_flags(
-            star.gst(s, d, "invoice_no", "counterparty_id", *isolation.FEATURES)
+            star.gst(s, d, *isolation.KEYS, *isolation.FEATURES)
         ),
         "customer_segments": lambda s, d: segments.customer_segments(_customer_features(s, d)),
         "segment_margins": lambda s, d: segments.segment_margins(
             segments.customer_segments(_customer_features(s, d))
         ),
-        "regressor_mape": lambda s, d: regression.regressor_error(
-            regression.regression_table(_features(s, d)), trees=TEST_TREES
-        ),
+        "regressor_mape": lambda s, d: regression.regressor_error(regression.regression_table(_features(s, d))),
         "seasonal_forecast": lambda s, d: forecast.seasonal_forecast(_series(s, d)),
         "seasonal_forecast_by_panel": lambda s, d: forecast.seasonal_forecast(
             _panel(s, d), keys=("product_id", "region")
         ),
         "report_headlines": lambda s, d: kpi_of_report(_sql_report(s, d)),
         "report_lists": _report_lists,
-        "full_report": lambda s, d: build_report(star_tables(s, d), regressor={"trees": TEST_TREES}),
+        "full_report": lambda s, d: build_report(star_tables(s, d)),
     }
 
 
@@ -133,7 +128,8 @@ def kpi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
             inventory=star.inventory(spark, sf_dir),
             gst=star.gst(spark, sf_dir, "mismatch_flag", "total_tax_amount"),
-        )
+        ),
+        forecaster="growth",
     )
 
 

@@ -19,7 +19,7 @@ from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.functions.measures import rollup
 from bizmetrics.operators import cashflow, forecast, inventory, isolation, profitability, regression, sales, tax
 from bizmetrics.operators.segments import customer_segments
-from bizmetrics.sources.files import read_csv, read_parquet
+from bizmetrics.sources.files import csv_rejects, read_csv, read_parquet
 from bizmetrics.sources.snapshot import load_or_build
 
 
@@ -72,15 +72,15 @@ def build_report(
 
 
 def make_forecast(series: DataFrame, forecaster: str = "seasonal", holidays: DataFrame | None = None) -> DataFrame:
-    """Forecast of the total series: the seasonal model or the growth projection."""
+    """Forecast of the total series and the model that made it; a series beyond the seasonal model gets the projection."""
     if forecaster == "growth":
-        return forecast.growth_projection(series)
+        return forecast.growth_projection(series).withColumn("model", F.lit("growth"))
     if forecaster == "seasonal":
-        return forecast.seasonal_forecast(series, holidays=holidays).drop("model")
+        return forecast.seasonal_forecast(series, holidays=holidays)
     raise ValueError(f"unknown forecaster {forecaster!r}: use 'seasonal' or 'growth'")
 
 
-def kpi_summary(tables: Tables, forecaster: str = "growth") -> DataFrame:
+def kpi_summary(tables: Tables, forecaster: str = "seasonal") -> DataFrame:
     """One row with the nine headline figures.
 
     Four of them come from the revenue series, which is written down (one row per date) so
@@ -144,29 +144,53 @@ def dashboard_feeds(report: DataFrame) -> dict[str, DataFrame]:
     return feeds | {"mismatch_types": report.select(reasons)}
 
 
-def load_tables(spark: SparkSession, paths: dict[str, str], date_format: str | None = None) -> Tables:
+def load_tables(
+    spark: SparkSession, paths: dict[str, str], date_format: str | None = None, multi_line: bool = False
+) -> Tables:
     """The four tables from CSV files (``.csv``) or Parquet, by table name."""
 
     def read(name: str) -> DataFrame:
         if paths[name].endswith(".csv"):
-            return read_csv(spark, paths[name], name, date_format)
+            return read_csv(spark, paths[name], name, date_format, multi_line)
         return read_parquet(spark, paths[name], name)
 
     return Tables(**{name: read(name) for name in ("sales", "receivables", "inventory", "gst")})
 
 
+def rejected_fields(
+    spark: SparkSession, paths: dict[str, str], date_format: str | None = None, multi_line: bool = False
+) -> dict[str, int]:
+    """Fields of the CSV files that do not hold what their column should, as ``table.column`` with their number."""
+    found = {}
+    for name, path in paths.items():
+        if path.endswith(".csv"):
+            counts = csv_rejects(spark, path, name, date_format, multi_line).first().asDict()
+            found |= {f"{name}.{column}": n for column, n in counts.items() if n}
+    return found
+
+
 def load_report(
     spark: SparkSession,
     paths: dict[str, str],
     snapshot: str,
     refresh: bool = False,
     date_format: str | None = None,
+    multi_line: bool = False,
+    allow_rejects: bool = False,
     **options,
 ) -> DataFrame:
-    """The report over the files at ``paths``, built once and then read from its snapshot."""
-    return load_or_build(
-        spark, snapshot, lambda: build_report(load_tables(spark, paths, date_format), **options), refresh
-    )
+    """The report over the files at ``paths``, built once and then read from its snapshot.
+
+    CSV fields that cannot be read, such as dates in another format, are an error that names and counts them, unless
+    ``allow_rejects`` takes them as missing.
+    """
+
+    def build() -> DataFrame:
+        if not allow_rejects and (rejects := rejected_fields(spark, paths, date_format, multi_line)):
+            raise ValueError(f"fields that could not be read: {rejects}")
+        return build_report(load_tables(spark, paths, date_format, multi_line), **options)
+
+    return load_or_build(spark, snapshot, build, refresh)
 
 
 def section_json(report: DataFrame) -> DataFrame:
@@ -184,7 +208,8 @@ def _sales_section(
     cells = {
         "total_revenue_last_month": sales.last_dates(series).select("revenue_last_month"),
         "historical_monthly_revenue": _map(sales.monthly_revenue(series), "month", "revenue"),
-        "forecast_next_3_months": _records(ahead, F.col("ds")),
+        "forecast_next_3_months": _records(ahead.drop("model"), F.col("ds")),
+        "forecast_model": ahead.agg(F.max("model")),
         "trend": forecast.trend(ahead),
         "anomaly_months": sales.revenue_anomalies(series).agg(F.sort_array(F.collect_list("month"))),
         "top_5_products": _records(sales.top_products_by_revenue(products)),
@@ -192,7 +217,8 @@ def _sales_section(
     if models:
         table = regression.regression_table(sales.panel_features(sales.monthly_panel(products)))
         error = cut_lineage(regression.regressor_error(table, **regressor))
-        named = regression.winner("regressor_mape", forecaster == "seasonal")
+        seasonal = ahead.where("model = 'seasonal'").limit(1).count() > 0
+        named = regression.winner("regressor_mape", seasonal)
         cells = {
             "winner_model": error.select(named),
             "regressor_mape": error.select("regressor_mape"),
@@ -225,7 +251,7 @@ def _gst_section(gst: DataFrame, models: bool, forest: dict) -> DataFrame:
         "monthly_mismatch_trend": _map(tax.mismatch_trend(gst), "return_period", "mismatches"),
     }
     if models:
-        flags = isolation.isolation_flags(gst.select(*isolation.FEATURES), **forest)
+        flags = isolation.isolation_flags(gst.select(*isolation.KEYS, *isolation.FEATURES), **forest)
         cells["isolation_forest_flags"] = isolation.isolation_flag_count(flags).select("flagged")
     return _extend(tax.tax_totals(gst), **cells)
 
@@ -242,7 +268,7 @@ def _profitability_section(
     }
     if models:
         segments = customer_segments(profitability.customer_features(customers))
-        sizes = segments.groupBy("segment_label").agg(F.count(F.lit(1)).alias("customers"))
+        sizes = segments.groupBy(F.coalesce("segment_label", F.lit("Unplaced")).alias("segment_label")).agg(F.count(F.lit(1)).alias("customers"))
         cells["customer_segments"] = _map(sizes, "segment_label", "customers")
     return _extend(products.agg(*profitability.product_decision_counts()), **cells)
 

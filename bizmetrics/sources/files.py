@@ -35,10 +35,12 @@ def read_csv(
     return raw.select(*[_typed(f.name, f.dataType, date_format).alias(f.name) for f in schema.fields])
 
 
-def csv_rejects(spark: SparkSession, path, table: str | StructType, date_format: str | None = None) -> DataFrame:
+def csv_rejects(
+    spark: SparkSession, path, table: str | StructType, date_format: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """One row: per column, how many fields had text that is no missing token and did not cast."""
     schema = _schema(table)
-    raw = _raw_csv(spark, path)
+    raw = _raw_csv(spark, path, multi_line)
     rejected = [
         F.count(F.when(_present(f.name).isNotNull() & _typed(f.name, f.dataType, date_format).isNull(), 1)).alias(
             f.name
@@ -72,7 +74,10 @@ def _schema(table: str | StructType) -> StructType:
 
 
 def _raw_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
+    """All columns as text. A file whose header differs from the first file's is an error when it is read."""
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    names = spark.read.csv(path, inferSchema=False, **options).schema
+    return spark.read.schema(names).csv(path, enforceSchema=False, **options)
 
 
 def _present(name: str) -> Column:

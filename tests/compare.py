@@ -6,7 +6,9 @@ from collections import Counter
 
 import duckdb
 
-TABLE_NAMES = "region nation customer supplier part orders lineitem".split()
+TABLE_NAMES = (
+    "region nation customer supplier part orders lineitem documents embeddings pages benchmark labels conversations".split()
+)
 DUCKDB_TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
 }

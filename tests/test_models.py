@@ -43,13 +43,28 @@ def test_forest_does_not_depend_on_partitions(spark):
     assert (other["iso_score"] != one["iso_score"]).any()
 
 
+def test_the_sample_of_a_large_table_does_not_depend_on_partitions(spark):
+    """120,000 rows, more than the pool of 100 trees x 256 rows."""
+    lines = spark.range(120_000).select(
+        F.concat(F.lit("i"), F.col("id")).alias("invoice_no"),
+        *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10_000)) / 100).alias(c) for i, c in enumerate(FEATURES)],
+    )
+    bags = []
+    for parts in (1, 11):
+        rows = lines.repartition(parts)
+        complete = isolation._complete(rows, ["invoice_no"], FEATURES)
+        sample = isolation._tree_samples(complete, ["invoice_no"], FEATURES, 120_000, 100, 256, 42)
+        bags.append(sorted(map(tuple, sample.collect())))
+    assert bags[0] == bags[1] and len(bags[0]) == 25_600
+
+
 def test_forest_scores_equal_a_plain_walk(spark):
     """Brute force: walk every row down every tree in Python."""
     df = tax_rows(spark, 300)
     trees, psi = 10, 64
     height = 6
     grown = (
-        isolation._tree_samples(isolation._complete(df, FEATURES), FEATURES, 300, trees, psi, 42)
+        isolation._tree_samples(isolation._complete(df, [], FEATURES), [], FEATURES, 300, trees, psi, 42)
         .groupBy("tree")
         .applyInPandas(isolation._grower(FEATURES, height, 42), isolation._TREE_SCHEMA)
         .collect()
@@ -77,7 +92,7 @@ def test_tree_samples_are_full_and_share_out_copies(spark, n):
     df = spark.range(n).select(
         *[F.when(F.col("id") % 3 == 0, -1.0).otherwise(F.rand(i) * 100).alias(c) for i, c in enumerate(FEATURES)]
     )
-    sample = isolation._tree_samples(df, FEATURES, n, trees, psi, 42).toPandas()
+    sample = isolation._tree_samples(isolation._complete(df, [], FEATURES), [], FEATURES, n, trees, psi, 42).toPandas()
     assert sample.groupby("tree").size().tolist() == [psi] * trees
     share = sample.assign(copy=sample[FEATURES[0]] == -1).groupby("tree")["copy"].mean()
     assert share.between(0.2, 0.47).all()
@@ -165,17 +180,46 @@ def test_seasonal_forecast_recovers_trend_and_season(spark):
         assert r.yhat_lower <= r.yhat <= r.yhat_upper
 
 
-def test_short_or_negative_series_grow(spark):
+def test_short_and_non_positive_series_are_fitted(spark):
     ds, y = seasonal_series(12)
+    y = np.array(y)
+    y[3], y[5] = 0.0, -40.0
     df = spark.createDataFrame([(d.date(), float(v)) for d, v in zip(ds[:-3], y[:-3])], "date date, revenue double")
     got = forecast.seasonal_forecast(df).orderBy("ds").collect()
-    want = forecast.growth_projection(df).orderBy("ds").collect()
-    assert [tuple(r)[:4] for r in got] == [tuple(r) for r in want]
-    assert {r.model for r in got} == {"growth"}
-    # lines are summed per date first
+    assert len(got) == 3 and {r.model for r in got} == {"seasonal"}
+    assert all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in got)
+    # lines are summed per day first, whatever the time of day
     halves = df.withColumn("revenue", F.col("revenue") / 2)
-    again = forecast.seasonal_forecast(halves.unionAll(halves)).orderBy("ds").collect()
-    assert again == got
+    later = halves.withColumn("date", F.col("date").cast("timestamp") + F.expr("interval 5 hours"))
+    again = forecast.seasonal_forecast(halves.withColumn("date", F.col("date").cast("timestamp")).unionAll(later))
+    assert again.orderBy("ds").collect() == got
+
+
+def test_one_date_alone_grows(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1), 50.0)], "date date, revenue double")
+    got = forecast.seasonal_forecast(df).orderBy("ds").collect()
+    assert [tuple(r)[:4] for r in got] == [tuple(r) for r in forecast.growth_projection(df).orderBy("ds").collect()]
+    assert {r.model for r in got} == {"growth"}
+
+
+@pytest.mark.parametrize("months", [24, 36, 50, 80])
+def test_the_band_holds_what_it_promises(months):
+    """Share of the next three months inside the 80 % band, 150 simulated series."""
+    inside = []
+    for seed in range(150):
+        rng = np.random.default_rng(seed)
+        ds, y = seasonal_series(months)
+        y = np.array(y) * (1 + rng.normal(0, 0.1, len(y)))
+        centre, spread = forecast._fit(ds[:months], y[:months], ds[months:], {}, forecast._DEFAULTS)
+        inside += list(np.abs(y[months:] - centre) <= spread)
+    assert 0.75 <= np.mean(inside) <= 0.87
+
+
+def test_customers_without_a_feature_are_set_aside(spark):
+    rows = [(f"c{i}", float(i), float(i % 7), 1.0 + i % 3) for i in range(30)] + [("x", None, 1.0, 1.0), ("y", 1.0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "customer_id string, revenue double, margin double, discount double")
+    got = {r.customer_id: r.segment_label for r in segments.customer_segments(df).collect()}
+    assert len(got) == 32 and got["x"] is None and got["y"] is None and sum(v is None for v in got.values()) == 2
 
 
 def test_holidays_explain_their_months(spark):

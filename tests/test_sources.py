@@ -3,7 +3,9 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from bizmetrics.plans.report import load_report, rejected_fields
 from bizmetrics.sources import star
 from bizmetrics.sources.files import MISSING, csv_rejects, read_csv, read_parquet
 from bizmetrics.sources.schemas import TABLES
@@ -70,6 +72,29 @@ def test_csv_line_breaks_in_quotes(spark, tmp_path):
     assert (row.category, row.is_dead_stock, row.needs_reorder) == ('a\nb "c"', 1, 0)
 
 
+def test_csv_files_with_other_column_orders_are_refused(spark, tmp_path):
+    (tmp_path / "t.csv").mkdir()
+    (tmp_path / "t.csv/a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "t.csv/b.csv").write_text("b,a\n1,2\n")
+    schema = StructType.fromDDL("a int, b int")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path / "t.csv"), schema).collect()
+    (tmp_path / "t.csv/b.csv").write_text("a,b\n3,4\n")
+    assert {tuple(r) for r in read_csv(spark, str(tmp_path / "t.csv"), schema).collect()} == {(1, 2), (3, 4)}
+
+
+def test_unreadable_fields_are_counted_by_name(spark, receivables_csv, tmp_path):
+    path = tmp_path / "receivables.csv"
+    columns = TABLES["receivables"].names
+    row = ["13/01/2024" if TABLES["receivables"][c].dataType.simpleString() == "date" else "1" for c in columns]
+    path.write_text(",".join(columns) + "\n" + ",".join(row) + "\n")
+    dates = {f"receivables.{c}": 1 for c in columns if TABLES["receivables"][c].dataType.simpleString() == "date"}
+    assert rejected_fields(spark, {"receivables": str(path)}) == dates
+    assert rejected_fields(spark, {"receivables": str(path)}, date_format="dd/MM/yyyy") == {}
+    with pytest.raises(ValueError, match="could not be read"):
+        load_report(spark, {n: str(path) for n in ("receivables",)}, str(tmp_path / "snapshot"))
+
+
 def test_csv_reads_only_the_columns_used(spark, receivables_csv):
     plan = read_csv(spark, receivables_csv, "receivables").select("region")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<region:string>" in plan
