@@ -49,7 +49,7 @@ COUNT_BITS = 24  # bits of the shingle count table: 2 ** COUNT_BITS counters, wh
 COUNT_PARTS = 64
 WINDOW_SHINGLES = 2_000_000  # shingles counted at once
 IDENTITY_BANDS = 5  # bands up to this one (sizes under 32) use every shingle as its own segment
-BLOCK_SETS = 128  # sets of a family that are compared in one task, on either side
+BLOCK_SETS = 256  # sets of a family that are compared in one task, on either side
 
 
 class Allocation(NamedTuple):
@@ -284,9 +284,6 @@ def _buckets(index: DataFrame) -> DataFrame:
     return index.repartition("signature").mapInArrow(run, "signature long, leader long, class_id long")
 
 
-_COMPARED = "family long, i int, j int, kind int, a long, b long, a_label long, b_label long, shingles binary"
-
-
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, families: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links among ``pairs`` (a, b, a_label, b_label): enough of them to join the labels that all of them would join.
 
@@ -313,19 +310,6 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, families: Dat
     placed = small_or_shuffled(cut_lineage(placed))
     texts = docs.join(placed, docs["doc_id"].eqNullSafe(placed["id"])).select("text", "class_id", *cell)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(1).to_pylist()
-            keep, packed = [], []
-            for row, shingles in _sets(batch.column(0), width):
-                if len(shingles) and _class_id(shingles) == names[row]:
-                    keep.append(row)
-                    packed.append(shingles.tobytes())
-            chosen = batch.take(pa.array(keep, pa.int64()))
-            none = pa.nulls(len(keep), pa.int64())
-            columns = [chosen.column(c) for c in cell] + [pa.array([0] * len(keep), pa.int32()), chosen.column("class_id")]
-            yield pa.RecordBatch.from_arrays([*columns, none, none, none, pa.array(packed, pa.binary())], _COMPARED_NAMES)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, root = None, {}, {}
 
@@ -337,11 +321,13 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, families: Dat
 
         for batch in batches:
             linked = []
-            for *at, kind, a, b, a_label, b_label, packed in zip(*[c.to_pylist() for c in batch.columns]):
+            sets = dict(_sets(batch.column(8), width))  # empty for the rows of pairs
+            for row, (*at, kind, a, b, a_label, b_label) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:8]])):
                 if at != here:
                     here, held, root = at, {}, {}
                 if not kind:
-                    held[a] = np.frombuffer(packed, np.uint64)
+                    if len(sets[row]) and _class_id(sets[row]) == a:  # else another text with the same id
+                        held[a] = sets[row]
                     continue
                 low, high = find(a_label), find(b_label)
                 if low == high:
@@ -356,14 +342,14 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, families: Dat
             columns = list(zip(*linked)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    rows = texts.mapInArrow(sets, _COMPARED).unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
+    # Texts travel, not their sets: compressed, they are smaller than their shingles.
+    absent = [F.lit(None).cast("bigint").alias(c) for c in ("b", "a_label", "b_label")]
+    rows = texts.select(*cell, F.lit(0).alias("kind"), F.col("class_id").alias("a"), *absent, "text")
+    rows = rows.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
     ordered = rows.repartition(*cell).sortWithinPartitions(*cell, "kind")
     return cut_lineage(ordered.mapInArrow(compare, "a long, b long").distinct())
 
 
-_COMPARED_NAMES = ["family", "i", "j", "kind", "a", "b", "a_label", "b_label", "shingles"]
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b); the label is the smallest node of its component.
 
