@@ -185,7 +185,7 @@ def test_range_coder_round_trips(n, kind):
     assert (range_coder.unpack_chunk(packed) == ids).all()
     if n == 9000 and kind in ("one", "cycle"):
         assert len(packed) < n / 4
-    if n == 9000:
+    if n == 9000 and kind in ("even", "skewed"):
         damaged = bytearray(packed)
         _, table_length, blocks = struct.unpack_from("<QII", packed)
         (last,) = struct.unpack_from("<I", packed, 16 + table_length + 8 * (blocks - 1))
