@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bizmetrics.functions.numeric import round_np
 from bizmetrics.operators.sales import panel_split, product_codes, region_codes
 
+# The regressor's features.
 FEATURES = (
     "lag_1", "lag_3", "lag_12", "rolling_3", "rolling_std3", "month", "quarter", "year", "is_festive",
     "avg_discount", "returns", "region_enc", "product_enc",
@@ -22,10 +23,13 @@ _EPSILON = 2.220446049250313e-16
 def regression_table(features: DataFrame, train_share: float = 0.8) -> DataFrame:
     """Panel features with codes, row position and the train/test mark.
 
-    The codes are joined without a hint: the product table grows with the catalogue.
+    Both codes come from one table with a row per product and region, so the panel is joined once and never dealt
+    by the few regions alone. No hint: that table grows with the catalogue.
     """
     split = panel_split(features, train_share)
-    return split.join(product_codes(split), "product_id").join(region_codes(split), "region")
+    pairs = split.select("product_id", "region").distinct()
+    codes = pairs.join(product_codes(split), "product_id").join(region_codes(split), "region")
+    return split.join(codes, ["product_id", "region"])
 
 
 def fit_regressor(
