@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
 Benchmark items are a stated query set, taken in blocks of ``items_per_block``; each block is searched in all
-documents. Words are lower-cased (A-Z) and broken at white space and ASCII punctuation. A first pass counts in how many documents
-each n-gram of the items occurs. The seeds of an item are its rarest n-grams that occur, as many as half of all it has, so a phrase that many documents
-share starts few alignments while every copy still holds seeds. A second pass finds the seeds in each document,
+documents. Words are lower-cased (A-Z) and broken at white space and ASCII punctuation. Every n-gram of an item is a seed, so
+what is found in a document depends on that document and the item alone. One pass finds the seeds in each document,
 merges seeds on neighbouring diagonals into passages, and aligns each passage with its item word by word: match 2,
 mismatch -1, gap -1, local. The score is the best alignment over 2 x the item's words, 1 for an exact copy; edits,
-insertions and deletions lower it gradually. A pair is reported from ``threshold`` on.
+insertions and deletions lower it gradually. A pair is reported from ``threshold`` on. A passage that holds too few of the
+item's words to reach the threshold is not aligned.
 
-Nothing about documents leaves their task but the counts per item n-gram and the found pairs; what is sent out is one
-block of items with its seeds.
+Nothing about documents leaves their task but the found pairs; what is sent out is one block of items with its seeds.
 
 Defined results: null and empty texts match nothing; items under ``min_words`` words have no seeds and match nothing;
 equal items are each reported; rows with equal ids are searched separately; empty tables give no rows; other columns of
@@ -109,18 +108,6 @@ def passages(in_item: np.ndarray, in_text: np.ndarray, item_length: int, text_le
     return merged
 
 
-def _count(source: DataFrame, index, width: int) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(index.value.keys), np.int64)
-        for batch in batches:
-            for _, _, keys, _ in _hits(batch.column(0), index.value, width):
-                seen[np.unique(keys)] += 1
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], ["key", "texts"])
-
-    return source.select("text").mapInArrow(count, "key long, texts long").groupBy("key").agg(F.sum("texts").alias("texts"))
-
-
 def _search(source: DataFrame, block, threshold: float, width: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, index, seed_start, seed_item, seed_place = block.value
@@ -139,8 +126,9 @@ def _search(source: DataFrame, block, threshold: float, width: int) -> DataFrame
                     scored = [
                         (align(own, hashes[a:b]) / (MATCH * len(own)), -a, b)
                         for a, b in passages(in_item[chosen], in_text[chosen], len(own), len(hashes))
+                        if np.isin(own, hashes[a:b]).sum() / len(own) >= threshold  # else no alignment reaches it
                     ]
-                    score, begin, end = max(scored)
+                    score, begin, end = max(scored, default=(-1.0, 0, 0))
                     if score >= threshold:
                         rows.append((doc_ids[text].as_py(), ids[item], score, -begin, end))
             columns = list(zip(*rows)) or [()] * 5
@@ -160,14 +148,13 @@ def contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     width: int = 3,
-    seed_share: float = 0.5,
     min_words: int = 8,
     threshold: float = 0.4,
     items_per_block: int = 5_000,
 ) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score, and the aligned passage's word range."""
-    if not 0 < seed_share <= 1 or min_words < width:
-        raise ValueError("seed_share must be in (0, 1] and min_words at least width")
+    if min_words < width:
+        raise ValueError("min_words must be at least width")
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).toLocalIterator()
@@ -177,17 +164,7 @@ def contaminated(
         long_enough = [i for i, w in enumerate(words) if len(w) >= min_words]
         ids, words = [block[i].id for i in long_enough], [words[i] for i in long_enough]
         own = [grams(w, width) for w in words]
-        index = GramIndex(np.concatenate([np.empty(0, np.uint64), *own]))
-        shared_index = spark.sparkContext.broadcast(index)
-        frequency = np.zeros(len(index.keys), np.int64)
-        for row in _count(source, shared_index, width).collect():  # at most one row per n-gram of the block
-            frequency[row.key] = row.texts
-        seeds: list[tuple[int, int, int]] = []
-        for item, hashes in enumerate(own):
-            key = np.searchsorted(index.keys, hashes)
-            order = np.lexsort((hashes, frequency[key]))
-            order = order[frequency[key][order] > 0]  # what no document holds can find nothing
-            seeds += [(int(hashes[p]), item, int(p)) for p in order[: int(np.ceil(len(hashes) * seed_share))]]
+        seeds = [(int(h), item, p) for item, hashes in enumerate(own) for p, h in enumerate(hashes)]
         seeds.sort()
         seed_index = GramIndex(np.array([s[0] for s in seeds], np.uint64))
         starts = np.searchsorted(np.array([s[0] for s in seeds], np.uint64), seed_index.keys)

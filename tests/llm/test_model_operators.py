@@ -147,6 +147,17 @@ def test_decontamination_finds_copies_and_edits_and_leaves_the_rest(spark):
     assert contaminated(frame, bench.limit(0)).collect() == [] and contaminated(frame.limit(0), bench).collect() == []
 
 
+def test_decontamination_of_one_document_does_not_depend_on_the_others(spark):
+    item = [f"q{k}" for k in range(30)]
+    half = [(i, f"plain{i} begins " + " ".join(item[:15]) + f" and ends {i}") for i in range(20)]
+    other = [(100 + i, " ".join(f"plain{i}x{k}" for k in range(60))) for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for full in ([], [(99, "here " + " ".join(item) + " there")]):
+        docs = spark.createDataFrame(half + other + full, "doc_id long, text string")
+        found = {r.doc_id: r.score for r in contaminated(docs, bench).collect()}
+        assert found == {i: 0.5 for i, _ in half} | {i: 1.0 for i, _ in full}
+
+
 def test_alignment_against_the_textbook_recurrence():
     rng = np.random.default_rng(1)
     for _ in range(50):
