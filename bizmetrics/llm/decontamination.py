@@ -1,7 +1,8 @@
 """Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
 Benchmark items are a stated query set, taken in blocks of ``items_per_block``; each block is searched in all
-documents. Words are lower-cased (A-Z) and broken at white space and ASCII punctuation. Every n-gram of an item is a seed, so
+documents. Words are lower-cased (A-Z) and broken at white space and ASCII punctuation; in scripts without spaces (Han, kana,
+Thai, Lao, Khmer, Burmese, Tibetan) every character is a word. Every n-gram of an item is a seed, so
 what is found in a document depends on that document and the item alone. One pass finds the seeds in each document,
 merges seeds on neighbouring diagonals into passages, and aligns each passage with its item word by word: match 2,
 mismatch -1, gap -1, local. The score is the best alignment over 2 x the item's words, 1 for an exact copy; edits,
@@ -10,8 +11,8 @@ item's words to reach the threshold is not aligned.
 
 Nothing about documents leaves their task but the found pairs; what is sent out is one block of items with its seeds.
 
-Defined results: null and empty texts match nothing; items under ``min_words`` words have no seeds and match nothing;
-equal items are each reported; rows with equal ids are searched separately; empty tables give no rows; other columns of
+Defined results: null and empty texts match nothing; items under ``min_words`` words are found where all their
+words stand in a row (score 1, the first such place), and those under ``min_exact_words`` words match nothing; equal items are each reported; rows with equal ids are searched separately; empty tables give no rows; other columns of
 the inputs are ignored.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
-from bizmetrics.llm.hashing import PUNCTUATION_TOO, grams, pieces
+from bizmetrics.llm.hashing import PUNCTUATION_TOO, Piece, grams, pieces
 
 FOUND = "doc_id long, item_id long, score double, passage_start long, passage_end long"
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -34,7 +35,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 def item_words(texts: list[str | None]) -> list[np.ndarray]:
     found = []
-    for piece in pieces(pa.array(texts, pa.large_string()), PUNCTUATION_TOO):
+    for piece in pieces(pa.array(texts, pa.large_string()), PUNCTUATION_TOO, characters=True):
         hashes = piece.word_hashes(lower=True)
         found += [hashes[a:b] for a, b in zip(piece.offsets, piece.offsets[1:])]
     return found
@@ -57,19 +58,15 @@ class GramIndex:
         return maybe[right], at[right]
 
 
-def _hits(column: pa.Array, index: GramIndex, width: int):
+def _hits(piece: Piece, hashes: np.ndarray, index: GramIndex, width: int):
     """For each text with a key: its number, positions, key numbers, and word hashes."""
-    if not len(index.keys):
-        return
-    for piece in pieces(column, PUNCTUATION_TOO):
-        hashes = piece.word_hashes(lower=True)
-        positions, keys = index.find(grams(hashes, width))
-        owner = np.searchsorted(piece.offsets, positions, "right") - 1
-        inside = positions + width <= piece.offsets[owner + 1]
-        positions, keys, owner = positions[inside], keys[inside], owner[inside]
-        for text, start, stop in _runs(owner):
-            low = piece.offsets[text]
-            yield piece.first + text, positions[start:stop] - low, keys[start:stop], hashes[low : piece.offsets[text + 1]]
+    positions, keys = index.find(grams(hashes, width))
+    owner = np.searchsorted(piece.offsets, positions, "right") - 1
+    inside = positions + width <= piece.offsets[owner + 1]
+    positions, keys, owner = positions[inside], keys[inside], owner[inside]
+    for text, start, stop in _runs(owner):
+        low = piece.offsets[text]
+        yield piece.first + text, positions[start:stop] - low, keys[start:stop], hashes[low : piece.offsets[text + 1]]
 
 
 def _runs(values: np.ndarray):
@@ -108,29 +105,52 @@ def passages(in_item: np.ndarray, in_text: np.ndarray, item_length: int, text_le
     return merged
 
 
+def _table(seeds: list[tuple[int, int, int]]):
+    """Index of the seeds' hashes; seeds of key k are start[k] .. start[k + 1] of the items and their places."""
+    seeds = sorted(seeds)
+    hashes = np.array([s[0] for s in seeds], np.uint64)
+    index = GramIndex(hashes)
+    start = np.append(np.searchsorted(hashes, index.keys), len(seeds))
+    return index, start, np.array([s[1] for s in seeds], np.int64), np.array([s[2] for s in seeds], np.int64)
+
+
 def _search(source: DataFrame, block, threshold: float, width: int) -> DataFrame:
+    def aligned(piece: Piece, hashes: np.ndarray):
+        ids, words, (index, seed_start, seed_item, seed_place), _ = block.value
+        for text, positions, keys, own_hashes in _hits(piece, hashes, index, width):
+            lengths = seed_start[keys + 1] - seed_start[keys]
+            entry = np.repeat(seed_start[keys] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+            entry += np.arange(lengths.sum())
+            items, in_item, in_text = seed_item[entry], seed_place[entry], np.repeat(positions, lengths)
+            order = np.argsort(items, kind="stable")
+            for item, start, stop in _runs(items[order]):
+                chosen = order[start:stop]
+                own = words[item]
+                scored = [
+                    (align(own, own_hashes[a:b]) / (MATCH * len(own)), -a, b)
+                    for a, b in passages(in_item[chosen], in_text[chosen], len(own), len(own_hashes))
+                    if np.isin(own, own_hashes[a:b]).sum() / len(own) >= threshold  # else no alignment reaches it
+                ]
+                score, begin, end = max(scored, default=(-1.0, 0, 0))
+                if score >= threshold:
+                    yield text, ids[item], score, -begin, end
+
+    def copied(piece: Piece, hashes: np.ndarray):
+        ids, _, _, short = block.value
+        for size, (index, start, items, _) in short.items():
+            for text, positions, keys, _ in _hits(piece, hashes, index, size):
+                for key, first in zip(*np.unique(keys, return_index=True)):
+                    for item in items[start[key] : start[key + 1]]:
+                        yield text, ids[item], 1.0, int(positions[first]), int(positions[first]) + size
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, index, seed_start, seed_item, seed_place = block.value
         for batch in batches:
             doc_ids = batch.column(0)
             rows = []
-            for text, positions, keys, hashes in _hits(batch.column(1), index, width):
-                lengths = seed_start[keys + 1] - seed_start[keys]
-                entry = np.repeat(seed_start[keys] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-                entry += np.arange(lengths.sum())
-                items, in_item, in_text = seed_item[entry], seed_place[entry], np.repeat(positions, lengths)
-                order = np.argsort(items, kind="stable")
-                for item, start, stop in _runs(items[order]):
-                    chosen = order[start:stop]
-                    own = words[item]
-                    scored = [
-                        (align(own, hashes[a:b]) / (MATCH * len(own)), -a, b)
-                        for a, b in passages(in_item[chosen], in_text[chosen], len(own), len(hashes))
-                        if np.isin(own, hashes[a:b]).sum() / len(own) >= threshold  # else no alignment reaches it
-                    ]
-                    score, begin, end = max(scored, default=(-1.0, 0, 0))
-                    if score >= threshold:
-                        rows.append((doc_ids[text].as_py(), ids[item], score, -begin, end))
+            for piece in pieces(batch.column(1), PUNCTUATION_TOO, characters=True):
+                hashes = piece.word_hashes(lower=True)
+                for find in (aligned, copied):
+                    rows += [(doc_ids[text].as_py(), *found) for text, *found in find(piece, hashes)]
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             names = ["doc_id", "item_id", "score", "passage_start", "passage_end"]
@@ -149,33 +169,26 @@ def contaminated(
     item_text: str = "text",
     width: int = 3,
     min_words: int = 8,
+    min_exact_words: int = 3,
     threshold: float = 0.4,
     items_per_block: int = 5_000,
 ) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score, and the aligned passage's word range."""
-    if min_words < width:
-        raise ValueError("min_words must be at least width")
+    if min_words < width or min_exact_words < 1:
+        raise ValueError("min_words must be at least width and min_exact_words at least 1")
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).toLocalIterator()
     found = spark.createDataFrame([], FOUND)
     while block := list(islice(items, items_per_block)):
         words = item_words([row.text for row in block])
-        long_enough = [i for i, w in enumerate(words) if len(w) >= min_words]
-        ids, words = [block[i].id for i in long_enough], [words[i] for i in long_enough]
-        own = [grams(w, width) for w in words]
-        seeds = [(int(h), item, p) for item, hashes in enumerate(own) for p, h in enumerate(hashes)]
-        seeds.sort()
-        seed_index = GramIndex(np.array([s[0] for s in seeds], np.uint64))
-        starts = np.searchsorted(np.array([s[0] for s in seeds], np.uint64), seed_index.keys)
-        table = (
-            ids,
-            words,
-            seed_index,
-            np.append(starts, len(seeds)),
-            np.array([s[1] for s in seeds], np.int64),
-            np.array([s[2] for s in seeds], np.int64),
-        )
+        ids = [row.id for row in block]
+        seeds = [(int(h), i, p) for i, w in enumerate(words) if len(w) >= min_words for p, h in enumerate(grams(w, width))]
+        whole: dict[int, list[tuple[int, int, int]]] = {}
+        for i, w in enumerate(words):
+            if min_exact_words <= len(w) < min_words:
+                whole.setdefault(len(w), []).append((int(grams(w, len(w))[0]), i, 0))
+        table = ids, words, _table(seeds), {size: _table(own) for size, own in whole.items()}
         found = found.unionByName(_search(source, spark.sparkContext.broadcast(table), threshold, width))
     return found
 

@@ -64,8 +64,33 @@ PUNCTUATION_TOO = _IS_SPACE.copy()
 PUNCTUATION_TOO[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
-def pieces(column: pa.Array, breaks: np.ndarray = _IS_SPACE) -> Iterator[Piece]:
-    """The texts of a string column (null: empty), piece by piece; ``breaks`` marks the bytes between words."""
+#: Code points of scripts written without spaces: Thai to Tibetan, Burmese, Khmer, kana, Han; and of their punctuation.
+UNSPACED = [
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF),
+]
+WIDE_PUNCTUATION = [(0x3000, 0x3004), (0x3008, 0x3030), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+
+
+def _places_in(data: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes, and bytes behind the last, of the characters of three and four bytes in ``ranges``."""
+    found = []
+    for low, high, size, bits in ((0xE0, 0xEF, 3, 0x0F), (0xF0, 0xF7, 4, 0x07)):
+        at = np.flatnonzero((data >= low) & (data <= high))
+        at = at[at + size <= len(data)]
+        code = data[at].astype(np.int64) & bits
+        for k in range(1, size):
+            code = code << 6 | data[at + k] & 0x3F
+        at = at[np.any([(code >= a) & (code <= b) for a, b in ranges], axis=0)]
+        found.append((at, at + size))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def pieces(column: pa.Array, breaks: np.ndarray = _IS_SPACE, *, characters: bool = False) -> Iterator[Piece]:
+    """The texts of a string column (null: empty), piece by piece; ``breaks`` marks the bytes between words.
+
+    With ``characters`` each character of a script without spaces is a word, and its punctuation breaks words.
+    """
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return
@@ -79,8 +104,19 @@ def pieces(column: pa.Array, breaks: np.ndarray = _IS_SPACE) -> Iterator[Piece]:
         edges = bounds[at : stop + 1] - bounds[at]
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = ~breaks[data]
+        unspaced = characters and len(data) and data.max() >= 0xE0
+        if unspaced:
+            first, _ = _places_in(data, WIDE_PUNCTUATION)
+            for k in range(1, 4):  # its three bytes
+                inside[first + k] = False
         begins = inside[1:-1] & ~inside[:-2]
         finishes = inside[1:-1] & ~inside[2:]
+        if unspaced:
+            first, behind = _places_in(data, UNSPACED)
+            begins[first] = finishes[behind - 1] = True
+            behind, first = behind[behind < len(data)], first[first > 0]
+            begins[behind] |= inside[1:-1][behind]
+            finishes[first - 1] |= inside[1:-1][first - 1]
         at_edge = edges[:-1][edges[:-1] < len(data)]
         begins[at_edge] |= inside[1:-1][at_edge]
         before_edge = edges[1:][edges[1:] > 0] - 1

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bizmetrics.llm import catalog, hashing, html_extraction, jaccard_join, range_coder, warc
-from bizmetrics.llm.decontamination import align, contaminated, decontaminate
+from bizmetrics.llm.decontamination import align, contaminated, decontaminate, item_words
 from bizmetrics.llm.files import locate
 from bizmetrics.llm.jaccard_join import keep_one, near_duplicates
 from bizmetrics.llm.quality_model import keep_good, score_quality
@@ -158,6 +158,40 @@ def test_decontamination_of_one_document_does_not_depend_on_the_others(spark):
         assert found == {i: 0.5 for i, _ in half} | {i: 1.0 for i, _ in full}
 
 
+def test_decontamination_finds_short_items_and_scripts_without_spaces(spark):
+    items = [
+        (1, "What is the capital of France?"),
+        (2, "Who wrote it"),
+        (3, "Yes"),
+        (4, "法国的首都是哪一座城市?"),
+        (5, "フランスの首都はどこですか"),
+        (6, "เมืองหลวงของฝรั่งเศสคือเมืองอะไร"),
+        (7, "what is THE capital of france"),
+        (8, "法国首都"),
+    ]
+    docs = [
+        (1, "Question: what is the capital of France? Paris. What is the capital of France"),
+        (2, "what is the capital city of France"),
+        (3, "what is the capital of"),
+        (4, "Yes who wrote it"),
+        (5, "我想知道,法国的首都是哪一座城市。巴黎"),
+        (6, "問題:フランスの首都はどこですか?パリ"),
+        (7, "คำถาม เมืองหลวงของฝรั่งเศสคือเมืองอะไร ปารีส"),
+        (8, "今天天气很好"),
+        (9, "France"),
+        (10, "Python法国首都abc"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.score, r.passage_start, r.passage_end) for r in contaminated(frame, bench).collect()}
+    assert set(found) == {(1, 1), (1, 7), (4, 2), (5, 4), (6, 5), (7, 6), (10, 8)}
+    assert {score for score, _, _ in found.values()} == {1.0}
+    assert found[1, 1] == (1.0, 1, 7) and found[4, 2] == (1.0, 1, 4)
+    assert (4, 3) in {(r.doc_id, r.item_id) for r in contaminated(frame, bench, min_exact_words=1).collect()}
+    cut = [len(w) for w in item_words(["Python语言3.0、よい", "한국어 문장", "née 😀 x", None, "語"])]
+    assert cut == [7, 2, 3, 0, 1]
+
+
 def test_alignment_against_the_textbook_recurrence():
     rng = np.random.default_rng(1)
     for _ in range(50):
