@@ -2,7 +2,7 @@
 
 Two histograms describe a document: its characters by class and its words by common word of its language. Each is
 compared with the histogram of all documents of that language by Jensen-Shannon distance (square root of the
-divergence in bits, 0 to 1). Only built-in expressions run; words are hashed to 64 bits inside one document to find
+divergence in bits, 0 to 1), and its common words also with those of the other languages. Only built-in expressions run; words are hashed to 64 bits inside one document to find
 repeated windows.
 
 Defined results: a null text has no words and fails the base rules; a null or unknown language has no reference and
@@ -12,8 +12,6 @@ an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,33 +118,35 @@ def _class_counts(body: Column) -> Column:
 
 
 def _common_counts(words: Column, language: Column) -> Column:
-    """Counts of each common word of the document's language, then of all other words; null without a language."""
+    """For each language of ``COMMON_WORDS`` the counts of its common words, then of all other words; null without a language."""
     listed_words = {w for ws in COMMON_WORDS.values() for w in ws}
     forms = sorted(listed_words | {w.upper() for w in listed_words} | {w.capitalize() for w in listed_words})
-
-    def counts(listed):
-        hits = F.concat_ws("  ", F.filter(words, lambda w: w.isin(forms)))
-        found = T.bind(
-            F.concat(F.lit(" "), F.lower(hits), F.lit(" ")),
-            lambda joined: F.transform(
-                listed,
-                lambda w: (
-                    (F.length(joined) - F.length(F.replace(joined, F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))))
-                    / (F.length(w) + 2)
-                ).cast("bigint"),
-            ),
+    hits = F.concat_ws("  ", F.filter(words, lambda w: w.isin(forms)))
+
+    def counts(joined, listed):
+        found = F.transform(
+            F.array(*[F.lit(w) for w in listed]),
+            lambda w: (
+                (F.length(joined) - F.length(F.replace(joined, F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))))
+                / (F.length(w) + 2)
+            ).cast("bigint"),
         )
         return T.bind(
             found,
             lambda c: F.concat(c, F.array(F.size(words) - F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))),
         )
 
-    lists = reduce(
-        lambda column, item: column.when(language == item[0], F.array(*[F.lit(w) for w in item[1]])),
-        COMMON_WORDS.items(),
-        F.when(F.lit(False), F.lit(None).cast("array<string>")),
+    of_all = T.bind(
+        F.concat(F.lit(" "), F.lower(hits), F.lit(" ")),
+        lambda joined: F.array(*[counts(joined, listed) for listed in COMMON_WORDS.values()]),
     )
-    return F.when(language.isin(sorted(COMMON_WORDS)), counts(lists))
+    return F.when(language.isin(sorted(COMMON_WORDS)), of_all)
+
+
+def _of_own(counts: Column, language: Column) -> Column:
+    """The counts for the document's language."""
+    place = F.array_position(F.array(*[F.lit(k) for k in COMMON_WORDS]), language).cast("int") - 1
+    return F.when(language.isin(sorted(COMMON_WORDS)), F.get(counts, place))
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -178,11 +178,17 @@ def quality_rules(
     language: str = "lang",
     max_class_distance: float = 0.25,
     max_word_distance: float = 0.6,
+    max_other_share: float = 0.7,
+    language_margin: float = 0.3,
     min_chars: int = 200,
     min_words: int = 100,
 ) -> DataFrame:
     """One row per document: the base measures, both distances, and whether the document is kept.
 
+    A document is also dropped when its common words are another language's: its distance to that language is at most
+    ``max_other_share`` of the distance that a text without any common word has there, and so measured it lies
+    ``language_margin`` nearer than to its own language.
+
     The references are the summed histograms of every document of a language that passes the base rules. One pass
     over the texts writes the counts (a few dozen integers per document); references and verdicts come from them.
     """
@@ -191,7 +197,8 @@ def quality_rules(
     )
     counted = cut_lineage(
         base_measures(source)
-        .withColumn("word_counts", _common_counts(F.col("_words"), F.col("lang")))
+        .withColumn("language_counts", _common_counts(F.col("_words"), F.col("lang")))
+        .withColumn("word_counts", _of_own(F.col("language_counts"), F.col("lang")))
         .drop("_words", "text")
     )
     sums = [
@@ -200,9 +207,14 @@ def quality_rules(
     ]
     known = F.col("lang").isin(sorted(COMMON_WORDS))
     references = counted.where(known & ~F.col("base_failed")).groupBy("lang").agg(*sums)
-    # At most one row per language of COMMON_WORDS.
+    without = F.array(*[F.lit(0).cast("bigint")] * 16, F.lit(1).cast("bigint"))
+    references = cut_lineage(references.withColumn("farthest", distance(without, F.col("word_counts_reference"))))
+    entry = F.struct("lang", F.struct(F.col("word_counts_reference").alias("reference"), "farthest"))
+    by_language = references.agg(F.map_from_entries(F.collect_list(entry)).alias("by_language"))
+    # At most one row per language of COMMON_WORDS, and one row of all of them.
     judged = (
         counted.join(F.broadcast(references), "lang", "left")
+        .crossJoin(F.broadcast(by_language))
         .withColumns(
             {
                 "class_distance": distance(F.col("class_counts"), F.col("class_counts_reference")),
@@ -211,7 +223,19 @@ def quality_rules(
             }
         )
     )
-    far = (
+
+    def nearer(place: int, name: str) -> Column:
+        other = F.try_element_at("by_language", F.lit(name))
+        return (F.col("lang") != name) & T.bind(
+            F.struct(distance(F.get("language_counts", F.lit(place)), other["reference"]).alias("d"), other["farthest"].alias("farthest")),
+            lambda o: (o["d"] <= max_other_share * o["farthest"])
+            & (o["d"] * F.col("farthest") < (F.col("word_distance") - language_margin * F.col("farthest")) * o["farthest"]),
+        )
+
+    foreign = F.lit(False)
+    for place, name in enumerate(COMMON_WORDS):
+        foreign = foreign | F.coalesce(nearer(place, name), F.lit(False))
+    far = ((F.col("n_words") >= min_words) & foreign) | (
         F.coalesce((F.col("n_chars") >= min_chars) & (F.col("class_distance") > max_class_distance), F.lit(False))
     ) | F.coalesce((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance), F.lit(False))
     return judged.select(

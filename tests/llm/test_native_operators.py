@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.llm.license_scan import TEMPLATES, license_scan
 from bizmetrics.llm.line_dedup import line_dedup
-from bizmetrics.llm.quality_rules import quality_rules, repeated_words
+from bizmetrics.llm.quality_rules import COMMON_WORDS, quality_rules, repeated_words
 from bizmetrics.llm.source_mixing import mix_sources, mixed_documents, targets
 
 
@@ -70,6 +71,20 @@ def test_quality_rules_drop_what_differs_from_the_language(spark):
     assert not kept[100] and all(kept[i] for i in range(60))
 
 
+def test_quality_rules_drop_a_text_in_another_language_than_stated(spark):
+    rng = random.Random(5)
+
+    def text(language, n=200):
+        return " ".join(rng.choice(COMMON_WORDS[language]) if rng.random() < 0.3 else f"wo{rng.choice('abcdefgh')}{rng.choice('klmnop')}r" for _ in range(n))
+
+    right = [(i, text(lang), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 20)]
+    wrong = [(100, text("de"), "en"), (101, text("en"), "fr"), (102, text("fr"), "es"), (103, text("es"), "de")]
+    unjudged = [(200, text("de", 60), "en"), (201, text("de"), "xx"), (202, text("de"), None)]
+    docs = spark.createDataFrame(right + wrong + unjudged, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    assert {i for i in kept if not kept[i]} == {i for i, _, _ in wrong}
+
+
 def test_line_dedup_keeps_one_copy_and_merges_overlaps(spark):
     a = [f"line {i}" for i in range(6)]
     rows = [
