@@ -7,7 +7,7 @@ both directions and gives each block the probability of belonging to the article
 
 It is trained here, on a bounded sample of pages (``train_pages``, those with the lowest hash). The labels come from
 page structure where it is plain: blocks inside ``article`` or ``main`` and outside menus, adverts, forms, comments and
-the like are article. Each sampled page is also shown in altered forms, with other containers around the article and
+the like are article; on a page without such elements, the container with the most unlinked running text takes their place. Each sampled page is also shown in altered forms, with other containers around the article and
 other boilerplate in and around it, so the labels do not hang on one element. Labelling runs on all blocks of
 all pages, pages of similar length side by side.
 
@@ -63,6 +63,8 @@ NOT_ARTICLE_WORDS = frozenset(
 )
 NOT_ARTICLE_TAGS = frozenset("nav footer header aside form head title button select label noscript menu dialog".split())
 ARTICLE_TAGS = frozenset({"article", "main"})
+WHOLE_PAGE = ARTICLE_TAGS | {"html", "body"}
+INNER_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption caption center".split())
 
 PATH_SIZE, WORD_SIZE, SIZES = 64, 24, 5
 HIDDEN = 16
@@ -118,10 +120,58 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 def structural_label(path: tuple[str, ...]) -> int:
-    """1 inside an article element and outside everything that marks boilerplate."""
+    """1 inside an article element and outside everything that marks boilerplate.
+
+    Class, id and role words of ``html``, ``body`` and the article elements speak of the page and do not count.
+    """
     if not ARTICLE_TAGS.intersection(path):
         return 0
-    return int(not any(e in NOT_ARTICLE_TAGS or e[1:] in NOT_ARTICLE_WORDS and e[0] == "." for e in path))
+    element = ""
+    for e in path:
+        if e[0] != ".":
+            element = e
+            if e in NOT_ARTICLE_TAGS:
+                return 0
+        elif e[1:] in NOT_ARTICLE_WORDS and element not in WHOLE_PAGE:
+            return 0
+    return 1
+
+
+def marked_article(sequence: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[tuple[str, ...], str, int]]:
+    """The page with an article element around what reads as one, for training on pages without such an element.
+
+    The container is the element with the most unlinked text in blocks of 80 characters or more outside
+    boilerplate, counting blocks that stand in it directly or inside headings, lists, quotes and tables.
+    """
+
+    def boilerplate(path):
+        element = ""
+        for e in path:
+            if e[0] != ".":
+                element = e
+            if e in NOT_ARTICLE_TAGS or e[0] == "." and e[1:] in NOT_ARTICLE_WORDS and element not in WHOLE_PAGE:
+                return True
+        return False
+
+    def container(path):
+        starts = [i for i, e in enumerate(path) if e[0] != "."] + [len(path)]
+        depth = len(starts) - 1
+        while depth and path[starts[depth - 1]] in INNER_TAGS:
+            depth -= 1
+        return path[: starts[depth]]
+
+    weight: dict[tuple[str, ...], int] = {}
+    for path, text, linked in sequence:
+        if len(text) >= 80 and 2 * linked <= len(text) and not boilerplate(path):
+            weight[container(path)] = weight.get(container(path), 0) + len(text) - linked
+    if not weight:
+        return sequence
+    best = max(weight, key=lambda path: (weight[path], path))
+    n = len(best)
+    return [
+        ((*best, "article", *path[n:]) if path[:n] == best and 2 * linked <= len(text) else path, text, linked)
+        for path, text, linked in sequence
+    ]
 
 
 _path_vectors: dict[tuple[str, ...], np.ndarray] = {}
@@ -287,9 +337,13 @@ def train(pages: list[str | None], *, epochs: int = 8, altered: int = 2, seed: i
     for page in pages:
         sequence = blocks(page)
         labels = [structural_label(path) for path, _, _ in sequence]
+        shown = sequence
+        if not any(labels):
+            shown = marked_article(sequence)
+            labels = [structural_label(path) for path, _, _ in shown]
         if not any(labels):
             continue
-        for own, marks in [(sequence, labels), *[_altered(sequence, rng) for _ in range(altered)]]:
+        for own, marks in [(sequence, labels), *[_altered(shown, rng) for _ in range(altered)]]:
             rows = features(own)
             for start in range(0, len(rows), window):
                 examples.append((rows[start : start + window], np.array(marks[start : start + window], np.float32)))

@@ -299,6 +299,23 @@ def test_html_extraction(spark):
     assert html_extraction.extract(pages.limit(0)).collect() == []
 
 
+def test_html_extraction_of_a_site_without_article_elements(spark):
+    long = "a long enough sentence of the story of page {0} that goes on for some time and says what happened"
+    page = (
+        '<html><body class="right-sidebar"><div class="menu"><ul><li><a href="/a">Home of {0}</a></li></ul></div><div class="story">'
+        "<h2>Story {0}</h2><p>" + long + "</p><p>" + long + " again</p></div><div class=\"footer\"><p>Imprint</p></div></body></html>"
+    )
+    pages = spark.createDataFrame([(i, "u", page.format(i)) for i in range(40)], "page_id long, url string, html string")
+    for r in html_extraction.extract(pages).collect():
+        assert long.format(r.page_id) in r.text and "Imprint" not in r.text and "Home of" not in r.text
+
+
+def test_html_labels_ignore_words_on_the_whole_page():
+    assert html_extraction.structural_label(("html", "body", ".right", ".sidebar", "article", ".has", ".comments", "p")) == 1
+    assert html_extraction.structural_label(("html", "body", "article", "div", ".comments", "p")) == 0
+    assert html_extraction.structural_label(("html", "body", "article", "footer", "p")) == 0
+
+
 def test_html_blocks_of_broken_markup():
     texts = [text for _, text, _ in html_extraction.blocks("<p>a<p>b <i>c</i>\n d</p> e < f &amp &am <script>x</script><img alt='>'>g<td>h</p>i<!-- x")]
     assert texts == ["a", "b c d", "e < f & &am g", "h", "i"]
