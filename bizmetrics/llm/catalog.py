@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.llm import sql, warc
 from bizmetrics.llm.decontamination import contaminated
+from bizmetrics.llm.filter_audit import FIVE, filter_audit, five_filters
 from bizmetrics.llm.html_extraction import extract
 from bizmetrics.llm.jaccard_join import near_duplicates
 from bizmetrics.llm.license_scan import license_scan
@@ -16,6 +17,8 @@ from bizmetrics.llm.line_dedup import line_dedup
 from bizmetrics.llm.quality_model import score_quality
 from bizmetrics.llm.quality_rules import quality_rules
 from bizmetrics.llm.source_mixing import mix_sources
+from bizmetrics.llm.spelling_variants import spelling_variants
+from bizmetrics.llm.substring_dedup import substring_dedup
 from bizmetrics.llm.text import table
 from bizmetrics.llm.token_files import read_ids, write_ids
 
@@ -74,6 +77,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = five_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit(judged, FIVE, ("good", "toxic"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256)
+    return cut.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     named = [
         op1_license_scan,
@@ -86,6 +104,9 @@ def queries() -> dict[str, Query]:
         op8_quality_classifier,
         op9_source_mixing,
         op10_html_extraction,
+        op11_filter_audit,
+        op12_spelling_variants,
+        op13_substring_dedup,
     ]
     return {q.__name__: q for q in named}
 
@@ -97,4 +118,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": sql.line_dedup(),
         "op7_warc_bundles": sql.warc_bundles(),
         "op9_source_mixing": sql.source_mixing(),
+        "op11_filter_audit": sql.filter_audit(),
+        "op13_substring_dedup": sql.substring_dedup(),
     }

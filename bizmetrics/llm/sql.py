@@ -162,3 +162,69 @@ sized as (
 def source_mixing() -> str:
     return f"""with {mixed()}
 select doc_id, size::bigint as size, source_size::bigint as source_size, target::double as target, taken from mixed"""
+
+
+def filter_audit() -> str:
+    return f"""
+with recursive marked as (
+  select coalesce(lang, '') as part, doc_id, coalesce(text, '') as body, {_words("text")} as w from documents
+), failing as (
+  select part, doc_id,
+    (len(w) < 100)::int + (100 * len(list_distinct(w)) < 80 * len(w))::int * 2
+    + (100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 10 * length(body))::int * 4
+    + regexp_matches(body, '[#$%&*|]')::int * 8 + coalesce(doc_id > min(doc_id) over (partition by body), false)::int * 16 as mask
+  from marked
+), flagged as (
+  select part, mask, count(*) as n,
+    count(*) filter (doc_id in (select doc_id from labels where quality = 1 and doc_id is not null)) as good,
+    count(*) filter (doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null)) as toxic
+  from failing group by all
+), letters as (
+  select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)
+), walks as (
+  select '' as walk, 0 as seen
+  union all
+  select walk || letter, seen | bit from walks, letters where seen & bit = 0
+), steps as (
+  select o.walk as filter_order, s.step::int as step, l.bit, p.seen as prior
+  from (select walk from walks where length(walk) = 5) o, range(1, 6) s(step), letters l, walks p
+  where l.letter = o.walk[s.step] and p.walk = left(o.walk, s.step - 1)
+), sums as (
+  select part, bit, prior, sum(n) filter (mask & (bit | prior) = 0) as kept,
+    coalesce(sum(n) filter (mask & bit > 0 and mask & prior = 0), 0) as removed,
+    coalesce(sum(n) filter (mask & bit > 0 and mask & prior > 0), 0) as redundant,
+    coalesce(sum(n) filter (mask = bit), 0) as unique_fails,
+    coalesce(sum(good) filter (mask & bit > 0 and mask & prior = 0), 0) as good_lost,
+    coalesce(sum(toxic) filter (mask & bit > 0 and mask & prior = 0), 0) as toxic_lost
+  from flagged, (select distinct bit, prior from steps) group by part, bit, prior
+), cells as (
+  select part, filter_order, step, bit, kept, removed, redundant, unique_fails, good_lost, toxic_lost from sums join steps using (bit, prior)
+)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, bit))::bigint as shapley
+from cells"""
+
+
+def substring_dedup(width: int = 20) -> str:
+    """For tables in which every document has an id of its own."""
+    return f"""
+with docs as (
+  select doc_id, {_words("text")} as w from documents
+), windows as (
+  select doc_id, p, md5(array_to_string(w[p:p + {width - 1}], ' ')) as key
+  from (select doc_id, w, unnest(range(1, len(w) - {width - 2})) as p from docs)
+), later as (
+  select doc_id, p from windows qualify row_number() over (partition by key order by doc_id, p) > 1
+), cuts as (
+  select doc_id, list(distinct p + d) as gone from later, range(0, {width}) r(d) group by doc_id
+), marked as (
+  select docs.doc_id, w, coalesce(gone, []) as gone from docs left join cuts using (doc_id)
+), kept as (
+  select k.doc_id, string_agg(k.word, ' ' order by k.i) as kept
+  from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from docs) k
+  anti join (select doc_id, unnest(gone) as i from cuts) g on k.doc_id = g.doc_id and k.i = g.i
+  group by k.doc_id
+)
+select m.doc_id, len(w)::bigint as n_words, len(m.gone)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from marked m left join kept using (doc_id)"""
