@@ -19,12 +19,30 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_table(spark: SparkSession) -> str:
+    """Path of a table that is not there yet, in the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet to the checkpoint folder and read on from there.
 
     The files outlive a lost executor. Later steps read only the columns they need, and
     Spark knows the table's size when it picks a join.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote, once all that was made of them is written too."""
+    for table in tables:
+        folder = checkpoint_folder(table.sparkSession).rstrip("/")
+        hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+        conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if f"/{folder.rsplit('/', 1)[-1]}/table-" not in path:
+                raise ValueError(f"not a table of this application's checkpoint folder: {path}")
+            target = hadoop.Path(path)
+            target.getFileSystem(conf).delete(target, True)
