@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bizmetrics.functions.distinct import distinct_counts, distinct_rollup
+from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.functions.measures import DISCONTINUE_BELOW, PROMOTE_ABOVE, as_measures, decision_of
 from bizmetrics.functions.numeric import keyed, ratio, round_np, sum0
 from bizmetrics.functions.ordering import top_k
@@ -57,6 +59,30 @@ def decision_counts(sales: DataFrame, *by: str, **bounds: float) -> DataFrame:
     return products.join(customers, list(by))
 
 
+def decision_id_rollups(sales: DataFrame, *keys: str, **bounds: float) -> tuple[DataFrame, DataFrame]:
+    """What ``decision_counts_of`` counts: products and customers per key as bitmaps, written to the checkpoint folder."""
+    measures = as_measures(sales, **bounds)
+    products = {"promote_count": F.col("promote") == 1, "discontinue_count": F.col("discontinue") == 1}
+    customers = {"renegotiate_count": F.col("renegotiate") == 1}
+    return (
+        cut_lineage(distinct_rollup(measures, list(keys), "product_id", products)),
+        cut_lineage(distinct_rollup(measures, list(keys), "customer_id", customers)),
+    )
+
+
+def decision_counts_of(rollups: tuple[DataFrame, DataFrame], *by: str | Column) -> DataFrame:
+    """The three counts of ``decision_counts`` at any grain of the rollups' keys, without the lines."""
+    products, customers = rollups
+    first = distinct_counts(products, ["promote_count", "discontinue_count"], *by)
+    second = distinct_counts(customers, ["renegotiate_count"], *by)
+    if not by:
+        return first.select("*", second.scalar().alias("renegotiate_count"))
+    labels = first.columns[: len(by)]
+    renamed = second.withColumnsRenamed({c: f"_{c}" for c in labels})
+    same = [first[c].eqNullSafe(renamed[f"_{c}"]) for c in labels]
+    return first.join(renamed, same).drop(*[f"_{c}" for c in labels])
+
+
 def _distinct_with_missing(key: str, flag: str) -> Column:
     flagged = F.col(flag) == 1
     missing = F.max(F.when(flagged & F.col(key).isNull(), F.lit(1)).otherwise(F.lit(0)))
@@ -107,12 +133,10 @@ def customer_features(sales: DataFrame) -> DataFrame:
 
 def products_to_promote(sales: DataFrame, k: int = 3, **bounds: float) -> DataFrame:
     """First distinct (product, margin) pairs among lines to promote, by date, product and margin."""
-    pairs = (
-        with_decision(sales, **bounds)
-        .where(F.col("decision") == "Promote")
-        .groupBy("product_name", F.col("margin_pct").alias("net_margin_pct"))
-        .agg(F.min("date").alias("first_date"))
-    )
+    if "first_date" not in sales.columns:  # else it is the rollup of lines to promote
+        lines = with_decision(sales, **bounds).where(F.col("decision") == "Promote")
+        sales = lines.groupBy("product_name", "margin_pct").agg(F.min("date").alias("first_date"))
+    pairs = sales.withColumnRenamed("margin_pct", "net_margin_pct")
     order = (
         F.asc_nulls_last("first_date"),
         F.asc_nulls_last("product_name"),
