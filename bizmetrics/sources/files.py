@@ -1,15 +1,42 @@
-"""CSV and Parquet scans with explicit types and pandas' missing-value tokens."""
+"""CSV and Parquet scans with explicit types and pandas' missing-value tokens.
+
+CSV columns are found by the name in each file's own header, so files of one table may differ in the order and number of
+their columns. A field that does not hold what its column should costs that field, not the row; ``stage_csv`` gathers such
+fields with their file, column and text in the pass that reads the rows.
+"""
 
 from __future__ import annotations
 
+import csv
+import io
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, IntegerType, StringType, StructType
-
+from pyspark.sql.types import (
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    StringType,
+    StructField,
+    StructType,
+)
+
+from bizmetrics.functions.lineage import new_table
 from bizmetrics.sources.schemas import TABLES
 
+# The function run by Python workers travels with the plan, so workers need not have this package.
+register_pickle_by_value(sys.modules[__name__])
+
 # The texts pandas reads as missing.
 MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -24,31 +51,69 @@ def read_csv(
     date_format: str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Scan a CSV with a header row as one of the four tables (or any schema).
+    """Scan CSV files with a header row each as one of the four tables (or any schema).
 
-    Every column is read as text and cast afterwards, so one bad field costs that field
-    and not the row; ``csv_rejects`` counts such fields. Unused columns are never parsed.
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    Every column is read as text and cast afterwards; ``csv_rejects`` counts the fields that this loses. Unused columns are
+    never parsed. ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     """
     schema = _schema(table)
-    raw = _raw_csv(spark, path, multi_line)
+    raw = _raw_csv(spark, path, schema.names, multi_line)
     return raw.select(*[_typed(f.name, f.dataType, date_format).alias(f.name) for f in schema.fields])
 
 
 def csv_rejects(
     spark: SparkSession, path, table: str | StructType, date_format: str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """One row: per column, how many fields had text that is no missing token and did not cast."""
+    """One row: per column, how many fields had text that is no missing token and did not cast, or only with rounding."""
     schema = _schema(table)
-    raw = _raw_csv(spark, path, multi_line)
-    rejected = [
-        F.count(F.when(_present(f.name).isNotNull() & _typed(f.name, f.dataType, date_format).isNull(), 1)).alias(
-            f.name
-        )
-        for f in schema.fields
-        if not isinstance(f.dataType, StringType)
+    raw = _raw_csv(spark, path, schema.names, multi_line)
+    return raw.agg(*[F.count(_reason(f, date_format)).alias(f.name) for f in _checked(schema)])
+
+
+@dataclass(frozen=True)
+class StagedCsv:
+    """CSV files as typed rows, the fields that were lost (file, column, text, reason), and their number by column."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    counts: dict[str, int]
+
+
+def stage_csv(
+    spark: SparkSession,
+    path,
+    table: str | StructType,
+    date_format: str | None = None,
+    multi_line: bool = False,
+    folder: str | None = None,
+) -> StagedCsv:
+    """Read CSV files once, and write rows and rejects as Parquet to ``folder`` (default: the checkpoint folder).
+
+    The reason of a reject is ``unreadable`` (the value is missing then) or ``rounded`` (money with more decimals than the
+    column keeps; the value is the rounded one).
+    """
+    schema = _schema(table)
+    raw = _raw_csv(spark, path, schema.names, multi_line, file="_file")
+    lost = [
+        F.when(reason.isNotNull(), F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("text"), reason.alias("reason")))
+        for f in _checked(schema)
+        for reason in [_reason(f, date_format)]
     ]
-    return raw.agg(*rejected)
+    nothing = F.array().cast("array<struct<column:string,text:string,reason:string>>")
+    counted = Observation()
+    sums = [F.count(_reason(f, date_format)).alias(f.name) for f in _checked(schema)]
+    observed = raw.observe(counted, F.count(F.lit(1)).alias("_rows"), *sums)
+    typed = observed.select(
+        *[_typed(f.name, f.dataType, date_format).alias(f.name) for f in schema.fields],
+        F.col("_file"),
+        (F.array_compact(F.array(*lost)) if lost else nothing).alias("_rejects"),
+    )
+    folder = folder or new_table(spark)
+    typed.write.parquet(folder)
+    staged = spark.read.schema(typed.schema).parquet(folder)
+    rejects = staged.where(F.size("_rejects") > 0).select(F.col("_file").alias("file"), F.inline("_rejects"))
+    counts = {name: n for name, n in counted.get.items() if name != "_rows" and n}
+    return StagedCsv(staged.select(*schema.names), rejects, counts)
 
 
 def read_parquet(spark: SparkSession, path, table: str | StructType | None = None) -> DataFrame:
@@ -73,11 +138,66 @@ def _schema(table: str | StructType) -> StructType:
     return TABLES[table] if isinstance(table, str) else table
 
 
-def _raw_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
-    """All columns as text. A file whose header differs from the first file's is an error when it is read."""
+def csv_headers(spark: SparkSession, path) -> DataFrame:
+    """(path, header) of every CSV file, read by the executors: of each file no more than its first row."""
+
+    def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers = []
+            for uri in batch.column(0).to_pylist():
+                if uri.startswith("file:/") and not uri.startswith("file://"):
+                    uri = "file://" + uri.removeprefix("file:")
+                try:
+                    system, name = arrow_fs.FileSystem.from_uri(uri)
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                    headers.append(None)  # a store that only Spark reads
+                    continue
+                with system.open_input_stream(name) as stream:
+                    headers.append(next(csv.reader(io.TextIOWrapper(stream, "utf-8-sig", newline="")), []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(headers, pa.list_(pa.string()))], ["path", "header"])
+
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    return files.mapInArrow(first_rows, "path string, header array<string>")
+
+
+def _raw_csv(spark: SparkSession, path, names: list[str], multi_line: bool = False, file: str | None = None) -> DataFrame:
+    """The named columns as text, and the file's path if a name for it is given. Files with one header are one scan."""
     options = {"header": True, "escape": '"', "multiLine": multi_line}
-    names = spark.read.csv(path, inferSchema=False, **options).schema
-    return spark.read.schema(names).csv(path, enforceSchema=False, **options)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for found in csv_headers(spark, path).collect():  # names of files and columns, no rows of the tables
+        header = found.header
+        if header is None:
+            header = spark.read.csv(found.path, **options).columns
+        groups.setdefault(tuple(header), []).append(found.path)
+    if not groups:
+        raise ValueError(f"no CSV file with a header in {path}")
+    parts = []
+    for header, files in sorted(groups.items()):
+        if absent := [n for n in names if n not in header]:
+            raise ValueError(f"no column {', '.join(absent)} in the header of {files[0]}")
+        taken = set()
+        fields = []
+        for i, name in enumerate(header):  # of equal names the first counts
+            fields.append(StructField(f"_unused_{i}" if name.lower() in taken or name not in names else name, StringType()))
+            taken.add(name.lower() if name in names else "")
+        rows = spark.read.schema(StructType(fields)).csv(path if len(groups) == 1 else files, **options)
+        origin = [F.col("_metadata.file_path").alias(file)] if file else []
+        parts.append(rows.select(*names, *origin))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _checked(schema: StructType) -> list[StructField]:
+    return [f for f in schema.fields if not isinstance(f.dataType, StringType)]
+
+
+def _reason(field: StructField, date_format: str | None) -> Column:
+    """Why a field's text is not what the typed column holds; missing if it is."""
+    text, value = _present(field.name), _typed(field.name, field.dataType, date_format)
+    reason = F.when(text.isNotNull() & value.isNull(), F.lit("unreadable"))
+    if isinstance(field.dataType, DecimalType):
+        exact = text.try_cast(DecimalType(38, 18))
+        reason = reason.when(exact.isNotNull() & (exact != value), F.lit("rounded"))
+    return reason
 
 
 def _present(name: str) -> Column:

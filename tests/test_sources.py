@@ -2,12 +2,13 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from plans import scans
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bizmetrics.plans.report import load_report, rejected_fields
 from bizmetrics.sources import star
-from bizmetrics.sources.files import MISSING, csv_rejects, read_csv, read_parquet
+from bizmetrics.sources.files import MISSING, csv_headers, csv_rejects, read_csv, read_parquet, stage_csv
 from bizmetrics.sources.schemas import TABLES
 
 
@@ -72,15 +73,52 @@ def test_csv_line_breaks_in_quotes(spark, tmp_path):
     assert (row.category, row.is_dead_stock, row.needs_reorder) == ('a\nb "c"', 1, 0)
 
 
-def test_csv_files_with_other_column_orders_are_refused(spark, tmp_path):
+def test_csv_columns_are_found_by_each_files_header(spark, tmp_path):
     (tmp_path / "t.csv").mkdir()
     (tmp_path / "t.csv/a.csv").write_text("a,b\n1,2\n")
-    (tmp_path / "t.csv/b.csv").write_text("b,a\n1,2\n")
+    (tmp_path / "t.csv/b.csv").write_text("\ufeffb,\"x\ny\",B,a,b,a\n3,0,0,4,9,9\n")
+    (tmp_path / "t.csv/c.csv").write_text("a,b\n5,oops\n")
+    (tmp_path / "t.csv/empty.csv").write_text("")
     schema = StructType.fromDDL("a int, b int")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_csv(spark, str(tmp_path / "t.csv"), schema).collect()
-    (tmp_path / "t.csv/b.csv").write_text("a,b\n3,4\n")
-    assert {tuple(r) for r in read_csv(spark, str(tmp_path / "t.csv"), schema).collect()} == {(1, 2), (3, 4)}
+    path = str(tmp_path / "t.csv")
+    headers = {r.path.rsplit("/", 1)[1]: r.header for r in csv_headers(spark, path).collect()}
+    assert headers == {"a.csv": ["a", "b"], "b.csv": ["b", "x\ny", "B", "a", "b", "a"], "c.csv": ["a", "b"]}
+    assert {tuple(r) for r in read_csv(spark, path, schema, multi_line=True).collect()} == {(1, 2), (4, 3), (5, None)}
+    (tmp_path / "t.csv/b.csv").write_text("b,c\n1,2\n")
+    with pytest.raises(ValueError, match="no column a in the header of .*b.csv"):
+        read_csv(spark, path, schema)
+    with pytest.raises(ValueError, match="no CSV file"):
+        read_csv(spark, str(tmp_path / "t.csv/empty.csv"), schema)
+
+
+def test_staged_csv_names_the_lost_fields(spark, receivables_csv, tmp_path):
+    folder = tmp_path / "r.csv"
+    folder.mkdir()
+    (folder / "one.csv").write_text(open(receivables_csv).read())
+    columns = TABLES["receivables"].names[::-1]
+    values = {"invoice_no": "A4", "invoice_amount": "1.23456", "days_overdue": "1.5", "due_date": "NA"}
+    (folder / "two.csv").write_text(",".join(columns) + "\n" + ",".join(values.get(c, "") for c in columns) + "\n")
+    staged = stage_csv(spark, str(folder), "receivables")
+    lost = {(r.file.rsplit("/", 1)[1], r.column, r.text, r.reason) for r in staged.rejects.collect()}
+    assert lost == {
+        ("one.csv", "invoice_amount", "oops", "unreadable"),
+        ("one.csv", "invoice_date", "not a date", "unreadable"),
+        ("two.csv", "invoice_amount", "1.23456", "rounded"),
+        ("two.csv", "days_overdue", "1.5", "unreadable"),
+    }
+    assert staged.counts == {"invoice_amount": 2, "invoice_date": 1, "days_overdue": 1}
+    assert staged.rows.schema == TABLES["receivables"] and staged.rows.count() == 4
+    assert staged.rows.where("invoice_no = 'A4'").first().invoice_amount == Decimal("1.2346")
+    one = stage_csv(spark, receivables_csv, "receivables").rows
+    assert one.exceptAll(read_csv(spark, receivables_csv, "receivables")).isEmpty()
+
+
+def test_staging_is_one_scan(spark, receivables_csv):
+    with scans(spark) as seen:
+        staged = stage_csv(spark, receivables_csv, "receivables")
+        staged.rejects.count()
+        staged.rows.count()
+    assert seen("receivables.csv", "csv") == 1
 
 
 def test_unreadable_fields_are_counted_by_name(spark, receivables_csv, tmp_path):
