@@ -141,12 +141,18 @@ def _project(pdf: pd.DataFrame, periods: int, settings: dict) -> pd.DataFrame:
 
 
 def _fit(ds, y, future, holidays, settings) -> tuple[np.ndarray, np.ndarray]:
-    """Forecast and half width of its band: penalised least squares of trend x (1 + season).
+    """Forecast and half width of its band: penalised least squares of trend x (1 + season)."""
+    yhat, spread, _ = _fit_with_bends(ds, y, future, holidays, settings)
+    return yhat, spread
+
+
+def _fit_with_bends(ds, y, future, holidays, settings) -> tuple[np.ndarray, np.ndarray, list[tuple[pd.Timestamp, float]]]:
+    """As ``_fit``, with the bends of the trend: when, and by how much the slope changes (of the largest value, per whole span).
 
     Trend and season are fitted in turn, each linear while the other stands still, and the
-    noise is taken from the residuals of the fit before. The band adds three parts: noise in proportion
-    to the level (residuals over n less the fit's own degrees of freedom), the uncertainty of all weights,
-    and bends of the trend that may still come.
+    noise is taken from the residuals of the fit before. Bends have a Laplace prior, so most of them are exactly 0.
+    The band adds three parts: noise in proportion to the level (residuals over n less the fit's own degrees of freedom), the
+    uncertainty of the weights that are not 0, and bends of the trend that may still come.
     """
     scale = max(np.abs(y).max(), 1e-12)
     level = y / scale
@@ -163,7 +169,6 @@ def _fit(ds, y, future, holidays, settings) -> tuple[np.ndarray, np.ndarray]:
         return trend, np.column_stack(waves + [when.isin(list(days)).astype(float) for days in holidays.values()])
 
     trend, season = design(ds)
-    trend_prior = np.concatenate([np.full(2, 5.0), np.full(n_bends, settings["changepoint_prior"])])
     # Seasons are shares of the trend; a prior far above 1 would let them cancel it.
     season_prior = np.full(season.shape[1], min(settings["season_prior"], 1.0))
 
@@ -172,12 +177,14 @@ def _fit(ds, y, future, holidays, settings) -> tuple[np.ndarray, np.ndarray]:
 
     noise = max(np.std(level) / 2, 1e-6)
     shares = np.zeros(season.shape[1])
-    priors = np.concatenate([trend_prior, season_prior])
+    weights = np.zeros(2 + n_bends)
     for _ in range(20):
-        weights = ridge(trend * (1 + season @ shares)[:, None], level, trend_prior, noise)
+        weights = sparse_trend(trend * (1 + season @ shares)[:, None], level, weights, noise, settings["changepoint_prior"])
         base = trend @ weights
         shares = ridge(season * base[:, None], level - base, season_prior, noise)
-        joint = np.column_stack([trend * (1 + season @ shares)[:, None], season * base[:, None]])
+        used = np.append([True, True], weights[2:] != 0)
+        priors = np.concatenate([np.full(used.sum(), LINE_PRIOR), season_prior])
+        joint = np.column_stack([trend[:, used] * (1 + season @ shares)[:, None], season * base[:, None]])
         inverse = np.linalg.inv(joint.T @ joint + np.diag((noise / priors) ** 2))
         freedom = np.trace(joint @ inverse @ joint.T)
         residual = level - base * (1 + season @ shares)
@@ -186,7 +193,7 @@ def _fit(ds, y, future, holidays, settings) -> tuple[np.ndarray, np.ndarray]:
             break
     trend_ahead, season_ahead = design(future)
     base, factor = trend_ahead @ weights, 1 + season_ahead @ shares
-    joint = np.column_stack([trend_ahead * factor[:, None], season_ahead * base[:, None]])
+    joint = np.column_stack([trend_ahead[:, used] * factor[:, None], season_ahead * base[:, None]])
     ahead = (future - ds[-1]).days.to_numpy() / span
     bend = np.mean(np.abs(weights[2:])) if n_bends else 0.0
     rate = n_bends / settings["changepoint_range"]
@@ -200,4 +207,42 @@ def _fit(ds, y, future, holidays, settings) -> tuple[np.ndarray, np.ndarray]:
     share = np.sqrt((relative**2).sum() / spare)
     own = (share * np.maximum(np.abs(base * factor), floor)) ** 2
     variance = own + noise**2 * np.einsum("ij,jk,ik->i", joint, inverse, joint) + coming
-    return scale * base * factor, scale * z * np.sqrt(variance)
+    when = [start + pd.Timedelta(days=float(b) * span) for b in bends]
+    found = [(day, float(w)) for day, w in zip(when, weights[2:]) if w != 0]
+    return scale * base * factor, scale * z * np.sqrt(variance), found
+
+
+#: Standard deviation of the prior of the trend's level and first slope.
+LINE_PRIOR = 5.0
+#: Noise of the largest value that the bends' prior assumes at least.
+LEAST_NOISE = 2e-3
+
+
+def sparse_trend(x: np.ndarray, target: np.ndarray, weights: np.ndarray, noise: float, bend_prior: float) -> np.ndarray:
+    """Weights of the trend's columns: a wide normal prior on the first two, a Laplace prior of that scale on the bends.
+
+    Coordinate descent from ``weights``: each weight in turn takes its best value while the others stand still; a bend whose pull
+    is below the prior's is 0.
+    """
+    noise = max(noise, LEAST_NOISE)
+    gram, pull = x.T @ x, x.T @ target
+    own = np.diag(gram).tolist()
+    ridge = [(noise / LINE_PRIOR) ** 2] * 2 + [0.0] * (len(pull) - 2)
+    threshold = [0.0] * 2 + [noise**2 / bend_prior] * (len(pull) - 2)
+    places = [j for j in range(len(pull)) if own[j] > 0]
+    weights = weights.copy()
+    left = pull - gram @ weights  # what the weights leave to explain, kept up to date
+    for _ in range(200):
+        largest = 0.0
+        for j in places:
+            before = float(weights[j])
+            rest = float(left[j]) + own[j] * before
+            size = max(abs(rest) - threshold[j], 0.0) / (own[j] + ridge[j])
+            change = (size if rest > 0 else -size) - before
+            if change:
+                left -= gram[j] * change
+                weights[j] = before + change
+                largest = max(largest, abs(change) * own[j] ** 0.5)
+        if largest < 0.02 * noise:
+            break
+    return weights

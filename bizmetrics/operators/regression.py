@@ -17,6 +17,9 @@ FEATURES = (
     "avg_discount", "returns", "region_enc", "product_enc",
 )
 
+#: Rows of the training part that one task fits.
+TASK_ROWS = 50_000
+
 _EPSILON = 2.220446049250313e-16
 
 
@@ -51,6 +54,11 @@ def fit_regressor(
         featureSubsetStrategy=str(column_share),
         seed=seed,
     )
+    if "position" in train.columns:
+        # The booster draws rows partition by partition: the same rows in the same places give the same trees.
+        last = train.agg(F.coalesce(F.max("position"), F.lit(0))).first()[0]
+        place = ((F.col("position") - 1) / TASK_ROWS).cast("int")
+        train = train.repartitionById(1 + int(last) // TASK_ROWS, place).sortWithinPartitions("position")
     # The booster reads its input several times before it keeps a copy of its own.
     vectors = assembler.transform(train).select("features", "revenue").persist()
     try:

@@ -4,10 +4,13 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from plans import scans
 from pyspark.sql import functions as F
 
-from bizmetrics.operators import forecast, isolation, regression, segments
+from bizmetrics.operators import forecast, isolation, profitability, regression, segments
 from bizmetrics.plans.catalog import catalog
+from bizmetrics.sources import holidays as calendar
+from bizmetrics.sources import star
 
 FEATURES = list(isolation.FEATURES)
 
@@ -136,6 +139,40 @@ def test_fewer_clusters_than_labels(spark):
     assert segments.customer_segments(df.where("customer_id = 'a'")).first().segment_label == "High Value"
 
 
+def test_ten_starts_cost_no_more_than_ten_fits(spark, small):
+    """All starts in shared passes: as cheap as the best of ten separate fits, and few scans of the customers."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    features = profitability.customer_features(star.sales(spark, small, "customer_id", "revenue", "margin_pct", "discount_pct"))
+    scaled = segments.scaled_features(features).select(*segments.FEATURES).persist()
+    points = np.array(scaled.collect())
+    for k in (3, 5):
+        starts = np.stack([segments.first_centres(points, k, seed) for seed in range(10)])
+        with scans(spark) as seen:
+            centres, sums, n = segments.best_clustering(scaled, starts, 300)
+        cost = ((points[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        assert n.sum() == len(points) and np.allclose(sums / n[:, None], centres, atol=1e-3)
+        vectors = VectorAssembler(inputCols=list(segments.FEATURES), outputCol="features").transform(scaled)
+        fits = [KMeans(k=k, seed=seed, maxIter=300).fit(vectors).summary.trainingCost for seed in range(10)]
+        assert cost <= min(fits) * (1.0005 if k == 3 else 1.005)
+        alone = [segments.best_clustering(scaled, starts[[i]], 300)[0] for i in range(3)]
+        costs = [((points[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum() for c in alone]
+        assert cost <= min(costs) * (1 + 1e-9)
+    scaled.unpersist()
+    with scans(spark) as seen:
+        segments.customer_segments(features, max_iter=4).count()
+    assert seen("table-") <= 4 + 3
+
+
+def test_starts_cut_short_still_report_their_own_cost(spark):
+    points = np.array([[0.0, 0, 0], [1, 0, 0], [10, 0, 0], [11, 0, 0]])
+    frame = spark.createDataFrame([tuple(map(float, p)) for p in points], ", ".join(f"{c} double" for c in segments.FEATURES))
+    starts = np.array([[[0.0, 0, 0], [1, 0, 0]], [[0, 0, 0], [10, 0, 0]]])
+    centres, sums, n = segments.best_clustering(frame, starts, 1)
+    assert centres[:, 0].tolist() == [0.5, 10.5] and n.tolist() == [2, 2] and sums[:, 0].tolist() == [1, 21]
+
+
 def test_regressor_beats_the_mean(spark, small):
     table = regression.regression_table(
         catalog()["panel_features"](spark, small).where(F.col("product_id").isin("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"))
@@ -234,6 +271,40 @@ def test_holidays_explain_their_months(spark):
     assert all(a.yhat_upper - a.yhat_lower < p.yhat_upper - p.yhat_lower for a, p in zip(aware, plain))
 
 
+# Published dates of Diwali and Holi (the day of colours), 2015 to 2030.
+DIWALI = "11-11 10-30 10-19 11-07 10-27 11-14 11-04 10-24 11-12 10-31 10-20 11-08 10-29 10-17 11-05 10-26"
+HOLI = "03-06 03-24 03-13 03-02 03-21 03-10 03-29 03-18 03-08 03-25 03-14 03-04 03-22 03-11 03-01 03-20"
+
+
+def test_movable_holidays_fall_on_their_published_dates(spark):
+    for day, published in ((calendar.diwali, DIWALI), (calendar.holi, HOLI)):
+        assert [day(2015 + i).strftime("%m-%d") for i in range(16)] == published.split()
+    table = calendar.indian_holidays(spark, 2019, 2020)
+    assert {(r.ds.isoformat(), r.name) for r in table.where("name like '%li'").collect()} == {
+        ("2019-10-27", "Diwali"), ("2020-11-14", "Diwali"), ("2019-03-21", "Holi"), ("2020-03-10", "Holi"),
+    }
+    assert table.count() == 10 and calendar.to_month_starts(table).where("dayofmonth(ds) > 1").count() == 0
+    for year in range(1900, 2101):  # one of each, in every year
+        assert 10 <= calendar.diwali(year).month <= 11 and 2 <= calendar.holi(year).month <= 4
+
+
+def test_trend_bends_are_few_and_in_their_place():
+    ds = pd.date_range("2015-01-01", periods=96, freq="MS")
+    future = pd.date_range(ds[-1] + pd.DateOffset(months=1), periods=3, freq="MS")
+    t = np.arange(96)
+    rng = np.random.default_rng(4)
+    straight = 100 + 2.0 * t
+    bent = straight + np.where(t > 40, 6.0 * (t - 40), 0)
+    for noise in (0.0, 1.0):
+        *_, bends = forecast._fit_with_bends(ds, straight + noise * rng.normal(size=96), future, {}, forecast._DEFAULTS)
+        assert sum(abs(b) for _, b in bends) < 0.1
+        yhat, _, bends = forecast._fit_with_bends(ds, bent + noise * rng.normal(size=96), future, {}, forecast._DEFAULTS)
+        when = sum(abs(b) * day.timestamp() for day, b in bends) / sum(abs(b) for _, b in bends)
+        assert abs(pd.Timestamp(when, unit="s") - ds[40]) < pd.Timedelta(days=120)
+        assert sum(abs(b) > 0.05 * max(abs(x) for _, x in bends) for _, b in bends) <= 6
+        assert yhat == pytest.approx(100 + 2.0 * np.arange(96, 99) + 6.0 * (np.arange(96, 99) - 40), rel=0.03)
+
+
 def test_trend_word(spark):
     up = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0), (dt.date(2024, 3, 1), 2.0)], "ds date, yhat double")
     assert forecast.trend(up).first().trend == "upward"
