@@ -37,16 +37,17 @@ def isolation_scores(
     seed: int = 42,
     keys: Sequence[str] | None = None,
     partitions: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``iso_score``: near 1 for rows that few random cuts isolate. Missing where a feature is.
 
     ``keys`` are the columns that tell rows apart (default: those of ``KEYS`` that ``df`` has); with the features and the
     seed they alone decide which rows the trees see. ``partitions`` spreads the rows before they are scored, for
-    files that cannot be split.
+    files that cannot be split. ``rows`` is the number of rows without a missing feature, where it is known.
     """
     keys = [c for c in KEYS if c in df.columns] if keys is None else list(keys)
     complete = _complete(df, keys, features)
-    n = complete.count()
+    n = complete.count() if rows is None else rows
     if n == 0:
         return df.withColumn("iso_score", F.lit(None).cast("double"))
     psi = min(sample_size, n)
@@ -94,6 +95,7 @@ def isolation_flags(
     seed: int = 42,
     keys: Sequence[str] | None = None,
     partitions: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``iso_score`` and ``iso_flag``: -1 for the most isolated share of rows, else 1.
 
@@ -101,12 +103,18 @@ def isolation_flags(
     all negated scores, so rows tied at the quantile are not. Scoring is the costly step, so
     the scored rows are written down once: pass only the columns that are wanted.
     """
-    scored = cut_lineage(isolation_scores(df, features, trees, sample_size, seed, keys, partitions))
+    scored = cut_lineage(isolation_scores(df, features, trees, sample_size, seed, keys, partitions, rows))
     threshold, _ = exact_quantile(scored.select((-F.col("iso_score")).alias("s")), "s", contamination)
     flag = F.when(-F.col("iso_score") < F.lit(threshold), -1).when(F.col("iso_score").isNotNull(), 1)
     return scored.withColumn("iso_flag", flag)
 
 
+def tasks_for(df: DataFrame) -> int | None:
+    """As many tasks as there are cores when ``df`` comes from fewer files: a small file is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if len(df.inputFiles()) < cores else None
+
+
 def isolation_flag_count(flags: DataFrame) -> DataFrame:
     return flags.agg(
         F.count("iso_flag").alias("scored_rows"), F.count(F.when(F.col("iso_flag") == -1, 1)).alias("flagged")

