@@ -210,11 +210,11 @@ def quality_rules(
     without = F.array(*[F.lit(0).cast("bigint")] * 16, F.lit(1).cast("bigint"))
     references = cut_lineage(references.withColumn("farthest", distance(without, F.col("word_counts_reference"))))
     entry = F.struct("lang", F.struct(F.col("word_counts_reference").alias("reference"), "farthest"))
-    by_language = references.agg(F.map_from_entries(F.collect_list(entry)).alias("by_language"))
-    # At most one row per language of COMMON_WORDS, and one row of all of them.
+    by_language = references.agg(F.map_from_entries(F.collect_list(entry)))
+    # At most one row per language of COMMON_WORDS; each holds the references of all.
+    references = cut_lineage(references.withColumn("by_language", by_language.scalar()))
     judged = (
         counted.join(F.broadcast(references), "lang", "left")
-        .crossJoin(F.broadcast(by_language))
         .withColumns(
             {
                 "class_distance": distance(F.col("class_counts"), F.col("class_counts_reference")),
