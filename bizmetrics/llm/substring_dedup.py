@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.dataset as arrow_dataset
 import pyarrow.fs as arrow_fs
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
@@ -202,29 +202,50 @@ def _repeated_cells(folder: str, file: str, bits: int, slice_bits: int) -> list[
     return [np.unique(np.concatenate(cells)) for cells in found]
 
 
-def _in_sorted(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return ids[np.minimum(np.searchsorted(ids, keys), len(ids) - 1)] == keys if len(ids) else np.zeros(len(keys), bool)
+class _Cells:
+    """A set of cells. A bit per value of the leading bits turns most others away before they are searched for."""
 
+    def __init__(self, cells: np.ndarray, bits: int) -> None:
+        self.cells, self.shift = cells, np.uint64(max(0, bits - 23))
+        self.table = np.zeros(1 << min(bits, 23), bool)
+        self.table[(cells >> self.shift).astype(np.int64)] = True
 
-#: A candidate window: its words' key, and where it starts: document (id, digest of the text), word, and the row that holds it.
+    def holds(self, cells: np.ndarray) -> np.ndarray:
+        found = self.table[(cells >> self.shift).astype(np.int64)]
+        some = np.flatnonzero(found)
+        if len(some):
+            wanted = cells[some]
+            found[some] = self.cells[np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)] == wanted
+        return found
+
+
+#: A candidate window is its words' key and its start; a document of candidates is its id, a digest of its text, its row in the file and
+#: the number of its windows.
 _PLACE = np.dtype([("id", "<i8"), ("digest", "<u8"), ("row", "<u4"), ("n", "<u4")])
 _KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 _GROUPED = pa.schema([("bucket", pa.int64()), ("file", pa.string()), ("keys", pa.binary()), ("starts", pa.binary()), ("docs", pa.binary())])
 _REMOVED = pa.schema([("file", pa.string()), ("rows", pa.binary()), ("starts", pa.binary())])
 
 
-def _doc_order(ids: np.ndarray, digests: np.ndarray, starts: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Order by the keys, then by place."""
-    return np.lexsort((starts, digests, ids, *reversed(keys)))
-
-
-def _later(keys: np.ndarray, ids: np.ndarray, digests: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the windows by key and place, and which of the ordered ones have an earlier one of their key."""
-    order = _doc_order(ids, digests, starts, keys["a"], keys["b"])
-    k, i, d, s = keys[order], ids[order], digests[order], starts[order]
-    first = np.append(True, k[1:] != k[:-1])
+def _later(keys: np.ndarray, docs: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which windows have an earlier one of equal words among these. ``doc`` is each window's place in ``docs``."""
+    order = np.argsort(keys["a"])
+    same = keys["a"][order[1:]] == keys["a"][order[:-1]]
+    some = order[np.append(same, False) | np.append(False, same)]  # most windows are alone here
+    # Documents by id, then digest; those equal in both are one document.
+    ranked = np.lexsort((docs["digest"], docs["id"]))
+    steps = (docs["id"][ranked[1:]] != docs["id"][ranked[:-1]]) | (docs["digest"][ranked[1:]] != docs["digest"][ranked[:-1]])
+    rank = np.empty(len(docs), np.uint64)
+    rank[ranked] = np.append(False, steps).cumsum()[: len(docs)]
+    a, b = keys["a"][some], keys["b"][some]
+    place = rank[doc[some]] << np.uint64(32) | starts[some].astype(np.uint64)
+    order = np.lexsort((place, b, a))
+    some, a, b, place = some[order], a[order], b[order], place[order]
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(some)]
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return order, (i != i[lead]) | (d != d[lead]) | (s != s[lead])
+    later = np.zeros(len(keys), bool)
+    later[some] = place != place[lead]
+    return later
 
 
 def _digest(text: bytes, no_id: bool) -> int:
@@ -243,60 +264,53 @@ def _candidates(
     whose windows are removed whatever the others say.
     """
     held: list[tuple] = []
+    owners: list[tuple] = []
     here, count, cells = None, 0, []
 
     def hand_on() -> Iterator[pa.RecordBatch]:
-        nonlocal held, count
+        nonlocal held, owners, count
         if not held:
             return
-        keys, starts, ids, digests, rows = (np.concatenate(c) for c in zip(*held))
-        held, count = [], 0
-        order, later = _later(keys, ids, digests, starts)
-        aside = -1 - zlib.crc32(here.encode()) % (1 << slice_bits)
-        gone, stay = order[later], order[~later]
+        keys, starts, doc = (np.concatenate(c) for c in zip(*held))
+        docs = np.array([(*owner, 0) for owner in owners], _PLACE)
+        held, owners, count = [], [], 0
+        bucket = (keys["a"] >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(keys), np.int64)
+        later = _later(keys, docs, doc, starts)
         found = []
-        if len(gone):
-            gone = gone[np.lexsort((starts[gone], rows[gone]))]
-            found.append((aside, here, b"", starts[gone].tobytes(), _runs(ids[gone], digests[gone], rows[gone])))
-        bucket = keys["a"] >> np.uint64(64 - slice_bits) if slice_bits else np.zeros(len(keys), np.uint64)
-        stay = stay[np.lexsort((starts[stay], rows[stay], bucket[stay]))]
+        if later.any():
+            aside = -1 - zlib.crc32(here.encode()) % (1 << slice_bits)
+            found.append((aside, here, b"", starts[later].tobytes(), _runs(docs, doc[later])))
+        stay = np.flatnonzero(~later)
+        stay = stay[np.argsort(bucket[stay], kind="stable")]
         edges = np.flatnonzero(np.append(True, bucket[stay][1:] != bucket[stay][:-1]))
         for a, b in zip(edges, np.append(edges[1:], len(stay))):
             part = stay[a:b]
-            runs = _runs(ids[part], digests[part], rows[part])
-            found.append((int(bucket[part[0]]), here, keys[part].tobytes(), starts[part].tobytes(), runs))
+            found.append((int(bucket[part[0]]), here, keys[part].tobytes(), starts[part].tobytes(), _runs(docs, doc[part])))
         yield _arrow_batch(found, _GROUPED)
 
     for batch in batches:
         files = batch.column(0).to_pylist()
-        row_numbers, ids = batch.column(1).to_numpy(), batch.column(2)
+        rows, ids = batch.column(1).to_numpy(), batch.column(2)
         texts = batch.column(3).cast(pa.large_binary())
         for a, b in _file_runs(files):
             if files[a] != here:
                 yield from hand_on()
                 here = files[a]
-                cells = _repeated_cells(folder, here, bits, slice_bits)
+                cells = [_Cells(c, bits) for c in _repeated_cells(folder, here, bits, slice_bits)]
             for text, starts, hashes in _windows(batch.column(3).slice(a, b - a), width, 2):
-                hit = np.ones(len(starts), bool)
+                hit = np.arange(len(starts))
                 for row in range(DEPTH):
-                    hit[hit] = _in_sorted(_cells(hashes[0][hit], row, bits), cells[row])
-                if not hit.any():
+                    hit = hit[cells[row].holds(_cells(hashes[0][hit], row, bits))]
+                if not len(hit):
                     continue
-                keys = np.empty(int(hit.sum()), _KEY)
+                keys = np.empty(len(hit), _KEY)
                 keys["a"], keys["b"] = hashes[0][hit], hashes[1][hit]
-                owners, owner = np.unique(text[hit] + a, return_inverse=True)
-                known = [ids[int(o)].as_py() for o in owners]
-                digests = [_digest(texts[int(o)].as_py(), i is None) for o, i in zip(owners, known)]
-                place = np.array([_NO_ID if i is None else i for i in known], np.int64)
-                held.append(
-                    (
-                        keys,
-                        starts[hit].astype(np.uint32),
-                        place[owner],
-                        np.array(digests, np.uint64)[owner],
-                        row_numbers[owners].astype(np.uint32)[owner],
-                    )
-                )
+                of_hit = text[hit] + a
+                change = np.append(True, of_hit[1:] != of_hit[:-1])
+                held.append((keys, starts[hit].astype(np.uint32), np.cumsum(change) - 1 + len(owners)))
+                for i in of_hit[change].tolist():
+                    known = ids[i].as_py()
+                    owners.append((_NO_ID if known is None else known, _digest(texts[i].as_py(), known is None), rows[i]))
                 count += len(keys)
                 if count >= most:
                     yield from hand_on()
@@ -311,13 +325,12 @@ def _file_runs(files: list[str]) -> Iterator[tuple[int, int]]:
             start = i
 
 
-def _runs(ids: np.ndarray, digests: np.ndarray, rows: np.ndarray) -> bytes:
+def _runs(docs: np.ndarray, doc: np.ndarray) -> bytes:
     """Documents of neighbouring windows, each once with its number of windows."""
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    docs = np.empty(len(first), _PLACE)
-    docs["id"], docs["digest"], docs["row"] = ids[first], digests[first], rows[first]
-    docs["n"] = np.diff(np.append(first, len(rows)))
-    return docs.tobytes()
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    found = docs[doc[first]]
+    found["n"] = np.diff(np.append(first, len(doc)))
+    return found.tobytes()
 
 
 def _group_exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,16 +346,14 @@ def _group_exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             return
         files, keys, starts, docs = zip(*held)
         held = []
-        docs = [np.repeat(d, d["n"]) for d in docs]
-        sender = np.repeat(np.arange(len(files)), [len(k) for k in keys])
-        docs, starts = np.concatenate(docs), np.concatenate(starts)
-        order, later = _later(np.concatenate(keys), docs["id"], docs["digest"], starts)
-        gone = order[later]
-        gone = gone[np.lexsort((starts[gone], docs["row"][gone], sender[gone]))]
-        edges = np.flatnonzero(np.append(True, sender[gone][1:] != sender[gone][:-1])) if len(gone) else []
-        for a, b in zip(edges, np.append(edges[1:], len(gone))):
-            part = gone[a:b]
-            yield removed(files[sender[part[0]]], docs["row"][part], starts[part])
+        ends = np.cumsum([len(k) for k in keys])
+        keys, starts, docs = np.concatenate(keys), np.concatenate(starts), np.concatenate(docs)
+        doc = np.repeat(np.arange(len(docs)), docs["n"])
+        later = _later(keys, docs, doc, starts)
+        for file, a, b in zip(files, np.append(0, ends), ends):
+            gone = np.flatnonzero(later[a:b]) + a
+            if len(gone):
+                yield removed(file, docs["row"][doc[gone]], starts[gone])
 
     for batch in batches:
         for bucket, file, keys, starts, docs in zip(*[c.to_pylist() for c in batch.columns]):
@@ -415,8 +426,9 @@ def substring_dedup(
     place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
     texts = copy.select(*place, F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("body"))
 
-    def grouped(rows: DataFrame, by: Column) -> DataFrame:
-        return rows.repartition((DEPTH if by == "slice" else 1) << slice_bits, by).sortWithinPartitions(by)
+    def grouped(rows: DataFrame, by: str) -> DataFrame:
+        number = F.when(F.col(by) < 0, -1 - F.col(by)).otherwise(F.col(by)).cast("int")
+        return rows.repartitionById((DEPTH if by == "slice" else 1) << slice_bits, number).sortWithinPartitions(by)
 
     def ddl(schema: pa.Schema) -> str:
         kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
