@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.llm import sql, warc
 from bizmetrics.llm.decontamination import contaminated
+from bizmetrics.llm.files import output_folder
 from bizmetrics.llm.filter_audit import FIVE, filter_audit, five_filters
 from bizmetrics.llm.html_extraction import extract
 from bizmetrics.llm.jaccard_join import near_duplicates
@@ -59,8 +60,9 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = warc.write_bundles(warc.mark_revisits(table(spark, sf_dir, "pages")))
-    records = warc.read_bundles(places)
+    folder = output_folder(spark, "warc")
+    warc.write_bundles(warc.mark_revisits(table(spark, sf_dir, "pages")), folder=folder)
+    records = warc.read_bundles(spark, folder)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

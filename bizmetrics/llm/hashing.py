@@ -7,7 +7,9 @@ random per-byte values modulo 2^64, taken from one running sum, and mixed. Work
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +39,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def release() -> None:
+    """Give freed memory back: Python workers stay for later tasks, and executors share one limit."""
+    global _powers
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Piece(NamedTuple):
     """Some consecutive texts of a batch: their bytes, the words' places, and each text's range of words."""
 

@@ -30,6 +30,7 @@ from bizmetrics.llm.range_coder import pack_chunk, unpack_chunk
 MAGIC = b"IDCHUNK1"
 CHUNK_IDS = 1 << 22
 KEPT_WORDS = 1_000_000
+READ_BYTES = 1 << 23  # coded bytes that one task reads, about
 TEXTS_AT_ONCE = 500  # texts whose new words are tokenized together
 BETWEEN = "<|endoftext|>"  # a special token of the tokenizer
 MANIFEST = "file string, part int, chunk int, offset long, length long, n_docs long, n_ids long"
@@ -194,5 +195,7 @@ def read_ids(manifest: DataFrame, *, ids: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
-    chunks = manifest.select("file", "offset", "length", "start")
-    return chunks.repartition("file", "offset").mapInArrow(read, schema)
+    # As many tasks as the coded bytes ask for, whatever the few rows of the manifest weigh.
+    size = manifest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    chunks = manifest.select("file", "offset", "length", "start").repartition(1 + size // READ_BYTES)
+    return chunks.mapInArrow(read, schema)

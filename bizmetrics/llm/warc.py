@@ -26,11 +26,11 @@ from urllib.parse import quote
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizmetrics.functions.lineage import cut_lineage
-from bizmetrics.llm.files import output_folder, read_part, whole_file
+from bizmetrics.llm.files import locate, output_folder, read_part, whole_file
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -39,6 +39,8 @@ SEEKABLE_FOOTER = 0x8F92EAB1
 
 PLACES = "page_id long, bundle string, frame int, frame_start long, frame_length long, offset long, length long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+#: Compressed bytes that one task reads, about.
+READ_BYTES = 1 << 23
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -162,24 +164,75 @@ def write_bundles(
 ) -> DataFrame:
     """Write the rows of ``mark_revisits`` in id order; one row per record with its place in the bundles."""
     folder = folder or output_folder(marked.sparkSession, "warc")
+    system, path = locate(folder)
+    system.create_dir(path, recursive=True)  # a folder without bundles is an empty archive
     ordered = marked.select(*_INPUT).repartitionByRange("page_id", "payload_digest")
     ordered = ordered.sortWithinPartitions("page_id", "payload_digest", "url")
     return cut_lineage(ordered.mapInArrow(_writer(folder, frame_bytes, level, date), PLACES))
 
 
-def seek_table(bundle: str, size: int) -> list[tuple[int, int, int]]:
-    """(start, compressed length, plain length) of each frame, from the footer of a bundle of ``size`` bytes."""
+def _footer(bundle: str, size: int) -> list[tuple[int, int]]:
+    """Compressed and plain length of each frame, from the seek table at the end of a bundle of ``size`` bytes."""
     count, _, magic = struct.unpack("<IBI", read_part(bundle, size - 9, 9))
     if magic != SEEKABLE_FOOTER:
         raise ValueError(f"{bundle} has no seek table")
-    pairs = struct.iter_unpack("<II", read_part(bundle, size - 9 - 8 * count, 8 * count))
+    return list(struct.iter_unpack("<II", read_part(bundle, size - 9 - 8 * count, 8 * count)))
+
+
+def seek_table(bundle: str, size: int) -> list[tuple[int, int, int]]:
+    """(start, compressed length, plain length) of each frame of a bundle of ``size`` bytes."""
     frames, start = [], 0
-    for packed, plain in pairs:
+    for packed, plain in _footer(bundle, size):
         frames.append((start, packed, plain))
         start += packed
     return frames
 
 
+def record_table(bundle: str, size: int) -> list[tuple]:
+    """(record id, frame, offset in the frame, length) of each record of a bundle of ``size`` bytes."""
+    start = sum(packed for packed, _ in _footer(bundle, size))
+    magic, length = struct.unpack("<II", read_part(bundle, start, 8))
+    if magic != SKIPPABLE_RECORD_TABLE:
+        raise ValueError(f"{bundle} has no record table")
+    return [tuple(row) for row in json.loads(zstandard.ZstdDecompressor().decompress(read_part(bundle, start + 8, length)))]
+
+
+def _bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """(bundle, size) of the bundles in a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    return files.select(F.col("path").alias("bundle"), F.col("length").alias("size"))
+
+
+def frames(spark: SparkSession, folder: str) -> DataFrame:
+    """(bundle, frame, frame_start, frame_length) of every frame, read from the bundles' seek tables."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (bundle, number, start, packed)
+                for bundle, size in zip(*[c.to_pylist() for c in batch.columns])
+                for number, (start, packed, _) in enumerate(seek_table(bundle, size))
+            ]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PLACE_TYPES[1:5])], _PLACE_NAMES[1:5])
+
+    return _bundles(spark, folder).mapInArrow(read, ", ".join(PLACES.split(", ")[1:5]))
+
+
+def record_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every record is (``PLACES``), read from the bundles' record and seek tables."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, size in zip(*[c.to_pylist() for c in batch.columns]):
+                starts = seek_table(bundle, size)
+                rows = [(i, bundle, frame, *starts[frame][:2], offset, length) for i, frame, offset, length in record_table(bundle, size)]
+                columns = list(zip(*rows)) or [()] * len(_PLACE_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PLACE_TYPES)], _PLACE_NAMES)
+
+    return _bundles(spark, folder).mapInArrow(read, PLACES)
+
+
 def _urn(value: str) -> int | None:
     number = value.removeprefix("<urn:page:").removesuffix(">")
     return None if number == "null" else int(number)
@@ -199,8 +252,11 @@ def parse_frame(packed: bytes) -> list[tuple]:
     return found
 
 
-def read_bundles(places: DataFrame, *, payloads: bool = False) -> DataFrame:
-    """Every record of the bundles named in ``places``, read frame by frame; bodies only if ``payloads``."""
+def read_frames(wanted: DataFrame, *, payloads: bool = False) -> DataFrame:
+    """The records of some frames (bundle, frame_start, frame_length); bodies only if ``payloads``.
+
+    Frames are dealt to as many tasks as their bytes ask for, whatever the few rows that name them weigh.
+    """
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
 
@@ -213,12 +269,19 @@ def read_bundles(places: DataFrame, *, payloads: bool = False) -> DataFrame:
                     columns[-1] = [None] * len(records)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    frames = places.select("bundle", "frame_start", "frame_length").distinct()
-    return frames.mapInArrow(read, RECORDS)
+    wanted = cut_lineage(wanted.select("bundle", "frame_start", "frame_length"))
+    size = wanted.agg(F.coalesce(F.sum("frame_length"), F.lit(0))).first()[0]
+    return wanted.repartition(1 + size // READ_BYTES).mapInArrow(read, RECORDS)
+
+
+def read_bundles(spark: SparkSession, folder: str, *, payloads: bool = False) -> DataFrame:
+    """Every record of the bundles in a folder, found by their seek tables; bodies only if ``payloads``."""
+    return read_frames(frames(spark, folder), payloads=payloads)
 
 
-def read_records(places: DataFrame, ids: DataFrame, *, id_column: str = "page_id") -> DataFrame:
-    """Records of the given ids alone: only their frames are read."""
+def read_records(spark: SparkSession, folder: str, ids: DataFrame, *, id_column: str = "page_id") -> DataFrame:
+    """Records of the given ids alone, found by the bundles' record tables: only their frames are read."""
     wanted = ids.select(F.col(id_column).alias("page_id")).distinct()
-    hit = places.join(wanted, "page_id", "left_semi")
-    return read_bundles(hit, payloads=True).join(wanted, "page_id", "left_semi")
+    hit = record_places(spark, folder).join(wanted, "page_id", "left_semi")
+    hit = hit.select("bundle", "frame_start", "frame_length").distinct()
+    return read_frames(hit, payloads=True).join(wanted, "page_id", "left_semi")

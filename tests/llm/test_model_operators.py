@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from bizmetrics.llm import catalog, hashing, html_extraction, jaccard_join, range_coder, warc
 from bizmetrics.llm.decontamination import align, contaminated, decontaminate, item_words
-from bizmetrics.llm.files import locate
+from bizmetrics.llm.files import locate, output_folder
 from bizmetrics.llm.jaccard_join import keep_one, near_duplicates
 from bizmetrics.llm.quality_model import keep_good, score_quality
 from bizmetrics.llm.token_files import read_ids, write_ids
@@ -94,14 +94,65 @@ def test_linked_sets_share_a_signature_under_every_allocation(plan):
             shared = len(np.intersect1d(one, other))
             if not len(other) or shared < 0.75 * (len(one) + len(other) - shared):
                 continue
-            hot = set(rng.choice(whole, size // 2).tolist())
+            hot = set(rng.choice(whole, size // 2).tolist()) | (set(whole[cut:].tolist()) if rng.random() < 0.6 else set())
             allocation = {}
             if plan:
                 allocation = {b: jaccard_join.Allocation(0 if plan[0] == 0 else max(1, (1 << b) >> plan[0]), plan[1]) for b in range(1, 12)}
-            signs = [
-                jaccard_join.signatures(s, np.array([int(x) in hot for x in s], bool), allocation, 0.75) for s in (one, other)
-            ]
-            assert len(np.intersect1d(*signs)), (size, cut, fresh)
+            marks = [np.array([int(x) in hot for x in s], bool) for s in (one, other)]
+            rare = [jaccard_join.rare_signatures(s, m, 0.75) for s, m in zip((one, other), marks)]
+            frequent = [jaccard_join.hot_signatures(s, m, allocation, 0.75) for s, m in zip((one, other), marks)]
+            if len(np.intersect1d(one[~marks[0]], other[~marks[1]])):
+                assert len(np.intersect1d(*rare)), (size, cut, fresh)
+            else:
+                assert len(np.intersect1d(*frequent)), (size, cut, fresh)
+                n, spare = (np.array(c) for c in zip(*[(len(s), (~m).sum()) for s, m in zip((one, other), marks)]))
+                assert jaccard_join._possible(n[:1], spare[:1], n[1:], spare[1:], 0.75).all()
+
+
+def test_sketches_never_overstate_a_difference():
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (1, 5, 40, 63, 64, 120, 127, 128, 130, 500, 520, 1_000):
+        whole = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for cut in (0, size // 8, size // 3):
+            sets.append(np.unique(np.concatenate([whole[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64)])))
+    i, j = np.triu_indices(len(sets), 1)
+    least = jaccard_join.differences([jaccard_join.odd_sketch(s) for s in sets], i, j)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (least <= true).all()
+    size = np.array([len(s) for s in sets])
+    kin = (i // 3 == j // 3) & (size[i] >= 40) & (true <= 0.5 * size[i])  # such as a threshold has to tell apart
+    assert kin.sum() > 8 and (least[kin] >= 0.6 * true[kin]).all()
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_sets_that_share_a_frequent_passage_are_no_pairs(spark, salts, monkeypatch):
+    """Three quarters of every set are one template: all meet in its signatures, nobody links, and no pair is compared."""
+    template, n = [f"t{i}" for i in range(90)], 600
+    rows = [(i, " ".join(template + [f"own{i}x{k}" for k in range(30)])) for i in range(n)]
+    rows += [(n + i, " ".join(template[: 60 + i] + [f"other{i}"])) for i in range(20)]  # near copies of parts of it
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(jaccard_join, "SETS_PER_SALT", n // salts + 100 if salts > 1 else 200_000)
+    monkeypatch.setattr(jaccard_join, "BUCKET_SETS", 100 if salts > 1 else 8192)
+    seen = []
+    plain = jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda *a: seen.append(plain(*a)) or seen[-1])
+    counted = []
+    verify = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda docs, classes, pairs, *a: counted.append(pairs.count()) or verify(docs, classes, pairs, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got == groups_by_brute_force(rows)
+    assert sum(counted) < 4 * n
+
+
+def test_null_ids_and_shared_ids_are_judged_by_their_own_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(k)) for k in range(30)] + [(None, text(0)), (5, text(0)), (6, text(1)), (7, text(2)), (7, text(3)), (7, text(40)), (7, text(40)), (8, "")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text.split("x")[0]) for r in keep_one(docs).collect())
+    # Groups 0 to 3 have a row with an id; 4 to 29 have only their row without; text 40 is there twice under one id.
+    want = [("5", "w0"), ("6", "w1"), ("7", "w2"), ("7", "w3"), ("7", "w40"), ("8", ""), ("8", "")] + [("None", f"w{k}") for k in range(4, 30)]
+    assert kept == sorted(want)
 
 
 def test_jaccard_on_odd_documents(tricky):
@@ -114,7 +165,7 @@ def test_jaccard_on_odd_documents(tricky):
     assert by[7] == by[8][:1] == [(1, 7)] and by[1] == [(56, 1)] * 2 and sorted(by[2]) == [(46, 2), (56, 1)]
     kept = keep_one(tricky)
     assert kept.columns == tricky.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, None, None, 7, 9, 10]))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, None, None, 7, 9, 10]))
     assert near_duplicates(tricky.limit(0)).collect() == [] and keep_one(tricky.limit(0)).collect() == []
 
 
@@ -263,8 +314,9 @@ def test_warc_round_trip(spark):
     big = "<p>" + "é" * 200
     rows = [(1, "http://a/1", big), (5, "http://a/5", big), (3, None, None), (4, "u\r\nx: y", "<p>short"), (8, "u", "<p>short"), (None, "u", big), (9, "u", "x" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit(1))
-    places = warc.write_bundles(warc.mark_revisits(pages), frame_bytes=500)
-    got = {r.page_id: r for r in warc.read_bundles(places, payloads=True).collect()}
+    folder = output_folder(spark, "warc")
+    places = warc.write_bundles(warc.mark_revisits(pages), folder=folder, frame_bytes=500)
+    got = {r.page_id: r for r in warc.read_bundles(spark, folder, payloads=True).collect()}
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {
         1: ("response", None), 5: ("revisit", 1), 3: ("response", None), 4: ("response", None), 8: ("response", None), None: ("revisit", 1), 9: ("response", None),
     }
@@ -272,13 +324,26 @@ def test_warc_round_trip(spark):
         raw = (html or "").encode()
         assert got[page_id].payload_bytes == len(raw) and got[page_id].payload_digest == hashlib.sha256(raw).hexdigest()
         assert bytes(got[page_id].payload) == (b"" if got[page_id].record_type == "revisit" else raw)
-    one = warc.read_records(places, spark.createDataFrame([(9,)], "page_id long")).collect()
+    plain = lambda rows: {(*r[:1], r[1].rsplit("/", 1)[1], *r[2:]) for r in rows}
+    assert plain(warc.record_places(spark, folder).collect()) == plain(places.collect())
+    one = warc.read_records(spark, folder, spark.createDataFrame([(9,)], "page_id long")).collect()
     assert [bytes(r.payload) for r in one] == [b"x" * 3_000_000]
     bundle = places.first().bundle
     system, path = locate(bundle)
     starts = {(r.frame_start, r.frame_length) for r in places.where(F.col("bundle") == bundle).collect()}
     assert {(s, n) for s, n, _ in warc.seek_table(bundle, system.get_file_info(path).size)} == starts
-    assert warc.read_bundles(warc.write_bundles(warc.mark_revisits(pages.limit(0)))).collect() == []
+    empty = output_folder(spark, "warc")
+    warc.write_bundles(warc.mark_revisits(pages.limit(0)), folder=empty)
+    assert warc.read_bundles(spark, empty).collect() == []
+
+
+def test_warc_bundles_are_read_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 2_000)
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    folder = output_folder(spark, "warc")
+    warc.write_bundles(warc.mark_revisits(pages), folder=folder, frame_bytes=1_000)
+    read = warc.read_bundles(spark, folder)
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() > 5 and read.count() == 400
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body>
@@ -364,6 +429,27 @@ def test_pipeline_keeps_its_promises(spark, small):
     assert set(r.doc_id for r in corpus_pipeline.run(spark, small).collect()) <= set(texts)
 
 
+def test_the_near_duplicate_stage_keeps_the_smallest_id_of_each_group(spark, small):
+    docs = catalog.table(spark, small, "documents")
+    groups = groups_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
+    kept = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, small)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, first) in groups.items() if i == first)
+
+
+def test_the_token_stage_writes_what_the_tokenizer_gives(spark, small):
+    from tokenizers import Tokenizer
+
+    docs = catalog.table(spark, small, "documents").where("doc_id % 3 = 0")
+    plain, start = Tokenizer.from_file(catalog.default_tokenizer()), 0
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["token_files"](spark, docs, small).collect()}
+    for row in docs.orderBy("doc_id").collect():
+        ids = np.array([*plain.encode(row.text or "", add_special_tokens=False).ids, 1], "<u4")
+        found = got.pop(row.doc_id)
+        assert (found.start, found.n_tokens, found.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert not got
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_odd_documents(spark, small, tricky, stage):
     out = stage(spark, tricky, small)
