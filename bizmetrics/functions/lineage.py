@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables made inside each ``temporary_tables`` block that is open.
+_open_blocks: list[list[str]] = []
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """This application's part of ``spark.checkpoint.dir``; where that is unset, of the warehouse folder."""
@@ -21,7 +26,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def new_table(spark: SparkSession) -> str:
     """Path of a table that is not there yet, in the checkpoint folder."""
-    return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    for block in _open_blocks:
+        block.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when the block ends, every intermediate table made in it: for work whose result is saved elsewhere.
+
+    Tables that other threads make meanwhile count as the block's own.
+    """
+    made: list[str] = []
+    _open_blocks.append(made)
+    try:
+        yield
+    finally:
+        _open_blocks[:] = [block for block in _open_blocks if block is not made]
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -39,10 +68,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut_lineage`` wrote, once all that was made of them is written too."""
     for table in tables:
         folder = checkpoint_folder(table.sparkSession).rstrip("/")
-        hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
-        conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             if f"/{folder.rsplit('/', 1)[-1]}/table-" not in path:
                 raise ValueError(f"not a table of this application's checkpoint folder: {path}")
-            target = hadoop.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(table.sparkSession, path)

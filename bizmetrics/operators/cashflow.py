@@ -81,10 +81,17 @@ def invoice_rollup(receivables: DataFrame, *keys: str, **options) -> DataFrame:
     return measures.groupBy(*keys or ROLLUP_KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES if m in have])
 
 
+def _late_measures(receivables: DataFrame) -> DataFrame:
+    """Measures of late invoices; on invoices the condition reaches the scan."""
+    if "invoices" in receivables.columns:
+        return receivables.where("late > 0")
+    return invoice_measures(receivables.where(_late()))
+
+
 def slow_payers(receivables: DataFrame, k: int = 5) -> DataFrame:
     """Customers that owe most in overdue invoices."""
     customers = (
-        keyed(invoice_measures(receivables).where("late > 0"), "customer_id", "customer_name")
+        keyed(_late_measures(receivables), "customer_id", "customer_name")
         .groupBy("customer_id", "customer_name")
         .agg(
             sum0("late_amount").alias("total_overdue"),
@@ -118,7 +125,7 @@ def aging_counts(receivables: DataFrame) -> DataFrame:
 def overdue_by_region(receivables: DataFrame) -> DataFrame:
     """Overdue amount per region, highest first."""
     return (
-        keyed(invoice_measures(receivables).where("late > 0"), "region")
+        keyed(_late_measures(receivables), "region")
         .groupBy("region")
         .agg(sum0("late_amount").alias("overdue"))
         .orderBy(F.desc("overdue"), "region")

@@ -50,9 +50,16 @@ def tax_rollup(gst: DataFrame, *keys: str) -> DataFrame:
     return measures.groupBy(*keys or ROLLUP_KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES if m in have])
 
 
+def _mismatched(gst: DataFrame) -> DataFrame:
+    """Measures of mismatched lines; on lines the condition reaches the scan."""
+    if "lines" in gst.columns:
+        return gst.where("mismatches > 0")
+    return tax_measures(gst.where(_mismatch()))
+
+
 def mismatch_reasons(gst: DataFrame) -> DataFrame:
     return (
-        keyed(tax_measures(gst).where("mismatches > 0"), "mismatch_reason")
+        keyed(_mismatched(gst), "mismatch_reason")
         .groupBy("mismatch_reason")
         .agg(F.sum("mismatches").alias("invoices"))
     )
@@ -61,7 +68,7 @@ def mismatch_reasons(gst: DataFrame) -> DataFrame:
 def supplier_risk(gst: DataFrame, k: int = 5) -> DataFrame:
     """Suppliers with most tax credit in mismatched invoices."""
     suppliers = (
-        keyed(tax_measures(gst).where("mismatches > 0"), "counterparty_id", "counterparty_name")
+        keyed(_mismatched(gst), "counterparty_id", "counterparty_name")
         .groupBy("counterparty_id", "counterparty_name")
         .agg(F.sum("numbered_mismatches").alias("invoice_count"), sum0("tax_at_risk").alias("total_itc_risk"))
     )

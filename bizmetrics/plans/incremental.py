@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from bizmetrics.functions.lineage import temporary_tables
 from bizmetrics.functions.measures import SalesRollups, merge_sales_rollups, read_sales_rollups, sales_rollups, write_sales_rollups
 from bizmetrics.operators.sales import monthly_panel, panel_features
 from bizmetrics.sources.snapshot import Snapshots, Version, input_files
@@ -62,7 +63,8 @@ class SalesStore:
             (taken if last is None else known.unionByName(taken)).write.parquet(f"{content}/files")
             return self._add(content, read(paths), last) | {"files": len(paths), "rebuilt": last is None}
 
-        return self.snapshots.commit(write, self._made_from())
+        with temporary_tables(self.spark):
+            return self.snapshots.commit(write, self._made_from())
 
     def rollups(self, version: Version | None = None) -> SalesRollups:
         """The rollups over all parts of a version (default: the latest)."""

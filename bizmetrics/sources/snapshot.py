@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bizmetrics.functions.lineage import temporary_tables
+
 _DATES = {"dateFormat": "yyyy-MM-dd"}
 #: Versions kept when a new one is committed, and hours that a folder outside the log may be somebody's work.
 KEEP = 3
@@ -236,7 +238,8 @@ def load_or_build(
     snapshots = Snapshots(spark, path)
     version = None if refresh else snapshots.latest(made_from)
     if version is None:
-        version = snapshots.commit(lambda content: write_report(build(), content), made_from)
+        with temporary_tables(spark):
+            version = snapshots.commit(lambda content: write_report(build(), content), made_from)
     return read_report(spark, version.path)
 
 

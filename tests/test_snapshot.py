@@ -2,10 +2,12 @@
 
 import threading
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from bizmetrics.functions.lineage import checkpoint_folder
 from bizmetrics.plans import report as r
 from bizmetrics.sources.schemas import TABLES
 from bizmetrics.sources.snapshot import Snapshots, fingerprint, input_files, load_or_build, read_report
@@ -19,6 +21,11 @@ def rows(spark, version):
     return spark.read.parquet(f"{version.path}/t").count()
 
 
+def tables_left(spark):
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    return sorted(p.name for p in Path(folder).glob("table-*"))
+
+
 def one_row(spark, value):
     return spark.range(1).select(F.struct(F.lit(value).alias("v"), F.lit("2024-02-01").cast("date").alias("d")).alias("sales"))
 
@@ -146,6 +153,7 @@ def test_a_report_follows_its_files_and_options(spark, tmp_path):
             out.write(",".join(str(values.get(c, 1)) for c in TABLES["sales"].names) + "\n")
 
     options = {"forecaster": "growth", "models": False}
+    before = tables_left(spark)
     load = lambda **more: r.load_report(spark, paths, str(tmp_path / "saved"), **options | more).first()
     add_sale(10)
     assert load().sales.total_revenue_last_month == 10
@@ -157,3 +165,4 @@ def test_a_report_follows_its_files_and_options(spark, tmp_path):
     with pytest.raises(ValueError, match="sales.revenue"):
         load()
     assert load(allow_rejects=True).sales.total_revenue_last_month == 15
+    assert tables_left(spark) == before  # what the report was made of is gone
