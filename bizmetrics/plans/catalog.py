@@ -48,6 +48,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
 def catalog() -> dict[str, Query]:
     return {
         "monthly_panel": lambda s, d: _panel(s, d),
+        "bucketed_monthly_panel": _bucketed_monthly_panel,
         "panel_features": lambda s, d: _features(s, d),
         "panel_encodings": lambda s, d: sales.panel_encodings(_features(s, d)),
         "panel_split_counts": lambda s, d: sales.panel_split_counts(sales.panel_split(_features(s, d))),
@@ -137,6 +138,12 @@ def catalog() -> dict[str, Query]:
     }
 
 
+def _bucketed_monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel from lines and orders that were stored bucketed by order."""
+    buckets = max(8, spark.sparkContext.defaultParallelism)
+    return _panel(spark, star.write_bucketed(spark, sf_dir, new_table(spark), buckets))
+
+
 def _snapshot_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The headlines of a report that was saved as a version and read back."""
     folder = new_table(spark)
@@ -237,7 +244,7 @@ def kpi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _panel(spark: SparkSession, sf_dir: str | star.BucketedStar) -> DataFrame:
     return sales.monthly_panel(
         star.sales(
             spark, sf_dir, "date", "product_id", "product_name", "region", "revenue", "quantity_sold", "margin_pct",

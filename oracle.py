@@ -246,6 +246,7 @@ _LATE = "count(distinct customer_id) filter (days_overdue > 0) as slow_payer_cou
 # name: (tables it needs, query)
 _QUERIES = {
     "monthly_panel": (("sales", "panel"), "select * from panel"),
+    "bucketed_monthly_panel": (("sales", "panel"), "select * from panel"),
     "panel_features": (_PANEL, "select * from features"),
     "panel_encodings": (
         _PANEL,

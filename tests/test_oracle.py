@@ -4,13 +4,16 @@ import pytest
 from compare import duckdb_result, spark_result
 
 import __spark_entry__ as driver
+import oracle
+from bizmetrics.plans.catalog import catalog
 
-ORACLE = driver.oracle_sql()
-QUERIES = driver.queries()
+ORACLE = oracle.oracle_sql()
+QUERIES = catalog()
 
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
+    assert set(driver.oracle_sql()) <= set(driver.queries()) and set(QUERIES) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
