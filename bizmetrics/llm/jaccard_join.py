@@ -483,7 +483,8 @@ def components(links: DataFrame) -> DataFrame:
 def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b, a_label, b_label) of one bucket in different groups that are not ruled out.
 
-    Sketches rule out most sets that share some passages but differ too much elsewhere, before any pair is made. Members of a large bucket are dealt into blocks, and every two blocks meet in a task of their own.
+    Sketches rule out most sets that share some passages but differ too much elsewhere, before any pair is made. Members of a
+    large bucket are dealt into blocks, and every two blocks meet in a task of their own.
     """
     members = buckets.select(*_MEMBER).unionByName(
         buckets.select("signature", F.col("leader").alias("class_id"), F.col("leader_n").alias("n"), F.col("leader_spare").alias("spare")).distinct()
