@@ -94,17 +94,35 @@ def stage_csv(
     """
     schema = _schema(table)
     raw = _raw_csv(spark, path, schema.names, multi_line, file="_file")
+    checked = _checked(schema)
+    # One step each for texts, values and reasons, so that every text is compared, cast and judged once per field.
+    texts = raw.select("*", *[_present(f.name).alias(f"_present_{i}") for i, f in enumerate(schema.fields)])
+    place = {f.name: i for i, f in enumerate(schema.fields)}
+    values = texts.select(
+        "*",
+        *[_value(F.col(f"_present_{i}"), f.dataType, date_format).alias(f"_value_{i}") for i, f in enumerate(schema.fields)],
+        *[_exact(F.col(f"_present_{place[f.name]}")).alias(f"_exact_{place[f.name]}") for f in checked if _is_money(f)],
+    )
+    reasons = {f.name: f"_reason_{place[f.name]}" for f in checked}
+    judged = values.select(
+        *[f.name for f in checked],
+        "_file",
+        *[f"_value_{i}" for i in range(len(schema.fields))],
+        *[_lost(f, *[F.col(f"_{part}_{place[f.name]}") for part in ("present", "value", "exact")]).alias(reasons[f.name]) for f in checked],
+    )
+    counted = Observation()
+    sums = [F.count(reasons[f.name]).alias(f.name) for f in checked]
+    observed = judged.observe(counted, F.count(F.lit(1)).alias("_rows"), *sums)
     lost = [
-        F.when(reason.isNotNull(), F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("text"), reason.alias("reason")))
-        for f in _checked(schema)
-        for reason in [_reason(f, date_format)]
+        F.when(
+            F.col(reasons[f.name]).isNotNull(),
+            F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("text"), F.col(reasons[f.name]).alias("reason")),
+        )
+        for f in checked
     ]
     nothing = F.array().cast("array<struct<column:string,text:string,reason:string>>")
-    counted = Observation()
-    sums = [F.count(_reason(f, date_format)).alias(f.name) for f in _checked(schema)]
-    observed = raw.observe(counted, F.count(F.lit(1)).alias("_rows"), *sums)
     typed = observed.select(
-        *[_typed(f.name, f.dataType, date_format).alias(f.name) for f in schema.fields],
+        *[F.col(f"_value_{i}").alias(f.name) for i, f in enumerate(schema.fields)],
         F.col("_file"),
         (F.array_compact(F.array(*lost)) if lost else nothing).alias("_rejects"),
     )
@@ -192,20 +210,35 @@ def _checked(schema: StructType) -> list[StructField]:
 
 def _reason(field: StructField, date_format: str | None) -> Column:
     """Why a field's text is not what the typed column holds; missing if it is."""
-    text, value = _present(field.name), _typed(field.name, field.dataType, date_format)
+    text = _present(field.name)
+    return _lost(field, text, _value(text, field.dataType, date_format), _exact(text))
+
+
+def _lost(field: StructField, text: Column, value: Column, exact: Column) -> Column:
+    """The reason, from the text without missing tokens, the typed value and, for money, all decimals of the text."""
     reason = F.when(text.isNotNull() & value.isNull(), F.lit("unreadable"))
-    if isinstance(field.dataType, DecimalType):
-        exact = text.try_cast(DecimalType(38, 18))
+    if _is_money(field):
         reason = reason.when(exact.isNotNull() & (exact != value), F.lit("rounded"))
     return reason
 
 
+def _is_money(field: StructField) -> bool:
+    return isinstance(field.dataType, DecimalType)
+
+
+def _exact(text: Column) -> Column:
+    return text.try_cast(DecimalType(38, 18))
+
+
 def _present(name: str) -> Column:
     return F.when(~F.col(name).isin(*MISSING), F.col(name))
 
 
 def _typed(name: str, kind: DataType, date_format: str | None) -> Column:
-    text = _present(name)
+    return _value(_present(name), kind, date_format)
+
+
+def _value(text: Column, kind: DataType, date_format: str | None) -> Column:
     if isinstance(kind, StringType):
         return text
     if isinstance(kind, DateType):

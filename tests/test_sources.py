@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 from plans import scans
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -169,3 +170,25 @@ def test_adapter_columns_do_not_depend_on_the_joins_left_out(spark, small, name)
     for column in whole.columns:
         alone = adapter(spark, small, column)
         assert alone.exceptAll(whole.select(column)).isEmpty() and alone.count() == whole.count(), column
+
+
+def test_staging_casts_every_money_field_once(spark, tmp_path):
+    path = tmp_path / "gst.csv"
+    columns = TABLES["gst"].names
+    path.write_text(",".join(columns) + "\nI1,C1,N,2024-01,1.5,0.12345,oops,NA,1,\nI2,C1,N,2024-01,1.5,1,1,1,x,R\n")
+    taken = []
+    original = DataFrameWriter.parquet
+
+    def parquet(writer, *args, **kwargs):
+        taken.append(writer._df._jdf.queryExecution().optimizedPlan().toString())
+        return original(writer, *args, **kwargs)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", parquet)
+        staged = stage_csv(spark, str(path), "gst")
+    money = [f for f in TABLES["gst"].fields if f.dataType.simpleString().startswith("decimal")]
+    assert taken[0].count("as decimal(18,4))") == len(money)
+    lost = {(r.column, r.text, r.reason) for r in staged.rejects.collect()}
+    assert lost == {("cgst_amount", "0.12345", "rounded"), ("sgst_amount", "oops", "unreadable"), ("mismatch_flag", "x", "unreadable")}
+    assert staged.counts == {"cgst_amount": 1, "sgst_amount": 1, "mismatch_flag": 1}
+    assert staged.rows.where("invoice_no = 'I1'").first().cgst_amount == Decimal("0.1235")
