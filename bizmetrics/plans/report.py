@@ -72,7 +72,7 @@ def build_report(
     """One row of five structs: sales, cashflow, inventory, gst, profitability.
 
     Each table is read once, whatever the number of results (see ``roll_up``); only the outlier forest, whose scores are per
-    line, reads the tax lines again: for its samples and to score them. Independent steps, the model fits among them, are
+    line, reads the tax lines again: it writes their features down, for its samples and its scores. Independent steps, the model fits among them, are
     submitted together and share the cluster. ``models=False`` leaves out the regressor, the outlier flags and the segments.
     """
     spark = tables.sales.sparkSession

@@ -310,3 +310,35 @@ def test_trend_word(spark):
     assert forecast.trend(up).first().trend == "upward"
     level = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0), (dt.date(2024, 3, 1), 1.0)], "ds date, yhat double")
     assert forecast.trend(level).first().trend == "downward"
+
+
+def test_forest_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(number: int) -> float:
+        seen.add(1)
+        return float(number * number % 97)
+
+    rows = spark.range(300).select(F.col("id").alias("invoice_no"), F.udf(value, "double")("id").alias("taxable_value"))
+    rows = rows.withColumn("cgst_amount", F.col("invoice_no") % 7)
+    scored = isolation.isolation_scores(rows, ["taxable_value", "cgst_amount"], trees=5, partitions=4, rows=300).collect()
+    assert len(scored) == 300 and all(r.iso_score is not None for r in scored)
+    assert seen.value == 300
+
+
+def test_forest_walk_finds_the_cell_of_every_row():
+    rng = np.random.default_rng(3)
+    height, width, n = 5, 3, isolation._ROWS_AT_ONCE + 7
+    feature, cut = rng.integers(0, width, (4, 31)), rng.normal(size=(4, 31))
+    cut[:, 9:12] = np.inf
+    path, x = rng.random((4, 32)), rng.normal(size=(n, width))
+    x[::5, 1], x[::7, 2] = np.nan, np.inf
+    got = isolation._mean_depth(x, feature, cut, path, height)
+    for row in (0, 5, 7, 35, 1000, n - 1):
+        total = 0.0
+        for tree in range(4):
+            node = 0
+            for _ in range(height):
+                node = 2 * node + (2 if x[row, feature[tree][node]] > cut[tree][node] else 1)
+            total += path[tree][node - 31]
+        assert got[row] == total / 4
