@@ -22,6 +22,7 @@ LANES = 1024  # blocks side by side: bounds memory
 CONTEXT_1, CONTEXT_2 = 11, 12  # bits of the context tables
 TOTAL_BITS = 20  # the order-0 table sums to 2 ** TOTAL_BITS
 MAX_ID = (1 << 19) - 1
+_COUNTED = 1 << 18  # ids counted at once
 _LOW_RANGE = np.uint64(1 << 32)
 _32 = np.uint64(32)
 _WORD = np.uint64((1 << 32) - 1)
@@ -42,7 +43,10 @@ class FrequencyTable:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> FrequencyTable:
-        counts = np.bincount(ids)
+        size = int(ids.max()) + 1
+        counts = np.zeros(size, np.int64)
+        for start in range(0, len(ids), _COUNTED):  # numpy counts a wider copy of its input
+            counts += np.bincount(ids[start : start + _COUNTED], minlength=size)
         used = np.flatnonzero(counts)
         total = 1 << TOTAL_BITS
         if len(used) > total // 2:
@@ -107,9 +111,11 @@ _MIX_1, _MIX_2, _UP = np.int32(0x5BD1E995), np.int32(0x2545F491), np.int32(65505
 def _ordered(ids: np.ndarray) -> tuple[np.ndarray, int]:
     """Ids as (step, block), padded with 0 at the end of the last block, and the length of that block."""
     blocks = -(-len(ids) // BLOCK)
-    padded = np.zeros(blocks * BLOCK, np.int32)
-    padded[: len(ids)] = ids
-    return np.ascontiguousarray(padded.reshape(blocks, BLOCK).T), len(ids) - (blocks - 1) * BLOCK
+    last_length = len(ids) - (blocks - 1) * BLOCK
+    steps = np.zeros((BLOCK, blocks), np.int32)
+    steps[:, : blocks - 1] = ids[: (blocks - 1) * BLOCK].reshape(blocks - 1, BLOCK).T
+    steps[:last_length, blocks - 1] = ids[(blocks - 1) * BLOCK :]
+    return steps, last_length
 
 
 def encode(ids: np.ndarray, table: FrequencyTable) -> list[bytes]:
@@ -166,6 +172,7 @@ def _encode(ids: np.ndarray, table: FrequencyTable) -> list[bytes]:
     rows = np.arange(lanes)
     words[rows, used], words[rows, used + 1] = low >> _32, low & _WORD
     used += 2
+    words = words[:, : int(used.max())]  # what no block has written stays untouched, and takes no memory
     for column in range(words.shape[1] - 1, 0, -1):
         words[:, column - 1] += words[:, column] >> _32
     words &= _WORD

@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from bizmetrics.functions.lineage import cut_lineage
 from bizmetrics.llm.files import output_folder, read_part, whole_file
 from bizmetrics.llm.range_coder import pack_chunk, unpack_chunk
+from bizmetrics.llm.text import rows_per_batch
 
 MAGIC = b"IDCHUNK1"
 CHUNK_IDS = 1 << 22
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000  # words of one generation; a worker keeps two
 READ_BYTES = 1 << 23  # coded bytes that one task reads, about
-TEXTS_AT_ONCE = 500  # texts whose new words are tokenized together
+TEXTS_AT_ONCE = 500  # texts that a task gets from Spark and tokenizes together
 BETWEEN = "<|endoftext|>"  # a special token of the tokenizer
 MANIFEST = "file string, part int, chunk int, offset long, length long, n_docs long, n_ids long"
 
@@ -45,15 +46,19 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         # bytes.split: space, \\t, \\n, \\v, \\f, \\r
         split = [(text or "").encode().split() for text in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
-        if len(known) > KEPT_WORDS and new:  # a cache, not a limit on words
-            known.clear()
+        new = set().union(*split).difference(self.known)
+        if len(self.known) > KEPT_WORDS and new:  # a cache, not a limit on words: those in use come over from the older one
+            self.older, self.known = self.known, {}
             new = set().union(*split)
+        known = self.known
+        if again := new.intersection(self.older):
+            known.update((word, self.older[word]) for word in again)
+            new -= again
         if new:
             self._learn(list(new))
         return [b"".join(map(known.__getitem__, words)) for words in split]
@@ -120,7 +125,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             def flush():
                 nonlocal position, ids, lengths, texts, held
                 table = _document_table(ids, lengths)
-                coded = pack_chunk(np.frombuffer(b"".join(texts), "<u4"))
+                joined, texts = b"".join(texts), []  # the texts' own ids are not kept beside the chunk's
+                coded = pack_chunk(np.frombuffer(joined, "<u4"))
                 chunk = MAGIC + struct.pack("<Q", len(table)) + table + coded
                 out.write(chunk)
                 made.append((name, part, len(made), position, len(chunk), len(ids), held))
@@ -153,7 +159,8 @@ def write_ids(
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     ordered = source.repartitionByRange(*order).sortWithinPartitions(*order)
-    manifest = cut_lineage(ordered.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST))
+    with rows_per_batch(docs.sparkSession, TEXTS_AT_ONCE):
+        manifest = cut_lineage(ordered.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST))
     # One row per file meets in one task; chunks are summed inside their file.
     files = manifest.groupBy("part").agg(F.sum("n_ids").alias("file_ids"))
     before = F.sum("file_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bizmetrics.llm import catalog, hashing, html_extraction, jaccard_join, range_coder, warc
+from bizmetrics.llm import catalog, hashing, html_extraction, jaccard_join, range_coder, token_files, warc
 from bizmetrics.llm.decontamination import align, contaminated, decontaminate, item_words
 from bizmetrics.llm.files import locate, output_folder
 from bizmetrics.llm.jaccard_join import keep_one, near_duplicates
@@ -457,3 +457,51 @@ def test_stages_on_odd_documents(spark, small, tricky, stage):
     else:
         assert out.count() == tricky.count()
     assert stage(spark, tricky.limit(0), small).collect() == []
+
+
+def test_known_words_are_bounded_and_those_in_use_stay(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 50)
+    encode = token_files.WordEncoder(catalog.default_tokenizer())
+    learnt, learn = defaultdict(int), encode._learn
+
+    def counted(words):
+        for word in words:
+            learnt[word] += 1
+        learn(words)
+
+    monkeypatch.setattr(encode, "_learn", counted)
+    for start in range(40):
+        text = "always " + " ".join(f"w{start}x{i}" for i in range(20))
+        (got,) = encode([text])
+        whole = [encode.tokenizer.encode(word, add_special_tokens=False).ids for word in text.split()]
+        assert np.frombuffer(got, "<u4").tolist() == [i for ids in whole for i in ids]
+        assert len(encode.known) + len(encode.older) <= 2 * (50 + 21)
+    assert learnt[b"always"] == 1
+
+
+def test_token_files_get_few_texts_at_once(spark, monkeypatch):
+    given, cut = [], token_files.cut_lineage
+
+    def cut_lineage(df):
+        given.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return cut(df)
+
+    monkeypatch.setattr(token_files, "cut_lineage", cut_lineage)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
+    assert read_ids(write_ids(docs, catalog.default_tokenizer())).count() == 40
+    assert given == [token_files.TEXTS_AT_ONCE]
+
+
+def test_frequencies_are_counted_in_parts(monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 900, 5_000).astype("<u4")
+    whole = range_coder.pack_chunk(ids)
+    widest, bincount = [], np.bincount
+
+    def counted(values, **options):
+        widest.append(len(values))
+        return bincount(values, **options)
+
+    monkeypatch.setattr(range_coder, "_COUNTED", 700, raising=False)
+    monkeypatch.setattr(np, "bincount", counted)
+    assert range_coder.pack_chunk(ids) == whole and max(widest) == 700
+    assert (range_coder.unpack_chunk(whole) == ids).all()
