@@ -17,7 +17,7 @@ A document is the set of its distinct 5-word shingles (64-bit hashes of lower-ca
    indexes single shingles, for which there always are enough.
 4. Cost-based allocation. Each band gets the segment count and the match kind with the least expected cost: signatures
    plus meetings.
-5. Buckets of equal signatures propose a link from every member to one leader. Each set's best proposal is verified on the
+5. Buckets of equal signatures propose a link from every member to one leader. Each set's proposal of most buckets is verified on the
    full sets; where members of a bucket are still in different groups afterwards, their remaining pairs across groups are
    checked too, unless their sizes, a sketch of their differences, or in a bucket of frequent shingles the rare ones that they cannot
    share there, rule a link out. So no group is missed, thousands of near copies of one set cost one comparison each, and sets that share
@@ -44,6 +44,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,7 @@ WINDOW_SHINGLES = 2_000_000  # shingles counted at once
 IDENTITY_BANDS = 5  # bands up to this one (sizes under 32) use every shingle as its own segment
 BLOCK_SETS = 256  # sets of a family that are compared in one task, on either side
 BUCKET_SETS = 8192  # members of a bucket whose pairs are looked through in one task, on either side
+EARLIER = 8  # earlier buckets of a set that each of its buckets knows
 SETS_PER_SALT, MOST_SALTS = 200_000, 1024  # a bucket of frequent shingles is dealt by so many salts first
 
 
@@ -384,22 +386,23 @@ def _buckets(index: DataFrame, threshold: float, salts: int) -> DataFrame:
     return both
 
 
-def _verify(
-    docs: DataFrame, classes: DataFrame, pairs: DataFrame, families: DataFrame, width: int, threshold: float, seed: int
-) -> DataFrame:
-    """Links among ``pairs`` (a, b, a_label, b_label): enough of them to join the labels that all of them would join.
-
-    A family, which is all that proposals connect, is dealt into blocks of about ``BLOCK_SETS`` sets. The pairs of two blocks meet in
-    one task with the sets they need, so a set travels once per block it is compared with and not once per pair. A pair whose
-    labels earlier links of the task already join is not compared again.
-    """
-    member = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    member = families.join(member, "label").select(
+def _blocks(families: DataFrame) -> DataFrame:
+    """(class_id, family, block): a family, which is all that buckets connect, is dealt into blocks of about ``BLOCK_SETS`` sets."""
+    sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    member = families.join(sizes, "label").select(
         F.col("node").alias("class_id"),
         F.col("label").alias("family"),
         F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_SETS)).cast("int").alias("block"),
     )
-    member = cut_lineage(member)
+    return cut_lineage(member)
+
+
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, member: DataFrame, width: int, threshold: float, seed: int) -> DataFrame:
+    """Links among ``pairs`` (a, b, a_label, b_label): enough of them to join the labels that all of them would join.
+
+    The pairs of two blocks of ``member`` meet in one task with the sets they need, so a set travels once per block it is compared
+    with and not once per pair. A pair whose labels earlier links of the task already join is not compared again.
+    """
     of_a, of_b = (
         member.select(F.col("class_id").alias(c), F.col("family").alias(f"{c}_family"), F.col("block").alias(f"{c}_block")) for c in "ab"
     )
@@ -453,7 +456,7 @@ def _verify(
     rows = rows.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
     ordered = rows.repartition(*cell).sortWithinPartitions(*cell, "kind")
     found = cut_lineage(ordered.mapInArrow(compare, "a long, b long").distinct())
-    discard(member, dealt, placed)
+    discard(dealt, placed)
     return found
 
 
@@ -471,36 +474,63 @@ def components(links: DataFrame) -> DataFrame:
         heard = both.join(known, "near").groupBy("node").agg(F.min("near_label").alias("heard"))
         lower = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        lower = cut_lineage(lower)
         nearer = cut_lineage(lower.join(jump, "label").select("node", F.least("label", "above").alias("label"), "old"))
         changed = nearer.where(F.col("label") != F.col("old")).limit(1).count()
-        discard(labels, lower)
+        discard(labels)
         labels = nearer.select("node", "label")
         if not changed:
             return labels
 
 
+def _padded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of at most ``EARLIER`` signatures as a matrix, and which of its cells are filled."""
+    filled = np.arange(EARLIER) < pc.list_value_length(lists).to_numpy()[:, None]
+    matrix = np.zeros(filled.shape, np.int64)
+    matrix[filled] = lists.flatten().to_numpy()
+    return matrix, filled
+
+
+def _met_before(earlier: np.ndarray, filled: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs i, j have an earlier bucket in common."""
+    found = np.zeros(len(i), bool)
+    for at in range(0, len(i), 50_000):
+        a, b = i[at : at + 50_000], j[at : at + 50_000]
+        both = (filled[a][:, :, None] & filled[b][:, None, :]) & (earlier[a][:, :, None] == earlier[b][:, None, :])
+        found[at : at + 50_000] = both.any((1, 2))
+    return found
+
+
 def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b, a_label, b_label) of one bucket in different groups that are not ruled out.
 
     Sketches rule out most sets that share some passages but differ too much elsewhere, before any pair is made. Members of a
     large bucket are dealt into blocks, and every two blocks meet in a task of their own.
+
+    Near copies share many signatures, but make few pairs more than once: of buckets with equal members one is looked through, and
+    each member knows the ``EARLIER`` buckets before this one in its own list. Two members that see a common one among them are a
+    pair of that bucket, or of one before it; the first bucket that they share always makes it.
     """
     members = buckets.select(*_MEMBER).unionByName(
         buckets.select("signature", F.col("leader").alias("class_id"), F.col("leader_n").alias("n"), F.col("leader_spare").alias("spare")).distinct()
     )
     grouped = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = cut_lineage(grouped.withColumn("label", F.coalesce("label", "class_id")))
-    mixed = grouped.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-    mixed = cut_lineage(mixed.where("low != high").select("signature", F.ceil(F.col("size") / BUCKET_SETS).cast("int").alias("blocks")))
+    frequent = F.col("spare") >= 0
+    members = [F.count(F.lit(1)).alias("size"), F.min(frequent).alias("all_frequent"), F.max(frequent).alias("any_frequent")]
+    members += [F.sum(F.xxhash64(F.lit(k), "class_id").cast("decimal(20,0)")).alias(f"members_{k}") for k in range(2)]
+    mixed = grouped.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), *members).where("low != high")
+    mixed = mixed.groupBy("size", "all_frequent", "any_frequent", "members_0", "members_1").agg(F.min("signature").alias("signature"))
+    mixed = cut_lineage(mixed.select("signature", F.ceil(F.col("size") / BUCKET_SETS).cast("int").alias("blocks")))
+    before = Window.partitionBy("class_id", frequent).orderBy("signature").rowsBetween(-EARLIER, -1)
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))
     )
-    dealt = grouped.join(mixed, "signature").join(classes.select("class_id", "sketch"), "class_id")
+    dealt = grouped.join(mixed, "signature").withColumn("earlier", F.collect_list("signature").over(before))
+    dealt = dealt.join(classes.select("class_id", "sketch"), "class_id")
     dealt = dealt.withColumn("own", own).withColumn("cell", F.explode(cells))
     columns = ["signature", "i", "j", "own", "label", "class_id", "n", "spare"]
-    dealt = dealt.select("signature", "cell.i", "cell.j", "own", "label", "class_id", "n", "spare", "sketch")
+    dealt = dealt.select("signature", "cell.i", "cell.j", "own", "label", "class_id", "n", "spare", "earlier", "sketch")
 
     def distinct(parts: list[np.ndarray]) -> np.ndarray:
         rows = np.concatenate(parts)
@@ -513,16 +543,16 @@ def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, sketches = [], []
         for batch in batches:
-            parts.append([batch.column(c).to_numpy().astype(np.int64) for c in columns])
+            parts.append([batch.column(c).to_numpy().astype(np.int64) for c in columns] + list(_padded(batch.column("earlier"))))
             sketches += batch.column("sketch").to_pylist()
         if not parts:
             return
-        key, first, second, own, label, name, size, spare = (np.concatenate(c) for c in zip(*parts))
+        key, first, second, own, label, name, size, spare, earlier, filled = (np.concatenate(c) for c in zip(*parts))
         del parts
         # Within a cell by the rare shingles that a partner may not share: partners are the rows before a place.
         order = np.lexsort((spare, second, first, key))
         key, first, second, own, label, name, size, spare = (c[order] for c in (key, first, second, own, label, name, size, spare))
-        sketches = [sketches[k] for k in order.tolist()]
+        sketches, earlier, filled = [sketches[k] for k in order.tolist()], earlier[order], filled[order]
         edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
         found, held = [], 0
         for start, stop in zip(edges.tolist(), np.append(edges[1:], len(key)).tolist()):
@@ -542,6 +572,9 @@ def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold
                     least = differences(sketches[low:high], i - low, j - low)
                     possible = least <= (size[i] + size[j]) * ((1 - threshold) / (1 + threshold)) + 1e-9
                     i, j = i[possible], j[possible]
+                if len(i):
+                    new = ~_met_before(earlier, filled, i, j)
+                    i, j = i[new], j[new]
                 if len(i):
                     swap = name[i] > name[j]
                     a, b = np.where(swap, j, i), np.where(swap, i, j)
@@ -606,18 +639,20 @@ def _grouped(source: DataFrame, width: int, threshold: float) -> tuple[DataFrame
     buckets = _buckets(_index(source, shared, width, threshold, salts, seed), threshold, salts)
     shared.unpersist()
     proposed = buckets.where("fits").groupBy(F.col("leader").alias("a"), F.col("class_id").alias("b"))
-    proposed = cut_lineage(proposed.agg(F.min((F.col("spare") >= 0).cast("int")).alias("frequent")))
+    proposed = proposed.agg(F.count(F.lit(1)).alias("shared"), F.min((F.col("spare") >= 0).cast("int")).alias("frequent"))
     families = components(cut_lineage(buckets.select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct()))
-    # Sets that share a rare shingle are the likelier copies.
-    best = proposed.groupBy("b").agg(F.min(F.struct("frequent", "a")).alias("best"))
+    # The leader met in most buckets is the likeliest copy; of a template's near copies most meet the same, the one nearest to it.
+    best = proposed.groupBy("b").agg(F.min(F.struct((-F.col("shared")).alias("shared"), "frequent", "a")).alias("best"))
     first = cut_lineage(best.select(F.col("best.a").alias("a"), "b", F.col("best.a").alias("a_label"), F.col("b").alias("b_label")))
-    links = _verify(source, classes, first, families, width, threshold, seed)
+    member = _blocks(families)
+    discard(families)
+    links = _verify(source, classes, first, member, width, threshold, seed)
     labels = components(links)
 
     apart = cut_lineage(_across(buckets, classes, labels, threshold).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _verify(source, classes, apart, families, width, threshold, seed)
+    more = _verify(source, classes, apart, member, width, threshold, seed)
     links = cut_lineage(links.unionByName(more))
-    discard(buckets, proposed, families, first, apart)
+    discard(buckets, member, first, apart)
     labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")

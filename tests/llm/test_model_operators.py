@@ -142,6 +142,62 @@ def test_sets_that_share_a_frequent_passage_are_no_pairs(spark, salts, monkeypat
     assert sum(counted) < 4 * n
 
 
+def test_a_pair_of_many_buckets_is_made_about_once(spark, monkeypatch):
+    """Thirty sets meet in two hundred buckets of changing members, over sixteen tasks: each pair is there, few come twice."""
+    rng, n = random.Random(7), 30
+    met = [(s * 7919, sorted(rng.sample(range(n), 25))) for s in range(200)]
+    rows = [(s, some[0], 100, -1, c, 100, -1, True) for s, some in met for c in some[1:]]
+    rows += [(s + 1, *row) for s, *row in rows]  # every bucket twice
+    buckets = spark.createDataFrame(rows, jaccard_join._BUCKET)
+    classes = spark.createDataFrame([(c, bytes(16)) for c in range(n)], "class_id long, sketch binary")
+    labels = spark.createDataFrame([], "node long, label long")
+    made, frame = spark.sparkContext.accumulator(0), type(buckets)
+    plain = frame.mapInArrow
+
+    def counting(df, run, schema):
+        def counted(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(df, counted, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", counting)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = sorted((r.a, r.b) for r in jaccard_join._across(buckets, classes, labels, 0.75).collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    assert made.value < 2 * len(got)
+
+
+def test_near_copies_of_a_template_meet_its_nearest_set_first(spark, monkeypatch):
+    """Sets that link with the template but not with each other are joined by one comparison each, before any other pair is made."""
+    rng, template = random.Random(4), [f"t{i}" for i in range(150)]
+    rows = [(1000, " ".join(template))]
+    for k in range(80):
+        text = list(template)
+        for place in rng.sample(range(10, 140, 10), 4):
+            text[place] = f"e{k}x{place}"
+        rows.append((k, " ".join(text)))
+    made, across = [], jaccard_join._across
+
+    def counting(*given):
+        made.append((found := across(*given)).count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_across", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got == groups_by_brute_force(rows) and len({c for _, c in got.values()}) == 1
+    assert made == [0]
+
+
 def test_null_ids_and_shared_ids_are_judged_by_their_own_text(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
     rows = [(None, text(k)) for k in range(30)] + [(None, text(0)), (5, text(0)), (6, text(1)), (7, text(2)), (7, text(3)), (7, text(40)), (7, text(40)), (8, "")] * 2
