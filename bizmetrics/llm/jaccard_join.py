@@ -517,11 +517,13 @@ def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold
     grouped = cut_lineage(grouped.withColumn("label", F.coalesce("label", "class_id")))
     frequent = F.col("spare") >= 0
     members = [F.count(F.lit(1)).alias("size"), F.min(frequent).alias("all_frequent"), F.max(frequent).alias("any_frequent")]
-    members += [F.sum(F.xxhash64(F.lit(k), "class_id").cast("decimal(20,0)")).alias(f"members_{k}") for k in range(2)]
+    # Members may be there twice: a sum of 44-bit hashes, which cannot reach 64 bits, sees what the other cancels.
+    members += [F.bit_xor(F.xxhash64("class_id")).alias("members_0"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "class_id"), 20)).alias("members_1")]
     mixed = grouped.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), *members).where("low != high")
     mixed = mixed.groupBy("size", "all_frequent", "any_frequent", "members_0", "members_1").agg(F.min("signature").alias("signature"))
     mixed = cut_lineage(mixed.select("signature", F.ceil(F.col("size") / BUCKET_SETS).cast("int").alias("blocks")))
-    before = Window.partitionBy("class_id", frequent).orderBy("signature").rowsBetween(-EARLIER, -1)
+    # Buckets of rare shingles come first: they rule out no pair that one of frequent shingles lets pass.
+    before = Window.partitionBy("class_id").orderBy(frequent, "signature").rowsBetween(-EARLIER, -1)
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))
