@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import english
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from bizmetrics.llm import catalog
 from bizmetrics.llm.filter_audit import FIVE, among, filter_audit, five_filters, gallop, merged
 from bizmetrics.llm.spelling_variants import Acceptor, near_words, one_edit_pairs, roots_of, spelling_variants, word_counts
-from bizmetrics.llm.substring_dedup import substring_dedup
+from bizmetrics.llm.substring_dedup import _KEY, _PLACE, _cut, _later, _merge_slices, _sketches, substring_dedup
 
 
 def words(text):
@@ -293,3 +295,56 @@ def test_a_passage_that_a_third_of_all_documents_share(spark):
     )
     got = substring_dedup(docs.repartition(9), sketch_windows=500).where("n_removed > 0")
     assert got.count() == 999 and got.where("n_removed = 70 and kept_text = cast(doc_id as string)").count() == 999
+
+
+def test_removed_windows_are_looked_up_once_per_piece_of_text(tmp_path, monkeypatch):
+    """Not once per row: that reads through all removed windows of the file each time, so its time grew with the square of a file."""
+    own = " ä\n{0}a  {0}b\t{0}c \x0b{0}d {0}e\x0c "
+    texts = [None if i % 50 == 7 else " \n" if i % 50 == 8 else own.format(i) for i in range(1_000)]
+    gone = [(i, start) for i, t in enumerate(texts) for start in ((0,), (2, 3), (), (1, 4))[i % 4] if t and t.strip()]
+    rows, starts = (np.array(c, "<u4").tobytes() for c in zip(*random.Random(1).sample(gone, len(gone))))
+    (tmp_path / "file=f").mkdir()
+    pq.write_table(pa.table({"rows": [rows], "starts": [starts]}), tmp_path / "file=f" / "part-0.parquet")
+    calls, search = [], np.searchsorted
+
+    def counted(*args, **options):
+        calls.append(len(args[0]))
+        return search(*args, **options)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["f"] * n), pa.array(range(n), pa.int64()), pa.array(range(n)), pa.array(texts)], ["file", "row", "c0", "c1"]
+    )
+    got = [r for b in _cut(iter([batch.slice(0, 600), batch.slice(600)]), folder=str(tmp_path), width=2, text_at=3) for r in b.to_pylist()]
+    assert len(calls) < 20
+    for i, (text, r) in enumerate(zip(texts, got, strict=True)):
+        cut = {start + k for row, start in gone if row == i for k in (0, 1)}
+        kept = None if text is None else " ".join(w for k, w in enumerate(words(text)) if k not in cut)
+        assert r == {"c0": i, "c1": text, "n_words": len(words(text)), "n_removed": len(cut), "kept_text": kept}
+
+
+def test_entries_of_small_sketches_travel_together():
+    """Every sketch has an entry per slice, so their number outgrows the text's: a batch for each of them took most of the time."""
+    texts = [" ".join(f"t{i % 400}w{k}" for k in range(60)) for i in range(800)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([f"f{i // 50}" for i in range(800)]), pa.array(range(800), pa.int64()), pa.array(range(800)), pa.array(texts)],
+        ["file", "row", "id", "body"],
+    )
+    sketches = pa.Table.from_batches(_sketches(iter([batch]), width=20, bits=20, slice_bits=4, most=1 << 21)).sort_by("slice")
+    assert len(sketches) == 16 * 2 * 16
+    answers = list(_merge_slices(iter(sketches.to_batches()), local_bits=16))
+    assert sum(len(a) for a in answers) == 16 * 2 * 16 and len(answers) <= 2  # each text comes twice, in two files
+
+
+def test_later_windows_against_brute_force():
+    rng = np.random.default_rng(3)
+    keys, doc = np.empty(5_000, _KEY), np.sort(rng.integers(0, 60, 5_000))
+    keys["a"], keys["b"] = rng.integers(0, 40, 5_000), rng.integers(0, 30, 5_000)  # many agree in one half only
+    docs = np.array([(rng.integers(-5, 5), rng.integers(0, 3), i, 0) for i in range(60)], _PLACE)
+    starts = rng.integers(0, 50, 5_000).astype(np.uint32)
+    place = [(docs["id"][d], docs["digest"][d], s) for d, s in zip(doc, starts)]
+    least = {}
+    for key, p in zip(keys.tolist(), place):
+        least[key] = min(p, least.get(key, p))
+    assert _later(keys, docs, doc, starts).tolist() == [p > least[key] for key, p in zip(keys.tolist(), place)]
