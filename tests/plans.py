@@ -16,11 +16,16 @@ def scans(spark):
     runs are one.
     """
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
 
-    def plans() -> list[tuple[int, str]]:
+    def executions() -> list:
         found = store.executionsList()
-        ran = [found.apply(i) for i in range(before, found.size())]
+        return [found.apply(i) for i in range(found.size())]
+
+    # By number, not by place in the list: a session keeps its last 1,000 only, so in a long one places shift.
+    before = max((e.executionId() for e in executions()), default=-1)
+
+    def plans() -> list[tuple[int, str]]:
+        ran = [e for e in executions() if e.executionId() > before]
         return [(e.rootExecutionId(), e.physicalPlanDescription() or "") for e in ran]
 
     def seen(name: str, kind: str = "parquet") -> int:
@@ -38,6 +43,6 @@ def scans(spark):
 
     yield seen
     for _ in range(50):  # the last query's events are on their way
-        if len(plans()) == store.executionsCount() - before:
+        if all(plan for _, plan in plans()):
             break
         time.sleep(0.1)
